@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recoflux.llm import sharding, tokens
+from recoflux.llm import decontamination, packing, sharding, tokens
 from recoflux.llm.common import table
 
 
@@ -17,9 +17,11 @@ def on_documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkS
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": on_documents(sharding.op1_sharding),
+        "op2_decontamination": lambda spark, sf_dir: decontamination.op2_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+        "op4_packing": on_documents(packing.op4_packing),
         "op7_token_counts": on_documents(tokens.op7_token_counts),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontamination": decontamination.SQL}
