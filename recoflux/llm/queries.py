@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recoflux.llm import decontamination, packing, sharding, tokens
+from recoflux.llm import decontamination, language, packing, quality, sharding, tokens
 from recoflux.llm.common import table
 
 
@@ -18,7 +18,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": on_documents(sharding.op1_sharding),
         "op2_decontamination": lambda spark, sf_dir: decontamination.op2_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+        "op3_quality": lambda spark, sf_dir: quality.op3_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op4_packing": on_documents(packing.op4_packing),
+        "op6_language": on_documents(language.op6_language),
         "op7_token_counts": on_documents(tokens.op7_token_counts),
     }
 
