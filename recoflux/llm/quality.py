@@ -19,6 +19,10 @@ SAMPLE = 4000
 #: Text bytes of one training document beyond which it is passed over; such documents are scored whole like all others.
 TRAIN_BYTES = 200_000
 GRAMS = (2, 3, 4)
+#: Zero vectors in each mean, so that a few features alone hardly move a short text from the prior.
+NEUTRAL = 10
+#: The hash of every pair of a word and itself: one feature, whatever the word.
+TWICE = np.uint64(0x5851F42D4C957F2D)
 
 
 def features(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -31,7 +35,9 @@ def features(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray,
         same = np.ones(len(hashes), bool)  # False where a text's first word is
         firsts = words.bounds[:-1]
         same[firsts[firsts < len(hashes)]] = False
-        pairs = mix(hashes[:-1] * np.uint64(RADIX) + hashes[1:])[same[1:]]
+        pairs = mix(hashes[:-1] * np.uint64(RADIX) + hashes[1:])
+        pairs[hashes[:-1] == hashes[1:]] = TWICE
+        pairs = pairs[same[1:]]
         yield words.starts[:-1][same[1:]], (pairs >> shift).astype(np.int64)
     spaces = np.zeros(len(data) + 1, np.int64)
     np.cumsum(SPACES[data], out=spaces[1:])
@@ -54,7 +60,7 @@ def features(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray,
 class QualityModel:
     """Per table row, its vector's part in the difference of the two outputs; and the outputs' own difference.
 
-    A document's vector is the mean of its features' vectors and the outputs are linear in it,
+    A document's vector is the mean of its features' vectors (and of NEUTRAL zeros) and the outputs are linear in it,
     so the mean of these numbers gives the softmax of the two classes.
     """
 
@@ -70,7 +76,7 @@ class QualityModel:
                 at = np.searchsorted(positions, bounds)
                 total += sums[at[1:]] - sums[at[:-1]]
                 count += np.diff(at)
-        return 1 / (1 + np.exp(-(total / np.maximum(count, 1) + self.bias)))
+        return 1 / (1 + np.exp(-(total / (count + NEUTRAL) + self.bias)))
 
 
 def train(texts: list[str], labels: list[int], dim: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 11) -> QualityModel:
@@ -88,7 +94,7 @@ def train(texts: list[str], labels: list[int], dim: int = 16, epochs: int = 6, r
         data = np.frombuffer(text.encode(), np.uint8)
         found = [rows for _, rows in features(data, np.array([0, len(data)]))] if len(data) else []
         ids, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0))
-        docs.append((ids, (n / max(n.sum(), 1)).astype(np.float32)))
+        docs.append((ids, (n / (n.sum() + NEUTRAL)).astype(np.float32)))
     random = np.random.default_rng(seed)
     table = random.uniform(-1 / dim, 1 / dim, (1 << BITS, dim)).astype(np.float32)
     out, bias = np.zeros((2, dim), np.float32), np.array([0, prior], np.float32)
