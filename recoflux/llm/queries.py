@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recoflux.llm import decontamination, language, packing, quality, sharding, tokens
+from recoflux.llm import decontamination, language, packing, phrases, quality, sharding, suffixes, tokens
 from recoflux.llm.common import table
 
 
@@ -20,10 +20,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontamination": lambda spark, sf_dir: decontamination.op2_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op3_quality": lambda spark, sf_dir: quality.op3_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op4_packing": on_documents(packing.op4_packing),
+        "op5_suffix_dedup": on_documents(suffixes.op5_suffix_dedup),
         "op6_language": on_documents(language.op6_language),
         "op7_token_counts": on_documents(tokens.op7_token_counts),
+        "op8_substring_dedup": on_documents(phrases.op8_substring_dedup),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontamination.SQL}
+    return {"op2_decontamination": decontamination.SQL, "op8_substring_dedup": phrases.SQL}
