@@ -22,7 +22,7 @@ STEP = np.uint64(0xD1342543DE82EF95)
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """The words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after A-Z became a-z."""
+    r"""The words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after A-Z became a-z."""
     return WORD.findall(text.encode().translate(LOWER)) if text else []
 
 

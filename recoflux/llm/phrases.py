@@ -140,7 +140,7 @@ def remove_passages(docs: DataFrame) -> DataFrame:
 #: The contract over all tables, as SQL: every window is a row.
 SQL = r"""
 WITH docs AS (
-  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), windows AS (
   SELECT doc_id, k, hash(array_to_string(w[k : k + 49], ' ')) AS g, md5(array_to_string(w[k : k + 49], ' ')) AS m
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM docs WHERE len(w) >= 50)
