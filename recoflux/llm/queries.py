@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recoflux.llm import decontamination, language, packing, phrases, quality, sharding, suffixes, tokens, topk
+from recoflux.llm import decontamination, jaccard, language, packing, phrases, quality, sharding, suffixes, tokens, topk
 from recoflux.llm.common import table
 
 
@@ -25,8 +25,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_token_counts": on_documents(tokens.op7_token_counts),
         "op8_substring_dedup": on_documents(phrases.op8_substring_dedup),
         "op9_topk": lambda spark, sf_dir: topk.op9_topk(table(spark, sf_dir, "embeddings")),
+        "op10_jaccard": on_documents(jaccard.op10_jaccard),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontamination.SQL, "op8_substring_dedup": phrases.SQL, "op9_topk": topk.SQL}
+    return {"op2_decontamination": decontamination.SQL, "op8_substring_dedup": phrases.SQL, "op9_topk": topk.SQL, "op10_jaccard": jaccard.SQL}
