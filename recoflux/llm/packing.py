@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recoflux.llm.common import cut, ids_and_texts
-from recoflux.llm.tokens import CACHE, WHITE, vocabulary
+from recoflux.llm.tokens import CACHE, counter, vocabulary
 
 END = b"\0\0\0\0"
 
@@ -21,31 +21,42 @@ END = b"\0\0\0\0"
 class Encoder:
     """Token ids of a text as little-endian unsigned 32-bit bytes.
 
-    The library encodes each run without white space once; runs are
-    independent, since the vocabulary's rules drop white space and cross none.
+    Words are cut as WordCounter does; the library's model then gives a
+    word's ids, which a bounded cache keeps.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.runs: dict[str, bytes] = {}
-
-    def learn(self, runs: list[str]) -> None:
-        encode = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
-        for run, found in zip(runs, encode(runs, add_special_tokens=False)):
-            self.runs[run] = b"".join([i.to_bytes(4, "little") for i in found.ids])
-
-    def ids(self, text: str) -> bytes:
-        words = WHITE.findall(text)
-        if len(self.runs) > CACHE:
-            self.runs.clear()
+        self.rules = counter(path)
+        library = Tokenizer.from_file(path)
+        self.model = library.model
+        self.ends = {m: library.token_to_id(m).to_bytes(4, "little") for m in self.rules.marks}
+        self.letters = dict(enumerate(self.rules.letters))
+        self.words: dict[str, bytes] = {}
+
+    def word(self, word: str) -> bytes:
+        letters = word.encode().decode("latin-1").translate(self.letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
+
+    def plain(self, text: str) -> bytes:
+        words = self.words
+        if len(words) > CACHE:
+            words.clear()
+        found = self.rules.pieces_of(text)
         try:
-            return b"".join(map(self.runs.__getitem__, words))
+            return b"".join(map(words.__getitem__, found))
         except KeyError:
-            self.learn(list(set(words).difference(self.runs)))
-            return b"".join(map(self.runs.__getitem__, words))
+            for word in set(found).difference(words):
+                words[word] = self.word(word)
+            return b"".join(map(words.__getitem__, found))
+
+    def ids(self, text: str) -> bytes:
+        if not any(m in text for m in self.rules.marks):
+            return self.plain(text)
+        between, special = map(self.plain, self.rules.special.split(text)), self.rules.special.findall(text)
+        return b"".join([x for pair in zip(between, [*map(self.ends.get, special), b""]) for x in pair])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -168,7 +179,7 @@ def pack(docs: DataFrame, capacity: int = 2048, path: str | None = None) -> Data
     places = spark.createDataFrame(layout(minimum_bin_slack(counts, capacity)), "length long, first long, last long, sequence long, offset long")
     # Ranges of a length lie in an array sorted by first; at most one row per length, so the side has a bound.
     ranges = places.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "last", "sequence", "offset"))).alias("ranges"))
-    rows = rows.join(per.select("length", "lane", "before"), ["length", "lane"])
+    rows = rows.join(per.select("length", "lane", "before").hint("merge"), ["length", "lane"])
     rows = rows.withColumn("rank", F.col("before") + F.col("nth")).join(F.broadcast(ranges), "length")
     place = F.filter("ranges", lambda r: (r["first"] <= F.col("rank")) & (F.col("rank") <= r["last"]))[0]
     rows = rows.withColumn("place", place)

@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from recoflux.llm.common import ids_and_texts, map_texts
 
 #: Entries a cache holds before it is emptied; this bounds a worker's memory.
-CACHE = 400_000
-WHITE = re.compile("[^ \t\n\r\x0b\x0c]+")
+CACHE = 200_000
 
 
 def byte_letters() -> list[str]:
@@ -62,8 +61,7 @@ class WordCounter:
     Steps as the file states them: special strings are cut from the raw text and
     count one each; NFC; white space; lower case of each character by itself;
     pieces by the file's pattern; bytes; merges with a word end on the last
-    symbol. Since white space is dropped, a text is worked on in runs without
-    white space, whose counts are kept in a bounded cache.
+    symbol. Counts of words are kept in a bounded cache.
     """
 
     def __init__(self, path: str):
@@ -80,7 +78,6 @@ class WordCounter:
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.marks = tuple(special)
-        self.runs: dict[str, int] = {}
         self.words: dict[str, int] = {}
 
     def word(self, word: str) -> int:
@@ -90,38 +87,29 @@ class WordCounter:
         symbols[-1] += self.end
         return len(symbols) - merge_count(symbols, self.ranks)
 
-    def plain(self, run: str) -> int:
-        if run.isascii():
-            run = run.lower()
-        else:
-            run = "".join([c.lower() for c in unicodedata.normalize("NFC", run)])
-        total = 0
-        for word in self.pieces(run):
-            n = self.words.get(word)
-            if n is None:
-                n = self.words[word] = self.word(word)
-            total += n
-        return total
-
-    def run(self, run: str) -> int:
-        if self.special is not None and any(m in run for m in self.marks):
-            return len(self.special.findall(run)) + sum(map(self.plain, self.special.split(run)))
-        return self.plain(run)
+    def pieces_of(self, text: str) -> list[str]:
+        """The words that merging works on, in order, of a text without special strings."""
+        if text.isascii():
+            return self.pieces(text.lower())
+        text = unicodedata.normalize("NFC", text)
+        return self.pieces("".join([c.lower() for c in text]) if "\u03a3" in text else text.lower())  # a final capital sigma is no special case here
+
+    def plain(self, text: str) -> int:
+        words = self.words
+        if len(words) > CACHE:
+            words.clear()
+        found = self.pieces_of(text)
+        try:
+            return sum(map(words.__getitem__, found))
+        except KeyError:
+            for word in set(found).difference(words):
+                words[word] = self.word(word)
+            return sum(map(words.__getitem__, found))
 
     def count(self, text: str) -> int:
-        runs, total = self.runs, 0
-        if len(runs) > CACHE:
-            runs.clear()
-        if len(self.words) > CACHE:
-            self.words.clear()
-        for run in WHITE.findall(text):
-            n = runs.get(run)
-            if n is None:
-                n = self.run(run)
-                if len(run) <= 64:
-                    runs[run] = n
-            total += n
-        return total
+        if self.special is not None and any(m in text for m in self.marks):
+            return len(self.special.findall(text)) + sum(map(self.plain, self.special.split(text)))
+        return self.plain(text)
 
 
 _counters: dict[str, WordCounter] = {}
