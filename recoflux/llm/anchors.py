@@ -243,8 +243,8 @@ class Context:
     content: bytes
 
 
-def blocks(what: Windows) -> Callable:
-    """Step 3b, over partitions sorted by h: ranges [at, c) settled, and rows per window (h, c: its hashes; more = 0) of groups beyond GROUP."""
+def blocks(what: Windows, block_size: int = BLOCK, group_size: int = GROUP) -> Callable:
+    """Step 3b, over partitions sorted by h: ranges [at, c) settled, and rows per window (h, c: its hashes; more = 0) of groups beyond group_size."""
 
     def give(block: list[Context]) -> Iterator[pa.RecordBatch]:
         found = list(what.settle(block))
@@ -267,7 +267,7 @@ def blocks(what: Windows) -> Callable:
         block: list[Context] = []  # whole groups
         group: list[Context] = []  # the group that is being read
         in_block = in_group = 0
-        large = None  # the h of a group beyond GROUP
+        large = None  # the h of a group beyond group_size
         for batch in batches:
             for h, doc, at, n, content in zip(*(c.to_pylist() for c in batch.columns)):
                 x = Context(h, doc, at, n, content)
@@ -275,7 +275,7 @@ def blocks(what: Windows) -> Callable:
                     block += group
                     in_block += in_group
                     group, in_group = [], 0
-                    if in_block > BLOCK:
+                    if in_block > block_size:
                         yield from give(block)
                         block, in_block = [], 0
                 if h == large:
@@ -283,7 +283,7 @@ def blocks(what: Windows) -> Callable:
                     continue
                 group.append(x)
                 in_group += len(content)
-                if in_group > GROUP:
+                if in_group > group_size:
                     large = h
                     yield from by_window(group)
                     group, in_group = [], 0
@@ -312,7 +312,7 @@ def one_text_each(docs: DataFrame, carry: bool = False) -> DataFrame:
 
 def earlier_windows(docs: DataFrame, what: Windows) -> DataFrame:
     """doc_id and ranges: array of (at, to) in symbols, which cover exactly the windows that occur before."""
-    texts = docs.select("doc_id", F.col("used").alias("text")).where(F.col("doc_id").isNotNull())
+    texts = docs.select("doc_id", F.col("used").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     rows = texts.mapInArrow(extract(what), ROW).repartition("h").sortWithinPartitions("h", "c", "doc_id", "at")
     rows = cut(rows.mapInArrow(settle_contexts(what), ROW))
     asked = rows.where(F.col("more") < SETTLED).groupBy("doc_id").agg(F.collect_list(F.struct("h", "at", "more")).alias("asked"))

@@ -152,7 +152,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
     rows = window_hits(docs.select(F.struct(*docs.columns).alias("key"), F.col("text").cast("string").alias("text")), benchmark, window)
     rows = rows.where(~contaminated()).withColumn("text", F.when(F.size("hits") > 0, cleaned("text", "hits")).otherwise(F.col("text")))
-    new = {"text": F.col("text"), "n_chars": F.when(F.size("hits") > 0, F.length("text").cast("long")).otherwise(F.col("key")["n_chars"] if "n_chars" in docs.columns else F.lit(None))}
+    new = {"text": F.when(F.size("hits") > 0, F.col("text")).otherwise(F.col("key")["text"]), "n_chars": F.when(F.size("hits") > 0, F.length("text").cast("long")).otherwise(F.col("key")["n_chars"] if "n_chars" in docs.columns else F.lit(None))}
     return rows.select(*[new[c].alias(c) if c in new else F.col("key")[c].alias(c) for c in docs.columns])
 
 

@@ -133,7 +133,7 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("changed", changed).withColumn("left", F.when(changed, left("text", "ranges")).otherwise(F.col("text")))
     rows = rows.where(~F.col("changed") | (F.col("left") != ""))
     own = lambda c: F.col("_all")[c]
-    new = {"text": F.col("left"), "n_chars": F.when(F.col("changed"), F.length("left").cast("long")).otherwise(own("n_chars") if "n_chars" in docs.columns else F.lit(None))}
+    new = {"text": F.when(F.col("changed"), F.col("left")).otherwise(own("text")), "n_chars": F.when(F.col("changed"), F.length("left").cast("long")).otherwise(own("n_chars") if "n_chars" in docs.columns else F.lit(None))}
     return rows.select(*[new[c].alias(c) if c in new else own(c).alias(c) for c in docs.columns])
 
 

@@ -115,7 +115,8 @@ def settle(contexts: list[Context]) -> Iterator[tuple[int, int, int]]:
     offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     doc, at = (np.array([getattr(x, k) for x in contexts], np.int64) for k in ("doc", "at"))
     by = np.lexsort((at[of] + offset, doc[of]))
-    place[(starts[of] + offset)[by]] = np.arange(len(by))
+    d, p = doc[of][by], (at[of] + offset)[by]
+    place[(starts[of] + offset)[by]] = np.cumsum(np.concatenate([[False], (d[1:] != d[:-1]) | (p[1:] != p[:-1])]))
     order = suffix_array(text, WIDTH)
     order = order[place[order] >= 0]
     same = common_prefix_at_least(eight_bytes(text, WIDTH + 8), order, WIDTH)
