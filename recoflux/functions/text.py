@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recoflux.functions import stemming
 
@@ -49,9 +50,7 @@ def remove_stop_words(tokens: Column, language: Column, least: int = 1, most: in
     return by_language(language, kept).otherwise(tokens)
 
 
-@F.pandas_udf("array<string>")
-def stems(tokens: pd.Series, language: pd.Series) -> pd.Series:
-    """Stems of tokens; those of an unsupported language stay as they are."""
+def _stemmed(tokens: pd.Series, language: pd.Series) -> pd.Series:
     out = []
     for words, code in zip(tokens, language):
         name = stemming.name_of(code)
@@ -59,6 +58,11 @@ def stems(tokens: pd.Series, language: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def stems(tokens: Column, language: Column) -> Column:
+    """Stems of tokens; those of an unsupported language stay as they are."""
+    return F.pandas_udf(_stemmed, T.ArrayType(T.StringType()))(tokens, language)
+
+
 def text_to_stems(text: Column, language: Column, least: int = MIN_LENGTH) -> Column:
     """Words, then stems, then stop words off."""
     return remove_stop_words(stems(tokenize(squeezed(text)), language), language, least)

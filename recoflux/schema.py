@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _of(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+KINDS = {"STRING": T.StringType(), "BOOLEAN": T.BooleanType(), "TIMESTAMP": T.TimestampType(), "BIGINT": T.LongType(), "INT": T.IntegerType(), "DOUBLE": T.DoubleType()}
+
+
+def _of(columns: str) -> T.StructType:
+    """A schema from "name KIND, ..."; kinds by name, so that no session is needed."""
+    pairs = [c.split() for c in columns.split(", ")]
+    return T.StructType([T.StructField(name, T.ArrayType(KINDS[kind[6:-1]]) if kind.startswith("ARRAY<") else KINDS[kind]) for name, kind in pairs])
 
 
 USERS = _of("external_id STRING, anonymous BOOLEAN")
@@ -19,7 +24,7 @@ POPULARITY = _of("p_id STRING, first TIMESTAMP, latest TIMESTAMP, count BIGINT,
 UU_STRENGTHS = _of("user STRING, template_user STRING, nc BIGINT, na BIGINT, denominator BIGINT, strength DOUBLE")
 PP_STRENGTHS = _of("product STRING, template_product STRING, nc BIGINT, na BIGINT, denominator BIGINT, strength DOUBLE")
 TFIDF_STRENGTHS = _of("product STRING, template_product STRING, strength DOUBLE")
-TEMPLATES = _of("id STRING, templates ARRAY<STRUCT<strength: DOUBLE, id: STRING>>")
+TEMPLATES = T.StructType([T.StructField("id", T.StringType()), T.StructField("templates", T.ArrayType(_of("strength DOUBLE, id STRING")))])
 TERMS = _of("product STRING, language STRING, attribute STRING, term STRING, count BIGINT")
 DF = _of("language STRING, term STRING, df BIGINT")
 TFIDF = _of("product STRING, language STRING, attribute STRING, term STRING, tfidf DOUBLE")
