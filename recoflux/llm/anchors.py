@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recoflux.llm.common import Rolling, byte_slabs, cut, mix
+from recoflux.llm.common import Rolling, byte_slabs, cut, map_arrow, mix
 
 #: Symbols that a block of contexts holds, about; a group of more is a block of its own up to GROUP.
-BLOCK, GROUP = 1 << 20, 1 << 22
+BLOCK, GROUP = 1 << 19, 1 << 21
 
 
 @dataclass(frozen=True)
@@ -118,25 +118,30 @@ SETTLED = -2
 def extract(what: Windows) -> Callable:
     """Step 1. Rows (h, c, doc_id, at = first start, more = windows) and settled ranges (at, c)."""
 
+    def slab(ids: list, data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+        docs = np.array([-1 if x is None else x for x in ids], np.int64)
+        null = np.array([x is None for x in ids], bool)
+        symbols, at, _, _ = what.split(data, bounds)
+        lo, hi, h, c = anchor_ranges(symbols, at, what.width, what.gram)
+        # texts of no symbols share a bound; the last of them is the one that holds the position
+        text = np.searchsorted(at, lo, "right") - 1
+        keep = ~null[text] if len(text) else np.zeros(0, bool)
+        lo, hi, h, c, text = lo[keep], hi[keep], h[keep], c[keep], text[keep]
+        return [h, c, docs[text], lo - at[text], hi - at[text]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, data, bounds in byte_slabs(batch):
-                docs = np.array([-1 if x is None else x for x in ids], np.int64)
-                symbols, at, _, _ = what.split(data, bounds)
-                lo, hi, h, c = anchor_ranges(symbols, at, what.width, what.gram)
-                text = np.searchsorted(at, lo, "right") - 1
-                # texts of no symbols share a bound; the last of them is the one that holds the position
-                null = np.array([x is None for x in ids], bool)
-                keep = ~null[text] if len(text) else np.zeros(0, bool)
-                lo, hi, h, c, text = lo[keep], hi[keep], h[keep], c[keep], text[keep]
-                doc, lo, hi = docs[text], lo - at[text], hi - at[text]
-                order = np.lexsort((lo, doc, c, h))
-                h, c, doc, lo, hi = h[order], c[order], doc[order], lo[order], hi[order]
-                before = occurs_before(h, c, doc, lo, what.own)
-                d, a, b = merged(doc[before], lo[before], hi[before] + what.width)
-                yield row_batch(h[~before], c[~before], doc[~before], lo[~before], (hi - lo + 1)[~before])
-                if len(d):
-                    yield row_batch(spread(d), b, d, a, np.full(len(d), SETTLED))
+            parts = [slab(*x) for x in byte_slabs(batch)]
+            if not parts:
+                continue
+            h, c, doc, lo, hi = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((lo, doc, c, h))
+            h, c, doc, lo, hi = h[order], c[order], doc[order], lo[order], hi[order]
+            before = occurs_before(h, c, doc, lo, what.own)
+            d, a, b = merged(doc[before], lo[before], hi[before] + what.width)
+            yield row_batch(h[~before], c[~before], doc[~before], lo[~before], (hi - lo + 1)[~before])
+            if len(d):
+                yield row_batch(spread(d), b, d, a, np.full(len(d), SETTLED))
 
     return run
 
@@ -295,30 +300,32 @@ def blocks(what: Windows, block_size: int = BLOCK, group_size: int = GROUP) -> C
 
 
 def one_text_each(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """(doc_id, text, used): used is the text, but null where rows repeat an id with another text.
+    """(doc_id, text, same): same is false where rows repeat an id with another text.
 
     Of such rows the one whose text has the least hash stands for the document; the
     others are neither a source of removals nor changed. Equal rows count as one
-    document. With carry, _all holds all columns of the row.
+    document. With carry, _all holds all columns of the row, and text is null in it.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *([F.struct(*docs.columns).alias("_all")] if carry else []))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rest = F.struct(*[F.lit(None).cast("string").alias(c) if c == "text" else F.col(c) for c in docs.columns]).alias("_all")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *([rest, F.col("text").isNull().alias("_null")] if carry else []))
     repeated = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
     if not repeated.limit(1).count():
-        return rows.withColumn("used", F.col("text"))
+        return rows.withColumn("same", F.lit(True))
     least = rows.join(repeated, "doc_id").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("least"))
     rows = rows.join(least, "doc_id", "left")
-    return rows.withColumn("used", F.when(F.col("least").isNull() | (F.xxhash64("text") == F.col("least")), F.col("text"))).drop("least")
+    return rows.withColumn("same", F.col("least").isNull() | (F.xxhash64("text") == F.col("least"))).drop("least")
 
 
 def earlier_windows(docs: DataFrame, what: Windows) -> DataFrame:
     """doc_id and ranges: array of (at, to) in symbols, which cover exactly the windows that occur before."""
-    texts = docs.select("doc_id", F.col("used").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    rows = texts.mapInArrow(extract(what), ROW).repartition("h").sortWithinPartitions("h", "c", "doc_id", "at")
-    rows = cut(rows.mapInArrow(settle_contexts(what), ROW))
+    texts = docs.where(F.col("doc_id").isNotNull() & F.col("same")).select("doc_id", "text")
+    rows = texts.transform(map_arrow, extract(what), ROW).repartition("h").sortWithinPartitions("h", "c", "doc_id", "at")
+    rows = cut(rows.transform(map_arrow, settle_contexts(what), ROW))
     asked = rows.where(F.col("more") < SETTLED).groupBy("doc_id").agg(F.collect_list(F.struct("h", "at", "more")).alias("asked"))
     contexts = texts.join(asked.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "asked")
-    contexts = contexts.mapInArrow(context_rows(what), "h long, doc_id long, at long, n long, content binary")
-    found = cut(contexts.repartition("h").sortWithinPartitions("h").mapInArrow(blocks(what), ROW))
+    contexts = contexts.transform(map_arrow, context_rows(what), "h long, doc_id long, at long, n long, content binary")
+    found = cut(contexts.repartition("h").sortWithinPartitions("h").transform(map_arrow, blocks(what), ROW))
     windows = found.where("more = 0").select("h", "c", "doc_id", "at")
     first = windows.groupBy("h", "c").agg(F.min(F.struct("doc_id", "at")).alias("first"))
     later = F.struct("doc_id", "at") > F.col("first") if what.own else F.col("doc_id") > F.col("first.doc_id")

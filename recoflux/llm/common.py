@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,10 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; a longer text is a pass of its own.
-SLAB = 1 << 20
+SLAB = 1 << 18
+#: Bytes of an Arrow batch, where the session has Spark's default: what a Python worker holds at once.
+ARROW_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,6 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, unless the session does so itself. Idle workers keep what they once held."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "64MB", "64m"):
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again.
 
@@ -39,6 +50,7 @@ def cut(df: DataFrame) -> DataFrame:
     that read the table, and what df held is fixed even where its order was not.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/recoflux-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -54,6 +66,27 @@ def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can: idle workers else keep what they once used."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow; a worker gives its memory back when its task is done."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
 def map_texts(docs: DataFrame, per_batch: Callable[[list, list], dict], schema: str) -> DataFrame:
     """per_batch(ids, texts) for each Arrow batch of (doc_id, text); it returns columns by name.
 
@@ -65,7 +98,7 @@ def map_texts(docs: DataFrame, per_batch: Callable[[list, list], dict], schema:
             out = per_batch(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             yield pa.RecordBatch.from_pydict(out)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def byte_slabs(batch: pa.RecordBatch, limit: int = SLAB) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:

@@ -6,12 +6,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recoflux.llm.common import ids_and_texts, mix
+from recoflux.llm.common import ids_and_texts, map_arrow, mix
 
 WINDOW = 13
 #: Benchmark text bytes that one block of items may hold; a block is broadcast, more blocks are more passes.
@@ -85,48 +84,55 @@ def item_blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple]]:
         yield block
 
 
-def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """key, text, n_words, n_hit, hits (ranges of hit words, [from, to) pairs) and items (ids as strings, sorted)
-    for each row (key, text) of docs; key may be of any type.
+def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, clean: bool = False) -> DataFrame:
+    """docs, which hold a text, with _n_words, _n_hit, _hits (ranges of hit words, [from, to) pairs) and _items (ids as strings, sorted).
 
     A block of items is broadcast as a hash set and every document scanned
     against it where it is read: no shuffle. Items beyond a block are scanned in
     further passes; a pass adds to the ranges of those before it. Null or empty
     texts have no words; an item of none has no window, and an item without id is
     left out; repeated rows each get their result; an empty benchmark hits nothing.
+    With clean, the last pass also takes the hit words out of the text.
     """
     spark = docs.sparkSession
-    rows = docs.select("key", "text").withColumns({"hits": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
-    for block in list(item_blocks(benchmark, block_bytes)) or [[]]:
-        rows = scan(rows.select("key", "text", "hits", "items"), spark.sparkContext.broadcast(block), window)
+    rows = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_n_hit": F.lit(0).cast("long"), "_hits": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")})
+    blocks = list(item_blocks(benchmark, block_bytes)) or [[]]
+    for k, block in enumerate(blocks):
+        rows = scan(rows, spark.sparkContext.broadcast(block), window, clean and k == len(blocks) - 1)
     return rows
 
 
-def scan(rows: DataFrame, block, window: int) -> DataFrame:
+def scan(rows: DataFrame, block, window: int, clean: bool) -> DataFrame:
+    n, at = len(rows.columns) - 4, rows.columns.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(block.value, window)
         for batch in batches:
-            n_words, n_hit, all_hits, all_items = [], [], [], []
-            for text, hits, items in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+            n_words, n_hit, all_hits, all_items, texts = [], [], [], [], []
+            for text, hits, items in zip(*(batch.column(k).to_pylist() for k in (at, n + 2, n + 3))):
                 words = words_of(text)
                 mask, found = grams.hits(words)
                 for a, b in zip(hits[::2], hits[1::2]):
                     mask[a:b] = True
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
+                edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8))).tolist()
                 n_words.append(len(words))
                 n_hit.append(int(mask.sum()))
-                all_hits.append(edges.tolist())
+                all_hits.append(edges)
                 all_items.append(sorted({*items, *map(str, found)}))
+                if clean:
+                    texts.append(without_hits(text, edges) if edges else text)
+            columns = list(batch.columns[:n])
+            if clean:
+                columns[at] = pa.array(texts, columns[at].type)
             more = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(all_hits, pa.list_(pa.int32())), pa.array(all_items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *more], names=["key", "text", "n_words", "n_hit", "hits", "items"])
+            yield pa.RecordBatch.from_arrays([*columns, *more], names=batch.schema.names)
 
-    key = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {key}, text string, n_words long, n_hit long, hits array<int>, items array<string>")
+    return rows.transform(map_arrow, run, rows.schema)
 
 
 def contaminated() -> Column:
     """Any hit, and at least one word in twenty."""
-    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    return (F.col("_n_hit") > 0) & (20 * F.col("_n_hit") >= F.col("_n_words"))
 
 
 def without_hits(text: str, hits: list[int]) -> str:
@@ -145,20 +151,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
     The columns are those of docs; n_chars, where there is one, becomes that of the new text.
     """
-
-    @F.pandas_udf("string")
-    def cleaned(texts: pd.Series, hits: pd.Series) -> pd.Series:
-        return pd.Series([without_hits(t, h.tolist()) if len(h) else t for t, h in zip(texts, hits)], dtype=object)
-
-    rows = window_hits(docs.select(F.struct(*docs.columns).alias("key"), F.col("text").cast("string").alias("text")), benchmark, window)
-    rows = rows.where(~contaminated()).withColumn("text", F.when(F.size("hits") > 0, cleaned("text", "hits")).otherwise(F.col("text")))
-    new = {"text": F.when(F.size("hits") > 0, F.col("text")).otherwise(F.col("key")["text"]), "n_chars": F.when(F.size("hits") > 0, F.length("text").cast("long")).otherwise(F.col("key")["n_chars"] if "n_chars" in docs.columns else F.lit(None))}
-    return rows.select(*[new[c].alias(c) if c in new else F.col("key")[c].alias(c) for c in docs.columns])
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    rows = window_hits(docs, benchmark, window, clean=True).where(~contaminated())
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("_n_hit") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.select(*docs.columns)
 
 
 def op2_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    rows = window_hits(ids_and_texts(docs).withColumnRenamed("doc_id", "key"), benchmark)
-    return rows.select(F.col("key").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), contaminated().alias("contaminated"))
+    rows = window_hits(ids_and_texts(docs), benchmark)
+    return rows.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "_items"), 256).alias("items_sha256"), contaminated().alias("contaminated"))
 
 
 #: The contract over all tables, as SQL: windows are joined as strings.

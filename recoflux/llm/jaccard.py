@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recoflux.llm.common import RADIX, Rolling, Words, byte_slabs, cut, ids_and_texts, lower_ascii, mix
+from recoflux.llm.common import RADIX, Rolling, Words, byte_slabs, cut, ids_and_texts, lower_ascii, map_arrow, mix
 
 SHINGLE = 5
 #: Skipped subsets for each that is indexed.
@@ -185,7 +185,7 @@ def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     others; the rest are tied to it at once (EDGE, doc_id to more).
     """
     for batch in batches:
-        for ids, data, bounds in byte_slabs(batch):
+        for ids, data, bounds in byte_slabs(batch, 1 << 20):
             docs = np.array([-1 if x is None else x for x in ids], np.int64)
             named = np.array([x is not None for x in ids], bool)
             sets = Sets(data, bounds)
@@ -277,7 +277,7 @@ def unconnected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = np.argsort(n, kind="stable")
         doc, label, n, sketch = doc[by], label[by], n[by], sketch[by]
         upto = np.searchsorted(n, n * 5 // 4, "right")
-        step = max(1, 200_000 // len(doc))
+        step = max(1, 50_000 // len(doc))
         for i in range(0, len(doc), step):
             rows_ = np.arange(i, min(i + step, len(doc)))
             count = upto[rows_] - rows_ - 1
@@ -329,11 +329,11 @@ def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The linked ones of pairs (a, b); only texts that are in a pair become sets."""
     asked = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = texts.join(asked.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(set_rows, "doc_id long, shingles binary")
+    sets = texts.join(asked.hint("shuffle_hash"), "doc_id", "left_semi").transform(map_arrow, set_rows, "doc_id long, shingles binary")
     sets = cut(sets)
     rows = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")).hint("merge"), "a")
     rows = rows.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")).hint("merge"), "b")
-    return rows.select("a", "b", "of_a", "of_b").mapInArrow(linked, "a long, b long").distinct()
+    return rows.select("a", "b", "of_a", "of_b").transform(map_arrow, linked, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -371,20 +371,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     64-bit hashes; equal sets are told by 128-bit digests.
     """
     texts = ids_and_texts(docs)
-    rows = texts.mapInArrow(index_rows, ROW).repartition("key").sortWithinPartitions("key", "kind", "more", "doc_id")
-    met = cut(rows.mapInArrow(meet, ROW))
+    rows = texts.transform(map_arrow, index_rows, ROW).repartition("key").sortWithinPartitions("key", "kind", "more", "doc_id")
+    met = cut(rows.transform(map_arrow, meet, ROW))
     sets = met.where(F.col("kind") == SET).select("doc_id", "n", "sketch")
     edges = met.where(F.col("kind") == EDGE).select(F.col("doc_id").alias("a"), F.col("more").alias("b"))
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")).hint("merge")
     pairs = met.where(F.col("kind") == PAIR).select(F.least("more", "doc_id").alias("a"), F.greatest("more", "doc_id").alias("b")).distinct()
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(likely, "a long, b long")
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").transform(map_arrow, likely, "a long, b long")
     texts = texts.where(F.col("doc_id").isNotNull())
     edges = edges.unionByName(cut(verified(texts, cut(pairs))))
     labels = cut(components(edges))
     groups = met.where(F.col("kind") == GROUP).select("key", "doc_id").join(labels.hint("merge"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     mixed = groups.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
     groups = groups.join(mixed.hint("merge"), "key", "left_semi").join(sets.hint("merge"), "doc_id").select("key", "doc_id", "label", "n", "sketch")
-    more = groups.repartition("key").sortWithinPartitions("key").mapInArrow(unconnected, "a long, b long").distinct()
+    more = groups.repartition("key").sortWithinPartitions("key").transform(map_arrow, unconnected, "a long, b long").distinct()
     more = cut(verified(texts, cut(more)))
     named = labels.select(F.col("doc_id"), "label")
     again = more.join(named.select(F.col("doc_id").alias("a"), F.col("label").alias("l_a")), "a", "left").join(named.select(F.col("doc_id").alias("b"), F.col("label").alias("l_b")), "b", "left")

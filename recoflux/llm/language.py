@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recoflux.llm.common import hold_out, ids_and_texts
+from recoflux.llm.common import hold_out, ids_and_texts, map_arrow
 
 #: n-grams that a profile holds.
 TOP = 400
@@ -111,7 +111,7 @@ def learn_profiles(docs: DataFrame, top: int = TOP, sample: int = SAMPLE) -> dic
         for lang, (codes, counts) in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes), pa.array(counts)], names=["lang", "gram", "n"])
 
-    counts = known.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = known.select("lang", "text").transform(map_arrow, run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     best = counts.withColumn("place", place).where(F.col("place") <= top)
     out: dict[str, list] = {}
@@ -131,7 +131,7 @@ def predict_language(docs: DataFrame, ranks: dict[str, list[int]], top: int = TO
             if found:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found]), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return ids_and_texts(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return ids_and_texts(docs).transform(map_arrow, run, "doc_id long, lang_pred string, score double")
 
 
 def op6_language(docs: DataFrame) -> DataFrame:

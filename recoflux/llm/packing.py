@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recoflux.llm.common import cut, ids_and_texts
+from recoflux.llm.common import cut, ids_and_texts, map_arrow
 from recoflux.llm.tokens import CACHE, counter, vocabulary
 
 END = b"\0\0\0\0"
@@ -157,7 +157,7 @@ def pieces(docs: DataFrame, capacity: int, path: str | None) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "piece", "start", "length", "ids_crc32", "lane", "nth"])
 
-    return ids_and_texts(docs).mapInArrow(run, "doc_id long, piece long, start long, length long, ids_crc32 long, lane long, nth long")
+    return ids_and_texts(docs).transform(map_arrow, run, "doc_id long, piece long, start long, length long, ids_crc32 long, lane long, nth long")
 
 
 def pack(docs: DataFrame, capacity: int = 2048, path: str | None = None) -> DataFrame:

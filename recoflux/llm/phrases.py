@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recoflux.llm.anchors import Context, Windows, earlier_windows, mask_of, one_text_each
-from recoflux.llm.common import Rolling, Words, mix
+from recoflux.llm.common import Rolling, Words, map_arrow, mix
 
 WIDTH, GRAM = 50, 12
 #: Phrases of an automaton at most; more phrases are more automata.
@@ -108,8 +108,8 @@ def op8_substring_dedup(docs: DataFrame) -> DataFrame:
 
     docs = one_text_each(docs)
     rows = docs.join(earlier_windows(docs, PASSAGES).hint("shuffle_hash"), "doc_id", "left")
-    rows = rows.selectExpr("doc_id", "text", "used IS NOT NULL AS same", "ranges")
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    rows = rows.select("doc_id", "text", "same", "ranges")
+    return rows.transform(map_arrow, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_passages(docs: DataFrame) -> DataFrame:
@@ -129,11 +129,11 @@ def remove_passages(docs: DataFrame) -> DataFrame:
 
     marked = one_text_each(docs, carry=True)
     rows = marked.join(earlier_windows(marked, PASSAGES).hint("shuffle_hash"), "doc_id", "left")
-    changed = F.col("ranges").isNotNull() & F.col("used").isNotNull()
+    changed = F.col("ranges").isNotNull() & F.col("same")
     rows = rows.withColumn("changed", changed).withColumn("left", F.when(changed, left("text", "ranges")).otherwise(F.col("text")))
     rows = rows.where(~F.col("changed") | (F.col("left") != ""))
     own = lambda c: F.col("_all")[c]
-    new = {"text": F.when(F.col("changed"), F.col("left")).otherwise(own("text")), "n_chars": F.when(F.col("changed"), F.length("left").cast("long")).otherwise(own("n_chars") if "n_chars" in docs.columns else F.lit(None))}
+    new = {"text": F.when(~F.col("_null"), F.col("left")), "n_chars": F.when(F.col("changed"), F.length("left").cast("long")).otherwise(own("n_chars") if "n_chars" in docs.columns else F.lit(None))}
     return rows.select(*[new[c].alias(c) if c in new else own(c).alias(c) for c in docs.columns])
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recoflux.llm.common import RADIX, SPACES, Words, byte_slabs, hold_out, ids_and_texts, mix
+from recoflux.llm.common import RADIX, SPACES, Words, byte_slabs, hold_out, ids_and_texts, map_arrow, mix
 
 #: Rows of the embedding table; features share them by hash.
 BITS = 17
@@ -143,7 +143,7 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found))], names=["key", "score"])
 
-    return docs.select("key", "text").mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, score double")
+    return docs.select("key", "text").transform(map_arrow, run, f"key {docs.schema['key'].dataType.simpleString()}, score double")
 
 
 def op3_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -154,8 +154,19 @@ def op3_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is at least `least`."""
-    model = fit_quality(docs, labels)
-    rows = docs.select(F.struct(*docs.columns).alias("key"), F.col("text").cast("string").alias("text"))
-    rows = score_quality(rows, model).where(F.col("score") >= least)
-    return rows.select(*[F.col("key")[c].alias(c) for c in docs.columns])
+    """The rows of docs, with all their columns, whose score is at least `least`.
+
+    Rows pass through the step that scores them, so nothing is joined or sent twice.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            row = 0
+            for ids, data, bounds in byte_slabs(pa.RecordBatch.from_arrays([pa.nulls(len(batch), pa.int64()), batch.column(at)], names=["id", "text"])):
+                yield batch.slice(row, len(ids)).filter(pa.array(model.scores(data, bounds) >= least))
+                row += len(ids)
+
+    return docs.transform(map_arrow, run, docs.schema)

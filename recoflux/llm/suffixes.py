@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from recoflux.llm.anchors import Context, Windows, earlier_windows, mask_of, one_text_each
-from recoflux.llm.common import BYTE_SYMBOLS
+from recoflux.llm.common import BYTE_SYMBOLS, map_arrow
 
 WIDTH, GRAM = 100, 32
 
@@ -160,5 +160,5 @@ def op5_suffix_dedup(docs: DataFrame) -> DataFrame:
 
     docs = one_text_each(docs)
     rows = docs.join(earlier_windows(docs, REPEATS).hint("shuffle_hash"), "doc_id", "left")
-    rows = rows.selectExpr("doc_id", "text", "used IS NOT NULL AS same", "ranges")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = rows.select("doc_id", "text", "same", "ranges")
+    return rows.transform(map_arrow, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from recoflux.llm.common import ids_and_texts, map_texts
 
 #: Entries a cache holds before it is emptied; this bounds a worker's memory.
-CACHE = 200_000
+CACHE = 100_000
 
 
 def byte_letters() -> list[str]:

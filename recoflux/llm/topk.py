@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recoflux.llm.common import cut
+from recoflux.llm.common import cut, map_arrow
 
 #: Queries of a block, which is broadcast (at most QUERIES * terms * 8 bytes); more queries are more blocks.
 QUERIES = 4096
@@ -108,7 +108,7 @@ def best_of_block(candidates: DataFrame, ids: np.ndarray, rows: np.ndarray, k: i
                 best.add(scores, part)
         yield pa.RecordBatch.from_arrays([pa.array(best.query), pa.array(best.id), pa.array(best.score.astype(np.int64))], names=["query", "vec_id", "score"])
 
-    return candidates.mapInArrow(run, "query long, vec_id long, score long")
+    return candidates.transform(map_arrow, run, "query long, vec_id long, score long")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0) -> DataFrame:

@@ -105,8 +105,8 @@ def test_decontamination(spark, corpus):
         expected[doc] = (len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w))
     out = {r[0]: tuple(r)[1:] for r in decontamination.op2_decontamination(frame(spark, docs), bench).collect()}
     assert out == expected
-    small = decontamination.window_hits(frame(spark, docs).select(F.col("doc_id").alias("key"), "text"), bench, block_bytes=50).collect()
-    assert {r.key: r.n_hit for r in small} == {k: v[1] for k, v in expected.items()}
+    small = decontamination.window_hits(frame(spark, docs), bench, block_bytes=50).collect()
+    assert {r.doc_id: r._n_hit for r in small} == {k: v[1] for k, v in expected.items()}
     assert decontamination.op2_decontamination(frame(spark, docs), bench.limit(0)).where("n_hit > 0").count() == 0
     kept = {r.doc_id: r.text for r in decontamination.decontaminate(frame(spark, docs), bench).collect()}
     assert set(kept) == {d for d, v in expected.items() if not v[4]}
