@@ -61,7 +61,11 @@ class Tables:
         kept = hit.join(touched.drop("bucket"), keys, "left_anti")
         stage = f"{self.root}/_stage/{name}"
         kept.unionByName(new).write.mode("overwrite").parquet(stage)
-        self.spark.read.parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path(name))
+        staged = self.spark.read.parquet(stage)
+        staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path(name))
+        # A bucket that has lost its last row isn't written, so it is removed; there are no more rows here than buckets.
+        for row in touched.select("bucket").distinct().join(staged.select("bucket").distinct(), "bucket", "left_anti").collect():
+            self._files.delete(self._path(f"{self.path(name)}/bucket={row.bucket}"), True)
 
 
 class Lanes:
