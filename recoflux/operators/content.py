@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recoflux.config import EngineConfig
@@ -18,8 +18,7 @@ def text_similarity(tfidf: DataFrame, targets: DataFrame | None = None) -> DataF
     what p's weights say, less where t has a term with less weight. One equi-join of the inverted index with itself
     and one sum, which combines before the shuffle.
     """
-    sums = tfidf.groupBy("product", "attribute").agg(F.sum("tfidf").alias("whole"))
-    left = tfidf.join(sums, ["product", "attribute"])
+    left = tfidf.withColumn("whole", F.sum("tfidf").over(Window.partitionBy("product", "attribute")))
     if targets is not None:
         left = left.join(targets.select("product").distinct(), "product", "left_semi")
     left = left.select("language", "attribute", "term", "product", F.col("tfidf").alias("w"), (F.col("tfidf") / F.col("whole")).alias("share"))

@@ -18,7 +18,7 @@ from recoflux.plans import merges
 from recoflux.sources import scans, sinks
 
 
-SHARED = {"summary", "popularity", "models", "terms", "user_templates", "product_templates", "content_templates", "impression_summary"}
+SHARED = {"summary", "popularity", "models", "terms", "tfidf", "user_templates", "product_templates", "content_templates", "impression_summary"}
 
 
 @dataclass

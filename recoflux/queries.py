@@ -67,7 +67,7 @@ def template_rows(df: DataFrame, entity: str) -> DataFrame:
 
 def recommended(algorithm: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = plans.recommend(tables(spark, sf_dir), all_users(spark, sf_dir), 10, algorithm)
+        rows = plans.recommend(tables(spark, sf_dir, keep=True), sinks.materialized(all_users(spark, sf_dir)), 10, algorithm)
         score = lambda k: F.round(F.coalesce(F.get("score", k - 1), F.lit(0.0)), 6).alias(f"score_{k}")
         return rows.select("user", "rank", "product", score(1), score(2), score(3))
 
@@ -273,8 +273,8 @@ def queries() -> dict[str, Query]:
         "term_frequencies": lambda s, d: tables(s, d).terms.select("product", "attribute", "term", "count"),
         "document_frequencies": lambda s, d: models.document_frequencies(tables(s, d).terms),
         "tfidf": lambda s, d: tables(s, d).tfidf.select("product", "attribute", "term", flat("tfidf").alias("tfidf")),
-        "content_strengths": lambda s, d: tables(s, d).content.select("product", "template_product", F.round("strength", 6).alias("strength")),
-        "content_templates": lambda s, d: template_rows(tables(s, d).content_templates, "product"),
+        "content_strengths": lambda s, d: tables(s, d, keep=True).content.select("product", "template_product", F.round("strength", 6).alias("strength")),
+        "content_templates": lambda s, d: template_rows(tables(s, d, keep=True).content_templates, "product"),
         "stemmed_models": lambda s, d: models.persisted(models.product_models(testdata.products(s, d), EngineConfig()), EngineConfig()),
         "stemmed_terms": lambda s, d: models.term_frequencies(testdata.products(s, d), EngineConfig()),
         "context_filter": context('{"$or": [{"language": "x-en", "price": {"$lt": 1500}}, {"language": {"$ne": "x-en"}, "date": {"$gte": "2024-01-21T00:00:00+00:00"}}]}'),
