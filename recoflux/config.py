@@ -112,7 +112,7 @@ class EngineConfig:
             "HRVoting": [("UBCF", 0.25, False), ("PBCF", 0.25, True), ("CB", 0.5, False)],
         }
     )
-    anonymous_prefix: str = "hmrtmp"
+    anonymous_prefix: str = "hmrtmp"  # fixed value: ids of anonymous users begin so
     seed: int = 17
 
     def __post_init__(self):

@@ -150,13 +150,13 @@ SELECTS = {
     "voting_scores": f"""SELECT u AS "user", p AS product, round(sum(CASE algorithm WHEN 'CB' THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END * 1000 * pow(2.0::DOUBLE, -(rank - 1) / 4.0::DOUBLE)), 6) AS votes FROM ({listed('ubcf_raw', 'UBCF')} UNION ALL {listed('pbcf_raw', 'PBCF')} UNION ALL {listed('cb_raw', 'CB')}) WHERE rank <= 30 GROUP BY u, p""",
     "context_filter": f"SELECT p AS external_id FROM live WHERE (language = 'x-en' AND coalesce(price, 100) < 1500) OR (language <> 'x-en' AND date >= {PRESENT} - INTERVAL 10 DAY)",
     "context_filter_list": "SELECT p AS external_id FROM live WHERE source = 'src3' AND coalesce(price, 100) >= 100",
-    "merge_operands": """SELECT coalesce(n.p, d.p, s.p) AS entity, coalesce(n.t, d.t, s.t) AS template, nc, na, den AS denominator, round(s, 9) AS strength FROM (SELECT p, t, nc, na FROM pps WHERE nc % 3 <> 0) n
+    "merge_operands": """SELECT coalesce(n.p, d.p, s.p) AS entity, coalesce(n.t, d.t, s.t) AS template, CAST(nc AS DOUBLE) AS nc, CAST(na AS DOUBLE) AS na, CAST(den AS DOUBLE) AS denominator, round(s, 9) AS strength FROM (SELECT p, t, nc, na FROM pps WHERE nc % 3 <> 0) n
       FULL JOIN (SELECT p, t, CAST(den AS BIGINT) AS den FROM pps WHERE nc % 3 <> 1) d ON n.p = d.p AND n.t = d.t FULL JOIN (SELECT p, t, s FROM pps WHERE nc % 3 <> 2) s ON coalesce(n.p, d.p) = s.p AND coalesce(n.t, d.t) = s.t""",
     "upsert_strengths": "SELECT p AS product, t AS template_product, CASE WHEN nc % 2 = 0 THEN 1.0::DOUBLE ELSE round(s, 9) END AS strength FROM pps",
     "increment_operands": "SELECT p AS product, t AS template_product, CAST(nc + CASE WHEN nc % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS nc, CAST(na + CASE WHEN nc % 2 = 0 THEN 2 ELSE 0 END AS BIGINT) AS na FROM pps",
     "delete_products": "SELECT p AS external_id FROM product WHERE p NOT IN ('p3', 'p4')",
     "mark_deleted": "SELECT p AS external_id, strftime(CASE WHEN p IN ('p3', 'p16') THEN coalesce(deleted_on, TIMESTAMP '2024-01-30 00:00:00') ELSE deleted_on END, '%Y-%m-%d') AS deleted_on FROM product",
-    "copy_marks": "SELECT u AS \"user\", p AS product, CASE WHEN day >= TIMESTAMP '2024-01-15 00:00:00' THEN activity END AS uu_latest_type, CASE WHEN day >= TIMESTAMP '2024-01-15 00:00:00' THEN epoch_us(ts) END AS uu_latest_date FROM summary",
+    "copy_marks": "SELECT u AS \"user\", p AS product, CASE WHEN day >= TIMESTAMP '2024-01-15 00:00:00' THEN activity END AS uu_latest_type, CASE WHEN day >= TIMESTAMP '2024-01-15 00:00:00' THEN CAST(epoch_us(ts) AS VARCHAR) END AS uu_latest_date FROM summary",
     "expire_anonymous": "SELECT u AS \"user\", p AS product, epoch_us(ts) AS created_at FROM act WHERE NOT anonymous OR ts >= TIMESTAMP '2024-01-15 00:00:00'",
     "common_terms": "SELECT a.doc_id AS a, b.doc_id AS b, CAST(len(list_intersect(string_split(a.text, ' '), string_split(b.text, ' '))) AS BIGINT) AS n FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1",
     "bloom_filter": "SELECT count(DISTINCT user_id) AS members, CAST(0 AS BIGINT) AS missed FROM events",

@@ -9,6 +9,7 @@ from functools import reduce
 #: A list as {algorithm: [(score, product), ..]}, best first; a merged list has (tags, score, product).
 Lists = dict[str, list[tuple[list[float], str]]]
 Merged = list[tuple[list[str], list[float], str]]
+#: Items between bonuses, ranks over which a vote halves, the least value of a first vote.
 BONUS_PERIOD = 8
 VOTE_HALFLIFE = 4.0
 LEAST_VOTE = 1000

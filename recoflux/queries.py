@@ -97,7 +97,7 @@ def voting_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_impressions(entity: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = tables(spark, sf_dir, CONFIG.with_(impressions=True))
+        t = tables(spark, sf_dir, CONFIG.with_(impressions=True), keep=True)
         return strength_rows(t.uu if entity == "user" else t.pp, entity)
 
     return query
@@ -134,20 +134,20 @@ def context(condition: str, **more) -> Query:
 
 
 def operands_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables(spark, sf_dir).pp.withColumnsRenamed({"product": "entity", "template_product": "template"})
+    rows = sinks.materialized(tables(spark, sf_dir, keep=True).pp.withColumnsRenamed({"product": "entity", "template_product": "template"}))
     part = lambda k: rows.where(F.col("nc") % 3 != k)
     out = merging.merge_operands(part(0), part(1), part(2))
-    return out.select("entity", "template", "nc", "na", "denominator", flat("strength").alias("strength"))
+    return out.select("entity", "template", *[F.col(c).cast("double").alias(c) for c in ("nc", "na", "denominator")], flat("strength").alias("strength"))
 
 
 def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables(spark, sf_dir).pp.select("product", "template_product", "nc", flat("strength").alias("strength"))
+    rows = tables(spark, sf_dir, keep=True).pp.select("product", "template_product", "nc", flat("strength").alias("strength"))
     new = rows.where(F.col("nc") % 2 == 0).withColumn("strength", F.lit(1.0))
     return sinks.upsert(rows, new, ["product", "template_product"]).drop("nc")
 
 
 def incremented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables(spark, sf_dir).pp
+    rows = sinks.materialized(tables(spark, sf_dir, keep=True).pp)
     new = rows.where(F.col("nc") % 2 == 0).withColumns({"nc": F.lit(1).cast("long"), "na": F.lit(2).cast("long")})
     return sinks.increment(rows, new, ["product", "template_product"], ["nc", "na"])
 
@@ -159,7 +159,7 @@ def named(spark: SparkSession, column: str, *ids: str) -> DataFrame:
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     blank = lambda kind: F.lit(None).cast(kind)
     rows = tables(spark, sf_dir).summary.withColumns({"uu_latest_type": blank("string"), "uu_latest_date": blank("timestamp")})
-    return sinks.copy_marks(rows, "uu", at(2024, 1, 15)).select("user", "product", "uu_latest_type", F.unix_micros("uu_latest_date").alias("uu_latest_date"))
+    return sinks.copy_marks(rows, "uu", at(2024, 1, 15)).select("user", "product", "uu_latest_type", F.unix_micros("uu_latest_date").cast("string").alias("uu_latest_date"))
 
 
 def common_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,13 +254,13 @@ def queries() -> dict[str, Query]:
         "rating_histogram": lambda s, d: summaries.rating_histogram(tables(s, d).named_summary, CONFIG),
         "products_by_rating": lambda s, d: summaries.by_rating(tables(s, d).named_summary, CONFIG, "user", "product").select("user", "rating", F.size("products").cast("long").alias("n"), F.array_min("products").alias("first"), F.array_max("products").alias("last")),
         "users_by_rating": lambda s, d: summaries.by_rating(tables(s, d).named_summary, CONFIG, "product", "user").select("product", "rating", F.size("users").cast("long").alias("n"), F.array_min("users").alias("first"), F.array_max("users").alias("last")),
-        "uu_strengths": lambda s, d: strength_rows(tables(s, d).uu, "user"),
-        "pp_strengths": lambda s, d: strength_rows(tables(s, d).pp, "product"),
+        "uu_strengths": lambda s, d: strength_rows(tables(s, d, keep=True).uu, "user"),
+        "pp_strengths": lambda s, d: strength_rows(tables(s, d, keep=True).pp, "product"),
         "uu_strengths_impressions": with_impressions("user"),
         "pp_strengths_impressions": with_impressions("product"),
-        "user_templates": lambda s, d: template_rows(tables(s, d).user_templates, "user"),
-        "product_templates": lambda s, d: template_rows(tables(s, d).product_templates, "product"),
-        "allowed_product_templates": lambda s, d: template_rows(templates.product_templates(tables(s, d).pp, CONFIG, templates.allowed_now(testdata.products(s, d), CONFIG), named(s, "external_id", "p1", "p2")), "product"),
+        "user_templates": lambda s, d: template_rows(tables(s, d, keep=True).user_templates, "user"),
+        "product_templates": lambda s, d: template_rows(tables(s, d, keep=True).product_templates, "product"),
+        "allowed_product_templates": lambda s, d: template_rows(templates.product_templates(tables(s, d, keep=True).pp, CONFIG, templates.allowed_now(testdata.products(s, d), CONFIG), named(s, "external_id", "p1", "p2")), "product"),
         "recent_activities": lambda s, d: tables(s, d).recent.select("user", "product", "activity", day("day")),
         "recent_products": lambda s, d: ranking.recent_products(tables(s, d).recent, CONFIG).select("user", F.col("base_rank").cast("int").alias("base_rank"), "product"),
         "template_activities": lambda s, d: ranking.template_activities(tables(s, d).named_summary, CONFIG).select("user", "product", scalars.by_activity(F.col("activity"), CONFIG, "out_boost").alias("out_boost")),
