@@ -160,8 +160,8 @@ SELECTS = {
     "expire_anonymous": "SELECT u AS \"user\", p AS product, epoch_us(ts) AS created_at FROM act WHERE NOT anonymous OR ts >= TIMESTAMP '2024-01-15 00:00:00'",
     "common_terms": "SELECT a.doc_id AS a, b.doc_id AS b, CAST(len(list_intersect(string_split(a.text, ' '), string_split(b.text, ' '))) AS BIGINT) AS n FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1",
     "bloom_filter": "SELECT count(DISTINCT user_id) AS members, CAST(0 AS BIGINT) AS missed FROM events",
-    "near_identical": """SELECT DISTINCT lo.lang AS "user", 'p' || lo.doc_id AS product FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r, string_split(regexp_replace(substr(text, 1, 60), '\\s+', ' ', 'g'), ' ') AS w FROM documents) lo
-      JOIN (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r, string_split(regexp_replace(substr(text, 1, 60), '\\s+', ' ', 'g'), ' ') AS w FROM documents) hi ON hi.lang = lo.lang AND hi.r < lo.r AND lo.r - hi.r <= 10 WHERE len(list_intersect(lo.w, hi.w)) > 2""",
+    "near_identical": """SELECT DISTINCT lo.lang AS "user", 'p' || lo.doc_id AS product FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r, string_split(text, ' ') AS w FROM documents) lo
+      JOIN (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r, string_split(text, ' ') AS w FROM documents) hi ON hi.lang = lo.lang AND hi.r < lo.r AND lo.r - hi.r <= 10 WHERE len(list_intersect(lo.w, hi.w)) > 40""",
 }
 #: Streaming runs end where a batch run does.
 SELECTS["streaming_activity_summary"] = SELECTS["activity_summary"]

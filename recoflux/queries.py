@@ -175,13 +175,13 @@ def bloom_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_identical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of a language in order of their number as one ranked list; their first words stand for stems."""
+    """Documents of a language in order of their number as one ranked list; the words of the whole texts stand for stems."""
     docs = testdata.read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    words = F.split(F.regexp_replace(F.substring("text", 1, 60), r"\s+", " "), " ")
+    words = F.split("text", " ")
     ids = F.concat(F.lit("p"), "doc_id")
     place = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
     ranked = docs.select(F.col("lang").alias("user"), place.alias("rank"), ids.alias("product"))
-    return content.near_identical(ranked, docs.select(ids.alias("external_id"), words.alias("title")), CONFIG.with_(near_identical_field="title"))
+    return content.near_identical(ranked, docs.select(ids.alias("external_id"), words.alias("title")), CONFIG.with_(near_identical_field="title", near_identical_threshold=40))
 
 
 def stream_root(spark: SparkSession) -> str:
