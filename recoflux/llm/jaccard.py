@@ -346,10 +346,12 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = None
     while True:
+        # Least neighbours are written before they are joined, so that the join's sides are plain exchanges, of which a large partition (the
+        # edges of one id) can be split.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")))
+        large = cut(both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least.hint("merge"), "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = cut(small.where("u <> v").distinct())
@@ -389,7 +391,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = labels.select(F.col("doc_id"), "label")
     again = more.join(named.select(F.col("doc_id").alias("a"), F.col("label").alias("l_a")), "a", "left").join(named.select(F.col("doc_id").alias("b"), F.col("label").alias("l_b")), "b", "left")
     again = again.select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b"))
-    top = components(again).select(F.col("label").alias("top"), F.col("doc_id").alias("label"))
+    top = cut(components(again).select(F.col("label").alias("top"), F.col("doc_id").alias("label")))
     own = met.where(F.col("kind").isin(SET, UNNAMED)).select(F.when(F.col("kind") == SET, F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"))
     own = own.join(named.hint("merge"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     return own.join(top.hint("merge"), "label", "left").select("doc_id", "n_shingles", F.coalesce("top", "label").alias("component_id"))
