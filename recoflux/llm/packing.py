@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recoflux.llm.common import cut, ids_and_texts, map_arrow
-from recoflux.llm.tokens import CACHE, counter, vocabulary
+from recoflux.llm.tokens import Recent, counter, vocabulary
 
 END = b"\0\0\0\0"
 
@@ -34,23 +34,14 @@ class Encoder:
         self.model = library.model
         self.ends = {m: library.token_to_id(m).to_bytes(4, "little") for m in self.rules.marks}
         self.letters = dict(enumerate(self.rules.letters))
-        self.words: dict[str, bytes] = {}
+        self.words = Recent(self.word)
 
     def word(self, word: str) -> bytes:
         letters = word.encode().decode("latin-1").translate(self.letters)
         return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
 
     def plain(self, text: str) -> bytes:
-        words = self.words
-        if len(words) > CACHE:
-            words.clear()
-        found = self.rules.pieces_of(text)
-        try:
-            return b"".join(map(words.__getitem__, found))
-        except KeyError:
-            for word in set(found).difference(words):
-                words[word] = self.word(word)
-            return b"".join(map(words.__getitem__, found))
+        return b"".join(self.words.of(self.rules.pieces_of(text)))
 
     def ids(self, text: str) -> bytes:
         if not any(m in text for m in self.rules.marks):

@@ -13,8 +13,35 @@ from pyspark.sql import functions as F
 
 from recoflux.llm.common import ids_and_texts, map_texts
 
-#: Entries a cache holds before it is emptied; this bounds a worker's memory.
-CACHE = 100_000
+#: Entries of a cache; this bounds a worker's memory.
+CACHE = 200_000
+
+
+class Recent:
+    """What make(word) gives for words, kept for the words of late: a young and an old half.
+
+    When the young half is full it becomes the old one, whose words return to
+    the young half when they are met again, so frequent words are made once.
+    """
+
+    def __init__(self, make, size: int = CACHE):
+        self.make, self.half = make, size // 2
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def of(self, words: list) -> list:
+        young = self.young
+        try:
+            return list(map(young.__getitem__, words))
+        except KeyError:
+            if len(young) > self.half:
+                self.old, self.young = young, {}
+                young = self.young
+            for word in set(words).difference(young):
+                value = self.old.get(word)
+                young[word] = self.make(word) if value is None else value
+            return list(map(young.__getitem__, words))
+
 
 
 def byte_letters() -> list[str]:
@@ -78,7 +105,7 @@ class WordCounter:
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.marks = tuple(special)
-        self.words: dict[str, int] = {}
+        self.words = Recent(self.word)
 
     def word(self, word: str) -> int:
         symbols = [self.letters[b] for b in word.encode()]
@@ -95,16 +122,7 @@ class WordCounter:
         return self.pieces("".join([c.lower() for c in text]) if "\u03a3" in text else text.lower())  # a final capital sigma is no special case here
 
     def plain(self, text: str) -> int:
-        words = self.words
-        if len(words) > CACHE:
-            words.clear()
-        found = self.pieces_of(text)
-        try:
-            return sum(map(words.__getitem__, found))
-        except KeyError:
-            for word in set(found).difference(words):
-                words[word] = self.word(word)
-            return sum(map(words.__getitem__, found))
+        return sum(self.words.of(self.pieces_of(text)))
 
     def count(self, text: str) -> int:
         if self.special is not None and any(m in text for m in self.marks):
