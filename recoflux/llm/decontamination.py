@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recoflux.llm.common import ids_and_texts, map_arrow, mix
+from recoflux.llm.common import cut, ids_and_texts, map_arrow, mix
 
 WINDOW = 13
 #: Benchmark text bytes that one block of items may hold; a block is broadcast, more blocks are more passes.
@@ -96,10 +96,12 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, blo
     """
     spark = docs.sparkSession
     rows = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_n_hit": F.lit(0).cast("long"), "_hits": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")})
-    blocks = list(item_blocks(benchmark, block_bytes)) or [[]]
-    for k, block in enumerate(blocks):
-        rows = scan(rows, spark.sparkContext.broadcast(block), window, clean and k == len(blocks) - 1)
-    return rows
+    blocks = item_blocks(benchmark, block_bytes)
+    block = next(blocks, [])
+    while (following := next(blocks, None)) is not None:
+        rows = cut(scan(rows, spark.sparkContext.broadcast(block), window, False))
+        block = following
+    return scan(rows, spark.sparkContext.broadcast(block), window, clean)
 
 
 def scan(rows: DataFrame, block, window: int, clean: bool) -> DataFrame:

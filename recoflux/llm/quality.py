@@ -17,7 +17,7 @@ BITS = 17
 #: Labelled documents that a model is fitted on at most, evenly by hash of their id.
 SAMPLE = 4000
 #: Text bytes of one training document beyond which it is passed over; such documents are scored whole like all others.
-TRAIN_BYTES = 200_000
+TRAIN_BYTES = 30_000
 GRAMS = (2, 3, 4)
 #: Zero vectors in each mean, so that a few features alone hardly move a short text from the prior.
 NEUTRAL = 10
