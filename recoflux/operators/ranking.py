@@ -11,6 +11,12 @@ from recoflux.functions import scalars
 BUCKETS = 256
 
 
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """df dealt by columns into all shuffle partitions. A self-join makes far more rows than it reads, so
+    partitions must not be put together by the size of what is read."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def recent_activities(summary: DataFrame, config: EngineConfig) -> DataFrame:
     """Each user's rows of the days up to short_term_window before that user's own last day."""
     last = F.max("day").over(Window.partitionBy("user"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recoflux.config import EngineConfig
 from recoflux.functions import scalars
+from recoflux.operators.ranking import dealt
 
 
 @dataclass(frozen=True)
@@ -68,7 +69,7 @@ def numerators(rows: DataFrame, roles: Roles, config: EngineConfig, impressions:
         left = left.join(targets.select(roles.entity).distinct(), roles.entity, "left_semi")
     left = left.select(roles.shared, F.col(roles.entity), F.col("rating").alias("_target"))
     right = rows.where(F.col("rating") >= roles.template_rating).select(roles.shared, F.col(roles.entity).alias(roles.template), F.col("rating").alias("_template"))
-    pairs = left.join(right, roles.shared).where(F.col(roles.entity) != F.col(roles.template))
+    pairs = dealt(left, roles.shared).join(dealt(right, roles.shared), roles.shared).where(F.col(roles.entity) != F.col(roles.template))
     high = F.col(f"_{roles.conservative}") >= config.min_rating_aggressive
     return pairs.groupBy(roles.entity, roles.template).agg(F.count(F.lit(1)).alias("nc"), F.sum(F.when(high, 1).otherwise(0)).cast("long").alias("na"))
 
