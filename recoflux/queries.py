@@ -18,8 +18,8 @@ from recoflux.sources import scans, sinks, testdata
 from recoflux.streaming import lanes
 
 Query = Callable[[SparkSession, str], DataFrame]
-#: No near-identical filter, so that ranks alone are compared; 20 terms per product keep the term join in bounds.
-CONFIG = EngineConfig(near_identical_field=None, top_terms=20)
+#: No near-identical filter, so that ranks alone are compared.
+CONFIG = EngineConfig(near_identical_field=None)
 UTC = timezone.utc
 
 
