@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,10 +16,8 @@ from recoflux.llm.common import RADIX, SPACES, Words, byte_slabs, hold_out, ids_
 
 #: Rows of the embedding table; features share them by hash.
 BITS = 17
-#: Labelled documents that a model is fitted on at most, evenly by hash of their id.
+#: Labelled texts that a model is fitted on at most, evenly by hash of their id, whatever their length.
 SAMPLE = 4000
-#: Text bytes of one training document beyond which it is passed over; such documents are scored whole like all others.
-TRAIN_BYTES = 30_000
 GRAMS = (2, 3, 4)
 #: Zero vectors in each mean, so that a few features alone hardly move a short text from the prior.
 NEUTRAL = 10
@@ -79,28 +79,48 @@ class QualityModel:
         return 1 / (1 + np.exp(-(total / (count + NEUTRAL) + self.bias)))
 
 
-def train(texts: list[str], labels: list[int], dim: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 11) -> QualityModel:
+def shares(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A text's table rows and the share of each in its mean: at most 2**BITS numbers, however long the text."""
+    found = [rows for _, rows in features(data, np.array([0, len(data)]))] if len(data) else []
+    ids, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0))
+    return ids.astype(np.int32), (n / (n.sum() + NEUTRAL)).astype(np.float32)
+
+
+class Examples:
+    """Labelled texts as shares(), in a temporary file (at most 8 << BITS bytes each), so that one at a time is in memory."""
+
+    def __init__(self):
+        self.file = tempfile.TemporaryFile(buffering=0)
+        self.end = 0
+        self.found: list[tuple] = []  # (order, offset, table rows, label)
+
+    def add(self, order: tuple, ids: bytes, n: bytes, label: int) -> None:
+        self.file.write(bytes(ids) + bytes(n))
+        self.found.append((order, self.end, len(ids) // 4, label))
+        self.end += len(ids) + len(n)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        _, at, n, _ = self.found[k]
+        data = os.pread(self.file.fileno(), 8 * n, at)
+        return np.frombuffer(data, np.int32, n), np.frombuffer(data, np.float32, n, 4 * n)
+
+
+def train(docs: Examples, dim: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 11) -> QualityModel:
     """Fit word, word-pair and n-gram vectors and a softmax layer, one document a step, with a falling rate.
 
     Without labels of both kinds the model returns the share of label 1 (0.5 without any).
     """
-    y = np.array(labels, np.int64)
+    y = np.array([x[-1] for x in docs.found], np.int64)
     share = float(y.mean()) if len(y) else 0.5
     prior = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
-    if len(set(labels)) < 2:
+    if len(set(y.tolist())) < 2:
         return QualityModel(np.zeros(1 << BITS, np.float32), prior)
-    docs = []
-    for text in texts:
-        data = np.frombuffer(text.encode(), np.uint8)
-        found = [rows for _, rows in features(data, np.array([0, len(data)]))] if len(data) else []
-        ids, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0))
-        docs.append((ids, (n / (n.sum() + NEUTRAL)).astype(np.float32)))
     random = np.random.default_rng(seed)
     table = random.uniform(-1 / dim, 1 / dim, (1 << BITS, dim)).astype(np.float32)
     out, bias = np.zeros((2, dim), np.float32), np.array([0, prior], np.float32)
-    step, steps = 0, epochs * len(docs)
+    step, steps = 0, epochs * len(y)
     for _ in range(epochs):
-        for k in random.permutation(len(docs)):
+        for k in random.permutation(len(y)):
             ids, n = docs[k]
             vector = n @ table[ids]
             z = out @ vector + bias
@@ -116,20 +136,38 @@ def train(texts: list[str], labels: list[int], dim: int = 16, epochs: int = 6, r
     return QualityModel((table @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> list:
-    """At most sample labelled texts whose id isn't held out, the first by hash of the id; ids come first, then only their texts."""
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """At most sample labelled texts (doc_id, h, quality, text) whose id isn't held out, the first by hash of the id.
+
+    They are chosen among the labelled rows that have a document, by ids and hashes of texts; then only their texts move.
+    """
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & ~hold_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
-    chosen = spark.createDataFrame(chosen, "doc_id long, quality int")
-    rows = ids_and_texts(docs).where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(chosen), "doc_id")
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample).collect()
+    texts = ids_and_texts(docs).where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).withColumn("h", F.xxhash64("text"))
+    chosen = texts.select("doc_id", "h").join(known, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(sample).collect()
+    chosen = spark.createDataFrame(chosen, "doc_id long, h long, quality int")
+    return texts.join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("doc_id", "h", "quality", F.xxhash64("doc_id").alias("place"), "text")
+
+
+def examples(rows: DataFrame) -> Examples:
+    """training_rows() counted where their texts are; they come to the driver by partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, text in enumerate(batch.column(4).to_pylist()):
+                ids, n = shares(np.frombuffer(text.encode(), np.uint8))
+                yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(k, 1) for j in range(4)), pa.array([ids.tobytes()]), pa.array([n.tobytes()])], names=["doc_id", "h", "quality", "place", "ids", "n"])
+
+    out = Examples()
+    for r in map_arrow(rows, run, "doc_id long, h long, quality int, place long, ids binary, n binary").toLocalIterator():
+        out.add((r.place, r.doc_id, r.h), r.ids, r.n, r.quality)
+    out.found.sort()
+    return out
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityModel:
-    rows = training_rows(docs, labels, sample)
-    return train([r.text for r in rows], [r.quality for r in rows])
+    return train(examples(training_rows(docs, labels, sample)))
 
 
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:

@@ -128,6 +128,20 @@ def test_quality(spark):
     assert kept.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
 
 
+def test_quality_learns_from_long_texts(spark):
+    """one kind is longer than 30,000 bytes throughout"""
+    words = lambda seed: prose(seed, 40, 60)
+    good, bad = words(7), [f"{t.upper()}!! " * (40_000 // (len(t.encode()) + 3) + 1) for t in words(8)]
+    docs = list(enumerate(good + bad))
+    labels = spark.createDataFrame([(k, int(k < 40)) for k in range(80)] + [(k, 1) for k in range(1000, 6000)], "doc_id long, quality int")
+    assert min(len(t) for t in bad) > 30_000
+    out = {r.doc_id: r for r in quality.op3_quality(frame(spark, docs), labels).collect()}
+    held = [k for k in range(80) if out[k].held_out]
+    assert sum(out[k].predicted == int(k < 40) for k in held) >= 0.9 * len(held)
+    rows = quality.training_rows(frame(spark, docs + docs[:9]), labels, 30).collect()  # ids without document take no place
+    assert len(rows) == len({r.doc_id for r in rows}) == 30 and {r.quality for r in rows} == {0, 1}
+
+
 def test_packing(spark, corpus):
     docs = corpus + [(800, "wort " * 5000), (801, "w " * 2047), (802, "w " * 2048), (800, "again")]
     out = packing.op4_packing(frame(spark, docs)).collect()
