@@ -13,8 +13,10 @@ from recoflux.llm.common import hold_out, ids_and_texts, map_arrow
 
 #: n-grams that a profile holds.
 TOP = 400
-#: Documents that profiles are learned from at most (about; chosen by hash of the id).
+#: Documents that profiles are learned from at most (about; chosen by hash, language by language).
 SAMPLE = 20_000
+#: Documents of one language that are learned from in any case, where there are as many: all of a rare one.
+LEAST = 100
 UNKNOWN = "und"
 _letters: list[np.ndarray] = []
 
@@ -76,18 +78,32 @@ class Profiles:
         return self.languages[best], float(1 - apart[best] / (top * len(own)))
 
 
+def quota(sizes: list[int], sample: int) -> int:
+    """The most rows of one language, so that all languages together have about sample; at least LEAST."""
+    left = sample
+    for k, n in enumerate(sorted(sizes)):
+        most = left // (len(sizes) - k)
+        if n > most:
+            return max(LEAST, most)
+        left -= n
+    return max([LEAST, *sizes])
+
+
 def learn_profiles(docs: DataFrame, top: int = TOP, sample: int = SAMPLE) -> dict[str, list[int]]:
-    """Ranked n-grams per language from about `sample` rows that have a language and aren't held out.
+    """Ranked n-grams per language from about `sample` rows that have a language and a letter and aren't held out.
 
-    Rows are chosen by hash of their id, as the same share of all. Counts
-    are summed by task, then by n-gram, and only the top of each language comes
-    to the driver.
+    Beyond that, each language gives up to the same number of rows (see quota), chosen by hash
+    of id and text and one at least, so each has a profile. Counts are summed by
+    task, then by n-gram, and only the top of each language comes to the driver.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    known = known.where(F.col("lang").isNotNull() & ~hold_out(F.col("doc_id")))
-    n = known.select("doc_id").count()
-    if n > sample:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
+    known = known.where(F.col("lang").isNotNull() & ~hold_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
+    known = known.withColumn("place", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)))
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")).collect()
+    if sum(r.n for r in sizes) > sample:
+        most = quota([r.n for r in sizes], sample)
+        below = [(r.lang, max(r.first + 1, int(min(1.0, most / r.n) * (1 << 30)))) for r in sizes]
+        known = known.join(F.broadcast(docs.sparkSession.createDataFrame(below, "lang string, below long")), "lang").where(F.col("place") < F.col("below"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}

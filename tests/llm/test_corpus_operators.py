@@ -253,6 +253,19 @@ def test_token_counts(spark, corpus):
         n = len(library.encode(text or "", add_special_tokens=False).ids)
         assert (out[doc].n_bytes, out[doc].n_tokens, out[doc].over_limit) == (len((text or "").encode()), n, n > 2048)
 
+def test_language_learns_rare_languages(spark):
+    r = random.Random(3)
+    made = lambda letters: " ".join("".join(r.choices(letters, k=4)) for _ in range(20))
+    own = next(k for k in range(4000, 5000) if zlib.crc32(str(k).encode()) % 3 != 1)  # an id that isn't held out
+    docs = [(k, made("abcde"), "aa") for k in range(3000)] + [(k, made("fghij"), "bb") for k in range(3000, 3006)] + [(own, made("klmno"), "cc")] * 150
+    rows = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    profiles = language.learn_profiles(rows, sample=100)
+    assert set(profiles) == {"aa", "bb", "cc"}
+    assert language.quota([3000, 6, 150], 100) == 100 and language.quota([5000, 6, 400], 1000) == 594
+    out = {x.doc_id: x.lang_pred for x in language.predict_language(rows, profiles).collect()}
+    assert all(out[i] == lang for i, _, lang in docs)
+
+
 
 def test_topk(spark, monkeypatch):
     r = random.Random(4)
