@@ -73,7 +73,7 @@ class Grams:
 def item_blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple]]:
     """The items in blocks of at most limit text bytes, or one item; read one block at a time."""
     block, size = [], 0
-    for row in benchmark.where(F.col("item_id").isNotNull()).select("item_id", F.col("text").cast("string").alias("text")).toLocalIterator():
+    for row in benchmark.select("item_id", F.col("text").cast("string").alias("text")).toLocalIterator():
         n = len((row.text or "").encode())
         if block and size + n > limit:
             yield block
@@ -90,8 +90,8 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, blo
     A block of items is broadcast as a hash set and every document scanned
     against it where it is read: no shuffle. Items beyond a block are scanned in
     further passes; a pass adds to the ranges of those before it. Null or empty
-    texts have no words; an item of none has no window, and an item without id is
-    left out; repeated rows each get their result; an empty benchmark hits nothing.
+    texts have no words; an item of none has no window; an item without id hits
+    words like any other, but has no id to be counted or listed; repeated rows each get their result; an empty benchmark hits nothing.
     With clean, the last pass also takes the hit words out of the text.
     """
     spark = docs.sparkSession
@@ -120,7 +120,7 @@ def scan(rows: DataFrame, block, window: int, clean: bool) -> DataFrame:
                 n_words.append(len(words))
                 n_hit.append(int(mask.sum()))
                 all_hits.append(edges)
-                all_items.append(sorted({*items, *map(str, found)}))
+                all_items.append(sorted({*items, *(str(x) for x in found if x is not None)}))
                 if clean:
                     texts.append(without_hits(text, edges) if edges else text)
             columns = list(batch.columns[:n])

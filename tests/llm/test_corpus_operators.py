@@ -113,6 +113,16 @@ def test_decontamination(spark, corpus):
     assert all(kept[d] == t for d, t in docs if d in kept and not expected[d][1])
 
 
+def test_decontamination_by_items_without_id(spark):
+    bench = spark.createDataFrame([(None, "only here and nowhere else"), (1, "and nowhere")], "item_id long, text string")
+    docs = [(1, "Only here, and nowhere else!"), (2, "x " * 100 + "only here and nowhere else"), (3, "and nowhere"), (4, "clean")]
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    out = sorted(map(tuple, decontamination.op2_decontamination(frame(spark, docs), bench).collect()))
+    assert out == [(1, 5, 5, 1, sha("1"), True), (2, 105, 5, 1, sha("1"), False), (3, 2, 2, 1, sha("1"), True), (4, 1, 0, 0, sha(""), False)]
+    kept = {r.doc_id: r.text.split() for r in decontamination.decontaminate(frame(spark, docs), bench).collect()}
+    assert kept == {2: ["x"] * 100, 4: ["clean"]}
+
+
 def test_quality(spark):
     good, bad = prose(5, 120, 40), [t.upper() + "!!" for t in prose(6, 120, 40)]
     docs = list(enumerate(good + bad)) + [(900, None), (901, ""), (None, "x")]
