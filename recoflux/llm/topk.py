@@ -120,14 +120,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
     block's results are written before the next is fetched. Rows without vec_id,
     null vectors and those with null or non-finite components take no part;
     candidates with a query's own vec_id are not its candidates; ties go to the
-    smaller vec_id. Repeats of a query's row are one query, other repeated
-    vec_ids are candidates each.
+    smaller vec_id. Equal vectors of one vec_id are asked once, different ones are
+    all asked and the k best are those of all of them; as candidates, repeats count each.
     """
     spark = vectors.sparkSession
     array = F.col("embedding").cast("array<double>").alias("embedding")
     candidates = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), array)
     asked = queries.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), array)
-    asked = asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    asked = asked.where(sound).dropDuplicates(["vec_id", "embedding"])
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     result, block = None, []
 
     def searched() -> DataFrame:
@@ -136,9 +138,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
         ids = np.array([r.vec_id for r in block], np.int64)[at]
         best = best_of_block(candidates, ids, rows, k, scale)
         names = F.broadcast(spark.createDataFrame([(i, int(x)) for i, x in enumerate(ids)], "query long, query_id long"))
-        place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
-        best = best.withColumn("rank", place).where(F.col("rank") <= k)
-        return best.join(names, "query").select("query_id", "rank", "vec_id", "score")
+        best = best.join(names, "query").withColumn("rank", place).where(F.col("rank") <= k)
+        return best.select("query_id", "rank", "vec_id", "score")
 
     for row in asked.toLocalIterator():
         block.append(row)
@@ -148,8 +149,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
             block = []
     if block or result is None:
         part = searched()
-        result = part if result is None else result.unionByName(part)
-    return result
+        if result is None:
+            return part
+        result = result.unionByName(part)
+    return result.withColumn("rank", place).where(F.col("rank") <= k)  # an id's vectors may be in several blocks
 
 
 def op9_topk(vectors: DataFrame) -> DataFrame:

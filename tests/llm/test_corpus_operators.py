@@ -300,6 +300,15 @@ def test_topk(spark, monkeypatch):
     assert topk.op9_topk(vectors.limit(0)).count() == 0
 
 
+def test_topk_of_repeated_ids(spark, monkeypatch):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [None, 9.0]), (50, [float("nan"), 0.0]), (50, [1.0, 0.0]), (1, [4.0, 0.0]), (2, [0.0, 5.0]), (3, [1.0, 1.0]), (4, [0.0, 3.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    expected = [(50, k + 1, i, 65536 * s) for k, (s, i) in enumerate([(5, 2), (4, 1), (3, 4), (1, 3), (1, 3)])]
+    for size in (4096, 1):
+        monkeypatch.setattr(topk, "QUERIES", size)
+        assert sorted(map(tuple, topk.op9_topk(vectors).collect())) == expected
+
+
 def components_of(docs):
     sets = {}
     for doc, text in docs:
