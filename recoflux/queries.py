@@ -302,7 +302,7 @@ def queries() -> dict[str, Query]:
         "sample_users": lambda s, d: scans.sample_users(testdata.users(s, d), 10, 5),
         "bloom_filter": bloom_members,
         "ab_reliability": ab_reliability,
-        "ab_posterior": lambda s, d: abtest.gain_posterior(s, 10_000, 200, 7, 1.0, 0.1, -0.1, 0.3, 0.05, 2_000),
+        "ab_posterior": lambda s, d: abtest.gain_posterior(s, 10_000, 200, 7, 1.0, 0.1),
         "streaming_activity_summary": lambda s, d: summary_rows(streamed("summary")(s, d)),
         "streaming_impression_summary": lambda s, d: impression_rows(streamed("impressions")(s, d)),
         "streaming_popularity": lambda s, d: popularity_rows(streamed("popularity")(s, d)),

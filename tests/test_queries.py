@@ -63,3 +63,11 @@ def test_content_strengths_of_all_terms(spark, folder):
     rows = queries.queries()["content_strengths"](spark, folder).collect()
     assert {(r.product, r.template_product): r.strength for r in rows} == pytest.approx(expected, abs=2e-6)
     assert ("p0", "p1") in expected
+
+
+def test_ab_posterior_over_the_whole_grid(spark):
+    rows = queries.queries()["ab_posterior"](spark, "").orderBy("actual").collect()
+    assert [r.actual for r in rows] == pytest.approx([k / 100 for k in range(-30, 51)])
+    assert sum(r.probability for r in rows) == pytest.approx(1) and rows[-1].accrued == pytest.approx(1)
+    assert all(r.likelihood * 20_000 == pytest.approx(round(r.likelihood * 20_000), abs=1e-6) for r in rows)
+    assert any(round(r.likelihood * 20_000) % 10 for r in rows)  # finer than 2,000 tests can tell
