@@ -26,13 +26,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recoflux.llm.common import Rolling, byte_slabs, cut, map_arrow, mix
 
 #: Symbols that a block of contexts holds, about; a group of more is a block of its own up to GROUP.
 BLOCK, GROUP = 1 << 19, 1 << 21
+#: Positions hold the number of the text among those of its doc_id above these bits; a text is shorter than 2**32 symbols.
+PLACE = 32
+INSIDE = (1 << PLACE) - 1
 
 
 @dataclass(frozen=True)
@@ -93,17 +96,19 @@ def row_batch(h, c, doc, at, more) -> pa.RecordBatch:
 
 
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ranges [start, end) of documents with those that touch or overlap made one."""
+    """Ranges [start, end) of texts with those that touch or overlap made one."""
     if not len(doc):
         return doc, start, end
     order = np.lexsort((start, doc))
     doc, start, end = doc[order], start[order], end[order]
-    new = np.concatenate([[True], doc[1:] != doc[:-1]])
+    row = start >> PLACE << PLACE
+    start, end = start - row, end - row
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])])
     base = np.cumsum(new) * (int(end.max()) + 1)
     reach = np.maximum.accumulate(end + base)
     first = np.flatnonzero(np.concatenate([[True], new[1:] | (start[1:] + base[1:] > reach[:-1])]))
     last = np.concatenate([first[1:], [len(doc)]]) - 1
-    return doc[first], start[first], reach[last] - base[last]
+    return doc[first], start[first] + row[first], reach[last] - base[last] + row[first]
 
 
 def spread(doc: np.ndarray) -> np.ndarray:
@@ -118,7 +123,7 @@ SETTLED = -2
 def extract(what: Windows) -> Callable:
     """Step 1. Rows (h, c, doc_id, at = first start, more = windows) and settled ranges (at, c)."""
 
-    def slab(ids: list, data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    def slab(ids: list, data: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
         docs = np.array([-1 if x is None else x for x in ids], np.int64)
         null = np.array([x is None for x in ids], bool)
         symbols, at, _, _ = what.split(data, bounds)
@@ -127,11 +132,15 @@ def extract(what: Windows) -> Callable:
         text = np.searchsorted(at, lo, "right") - 1
         keep = ~null[text] if len(text) else np.zeros(0, bool)
         lo, hi, h, c, text = lo[keep], hi[keep], h[keep], c[keep], text[keep]
-        return [h, c, docs[text], lo - at[text], hi - at[text]]
+        start = at[text] - (rows[text] << PLACE)
+        return [h, c, docs[text], lo - start, hi - start]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [slab(*x) for x in byte_slabs(batch)]
+            rows, k, parts = batch.column(2).to_numpy(), 0, []
+            for ids, data, bounds in byte_slabs(batch):
+                parts.append(slab(ids, data, bounds, rows[k : k + len(ids)]))
+                k += len(ids)
             if not parts:
                 continue
             h, c, doc, lo, hi = (np.concatenate(x) for x in zip(*parts))
@@ -226,7 +235,8 @@ def context_rows(what: Windows) -> Callable:
                 for j, doc in enumerate(ids):
                     for r in asked[k + j]:
                         lo, n = r["at"], -r["more"] - 2
-                        a, b = at[j] + lo, at[j] + lo + n - 1 + what.width
+                        a = at[j] + (lo & INSIDE)
+                        b = a + n - 1 + what.width
                         parts.append(raw[a:b] if starts is None else b" ".join([raw[x:y] for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist())]))
                         hs.append(r["h"])
                         docs.append(doc)
@@ -299,31 +309,35 @@ def blocks(what: Windows, block_size: int = BLOCK, group_size: int = GROUP) -> C
     return run
 
 
-def one_text_each(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """(doc_id, text, same): same is false where rows repeat an id with another text.
+def numbered(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """(doc_id, text, row): row numbers the different texts of one doc_id from 0, by their hash.
 
-    Of such rows the one whose text has the least hash stands for the document; the
-    others are neither a source of removals nor changed. Equal rows count as one
-    document. With carry, _all holds all columns of the row, and text is null in it.
+    Equal rows have one number, and so count as one document; different texts are
+    sources and targets each. With carry, _all holds all columns of the row, and text is null in it.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rest = F.struct(*[F.lit(None).cast("string").alias(c) if c == "text" else F.col(c) for c in docs.columns]).alias("_all")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *([rest, F.col("text").isNull().alias("_null")] if carry else []))
     repeated = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
     if not repeated.limit(1).count():
-        return rows.withColumn("same", F.lit(True))
-    least = rows.join(repeated, "doc_id").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("least"))
-    rows = rows.join(least, "doc_id", "left")
-    return rows.withColumn("same", F.col("least").isNull() | (F.xxhash64("text") == F.col("least"))).drop("least")
+        return rows.withColumn("row", F.lit(0).cast("long"))
+    rows = rows.withColumn("_h", F.xxhash64("text"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("_h")).cast("long") - 1
+    places = rows.select("doc_id", "_h").join(repeated, "doc_id").distinct().withColumn("row", place)
+    return rows.join(places, ["doc_id", "_h"], "left").drop("_h").withColumn("row", F.coalesce("row", F.lit(0).cast("long")))
 
 
 def earlier_windows(docs: DataFrame, what: Windows) -> DataFrame:
-    """doc_id and ranges: array of (at, to) in symbols, which cover exactly the windows that occur before."""
-    texts = docs.where(F.col("doc_id").isNotNull() & F.col("same")).select("doc_id", "text")
+    """doc_id, row and ranges: array of (at, to) in symbols, which cover exactly the windows that occur before.
+
+    Texts of one doc_id are in order of row; where own is false they remove nothing from each other.
+    """
+    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", "row")
     rows = texts.transform(map_arrow, extract(what), ROW).repartition("h").sortWithinPartitions("h", "c", "doc_id", "at")
     rows = cut(rows.transform(map_arrow, settle_contexts(what), ROW))
-    asked = rows.where(F.col("more") < SETTLED).groupBy("doc_id").agg(F.collect_list(F.struct("h", "at", "more")).alias("asked"))
-    contexts = texts.join(asked.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "asked")
+    of = F.shiftright("at", PLACE).alias("row")
+    asked = rows.where(F.col("more") < SETTLED).groupBy("doc_id", of).agg(F.collect_list(F.struct("h", "at", "more")).alias("asked"))
+    contexts = texts.join(asked.hint("shuffle_hash"), ["doc_id", "row"]).select("doc_id", "text", "asked")
     contexts = contexts.transform(map_arrow, context_rows(what), "h long, doc_id long, at long, n long, content binary")
     found = cut(contexts.repartition("h").sortWithinPartitions("h").transform(map_arrow, blocks(what), ROW))
     windows = found.where("more = 0").select("h", "c", "doc_id", "at")
@@ -331,7 +345,8 @@ def earlier_windows(docs: DataFrame, what: Windows) -> DataFrame:
     later = F.struct("doc_id", "at") > F.col("first") if what.own else F.col("doc_id") > F.col("first.doc_id")
     more = windows.join(first, ["h", "c"]).where(later).select("doc_id", "at", (F.col("at") + what.width).alias("to"))
     settled = rows.where(F.col("more") == SETTLED).unionByName(found.where(F.col("more") == SETTLED)).select("doc_id", "at", F.col("c").alias("to"))
-    return settled.unionByName(more).groupBy("doc_id").agg(F.collect_list(F.struct("at", "to")).alias("ranges"))
+    inside = lambda c: F.col(c).bitwiseAND(F.lit(INSIDE)).alias(c)
+    return settled.unionByName(more).groupBy("doc_id", of).agg(F.collect_list(F.struct(inside("at"), inside("to"))).alias("ranges"))
 
 
 def mask_of(ranges, n: int) -> np.ndarray:

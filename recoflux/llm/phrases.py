@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recoflux.llm.anchors import Context, Windows, earlier_windows, mask_of, one_text_each
+from recoflux.llm.anchors import Context, Windows, earlier_windows, mask_of, numbered
 from recoflux.llm.common import Rolling, Words, map_arrow, mix
 
 WIDTH, GRAM = 50, 12
@@ -91,14 +91,14 @@ def op8_substring_dedup(docs: DataFrame) -> DataFrame:
     """Words of each document that 50-word windows of documents with smaller ids cover, and what is left.
 
     A null text has no words; a row without doc_id is left as it is and removes
-    nothing; rows that repeat a doc_id count as one document (see one_text_each).
+    nothing; equal rows that repeat a doc_id count as one document, different ones as several (see numbered).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept = [], [], []
-            for text, same, ranges in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
-                words, mask = words_left(text, ranges if same else None)
+            for text, ranges in zip(*(batch.column(k).to_pylist() for k in (1, 2))):
+                words, mask = words_left(text, ranges)
                 n_words.append(len(words))
                 n_removed.append(int(mask.sum()))
                 if n_removed[-1]:
@@ -106,9 +106,9 @@ def op8_substring_dedup(docs: DataFrame) -> DataFrame:
                 kept.append(hashlib.sha256(b" ".join(words)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    docs = one_text_each(docs)
-    rows = docs.join(earlier_windows(docs, PASSAGES).hint("shuffle_hash"), "doc_id", "left")
-    rows = rows.select("doc_id", "text", "same", "ranges")
+    docs = numbered(docs)
+    rows = docs.join(earlier_windows(docs, PASSAGES).hint("shuffle_hash"), ["doc_id", "row"], "left")
+    rows = rows.select("doc_id", "text", "ranges")
     return rows.transform(map_arrow, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -127,9 +127,9 @@ def remove_passages(docs: DataFrame) -> DataFrame:
             out.append(b" ".join([w for w, gone in zip(words, mask.tolist()) if not gone]).decode())
         return pd.Series(out, dtype=object)
 
-    marked = one_text_each(docs, carry=True)
-    rows = marked.join(earlier_windows(marked, PASSAGES).hint("shuffle_hash"), "doc_id", "left")
-    changed = F.col("ranges").isNotNull() & F.col("same")
+    marked = numbered(docs, carry=True)
+    rows = marked.join(earlier_windows(marked, PASSAGES).hint("shuffle_hash"), ["doc_id", "row"], "left")
+    changed = F.col("ranges").isNotNull()
     rows = rows.withColumn("changed", changed).withColumn("left", F.when(changed, left("text", "ranges")).otherwise(F.col("text")))
     rows = rows.where(~F.col("changed") | (F.col("left") != ""))
     own = lambda c: F.col("_all")[c]

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from recoflux.llm.anchors import Context, Windows, earlier_windows, mask_of, one_text_each
+from recoflux.llm.anchors import Context, Windows, earlier_windows, mask_of, numbered
 from recoflux.llm.common import BYTE_SYMBOLS, map_arrow
 
 WIDTH, GRAM = 100, 32
@@ -143,22 +143,22 @@ def op5_suffix_dedup(docs: DataFrame) -> DataFrame:
     """Bytes of each document that 100-byte strings starting earlier cover, and what is left.
 
     A null text is empty; a row without doc_id is left as it is and removes
-    nothing; rows that repeat a doc_id count as one document (see one_text_each).
+    nothing; equal rows that repeat a doc_id count as one document, different ones as several (see numbered).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_bytes, n_removed, n_spans, kept = [], [], [], []
-            for text, same, ranges in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+            for text, ranges in zip(*(batch.column(k).to_pylist() for k in (1, 2))):
                 data = np.frombuffer((text or "").encode(), np.uint8)
-                mask = mask_of(ranges if same else None, len(data))
+                mask = mask_of(ranges, len(data))
                 n_bytes.append(len(data))
                 n_removed.append(int(mask.sum()))
                 n_spans.append(int((mask[1:] & ~mask[:-1]).sum() + mask[:1].sum()))
                 kept.append(hashlib.sha256(data[~mask].tobytes()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)), pa.array(kept, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    docs = one_text_each(docs)
-    rows = docs.join(earlier_windows(docs, REPEATS).hint("shuffle_hash"), "doc_id", "left")
-    rows = rows.select("doc_id", "text", "same", "ranges")
+    docs = numbered(docs)
+    rows = docs.join(earlier_windows(docs, REPEATS).hint("shuffle_hash"), ["doc_id", "row"], "left")
+    rows = rows.select("doc_id", "text", "ranges")
     return rows.transform(map_arrow, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -227,6 +227,27 @@ def test_dedup_of_repeated_ids(spark, corpus):
         assert operator(frame(spark, rows)).count() == len(rows)
 
 
+def test_dedup_of_different_texts_of_one_id(spark):
+    made = lambda seed: " ".join(prose(seed, 8, 60))
+    a, b, c, d = (made(k) for k in (21, 22, 23, 24))
+    rows = [(1, a), (2, b), (2, f"{a} x {c}"), (2, f"y {d} {b}"), (3, c), (4, f"{d} z"), (5, b), (2, b), (None, a)]
+    named = spark.createDataFrame([x for x in rows if x[0]], "i long, t string").distinct()
+    named = [(r.i, r.t) for r in named.orderBy("i", F.xxhash64("t")).collect()]  # equal rows are one document
+    places = brute.earlier_bytes([(k, t) for k, (_, t) in enumerate(named)])
+    expected = {x: places[k] for k, x in enumerate(named)}
+    for doc, text in rows:
+        expected.setdefault((doc, text), brute.earlier_bytes([(0, text)])[0])
+    out = suffixes.op5_suffix_dedup(frame(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, *r[1:]) for r in out) == sorted((i or 0, *expected[i, t]) for i, t in rows)
+    for doc, text in rows:  # texts of one id leave each other alone
+        smaller = [(k, t) for k, (i, t) in enumerate(named) if doc and i < doc]
+        expected[doc, text] = brute.earlier_words([*smaller, (len(rows), text)])[len(rows)]
+    out = phrases.op8_substring_dedup(frame(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, *r[1:]) for r in out) == sorted((i or 0, *expected[i, t]) for i, t in rows)
+    left = sorted((r.doc_id or 0, r.text) for r in phrases.remove_passages(frame(spark, rows)).collect())
+    assert [i for i, _ in left] == [0, 1, 2, 2, 2, 2, 4] and (4, "z") in left
+
+
 def test_suffix_array():
     import numpy as np
 
@@ -253,16 +274,6 @@ def test_language(spark):
     assert language.op6_language(rows.limit(0)).count() == 0
 
 
-def test_token_counts(spark, corpus):
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(tokens.vocabulary(None))
-    docs = corpus + [(700, "don't <|endoftext|>x<|startoftext|> ΑΣ İ é \x1c 　 ٣ ½ 한국 🎉"), (701, "w " * 2049)]
-    out = {r.doc_id: r for r in tokens.op7_token_counts(frame(spark, docs)).collect()}
-    for doc, text in docs:
-        n = len(library.encode(text or "", add_special_tokens=False).ids)
-        assert (out[doc].n_bytes, out[doc].n_tokens, out[doc].over_limit) == (len((text or "").encode()), n, n > 2048)
-
 def test_language_learns_rare_languages(spark):
     r = random.Random(3)
     made = lambda letters: " ".join("".join(r.choices(letters, k=4)) for _ in range(20))
@@ -276,6 +287,16 @@ def test_language_learns_rare_languages(spark):
     assert all(out[i] == lang for i, _, lang in docs)
 
 
+def test_token_counts(spark, corpus):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokens.vocabulary(None))
+    docs = corpus + [(700, "don't <|endoftext|>x<|startoftext|> ΑΣ İ é \x1c 　 ٣ ½ 한국 🎉"), (701, "w " * 2049)]
+    out = {r.doc_id: r for r in tokens.op7_token_counts(frame(spark, docs)).collect()}
+    for doc, text in docs:
+        n = len(library.encode(text or "", add_special_tokens=False).ids)
+        assert (out[doc].n_bytes, out[doc].n_tokens, out[doc].over_limit) == (len((text or "").encode()), n, n > 2048)
+
 
 def test_topk(spark, monkeypatch):
     r = random.Random(4)
