@@ -41,7 +41,7 @@ STEPS = {
     "df": "SELECT language, term, count(DISTINCT p) AS df FROM tf GROUP BY language, term",
     "raw": "SELECT p, language, attribute, term, n / max(n) OVER (PARTITION BY p, attribute) * ln((SELECT count(*) FROM product WHERE deleted_on IS NULL) / (1 + df)) AS raw FROM tf JOIN df USING (language, term)",
     "norm": "SELECT p, language, attribute, term, raw / most AS w FROM (SELECT *, max(raw) OVER (PARTITION BY p, attribute) AS most FROM raw) WHERE most > 0 AND raw > 0",
-    "tfidf": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p, attribute ORDER BY w DESC, term DESC) AS place FROM norm) WHERE place <= 20",
+    "tfidf": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p, attribute ORDER BY w DESC, term DESC) AS place FROM norm) WHERE place <= 200",
     "whole": "SELECT p, attribute, sum(w) AS whole FROM tfidf GROUP BY p, attribute",
     "sims": """SELECT a.p AS p, b.p AS t, a.attribute, sum(a.w / whole * (1 - greatest(0.0::DOUBLE, a.w - b.w))) AS sim FROM tfidf a JOIN whole ON whole.p = a.p AND whole.attribute = a.attribute
       JOIN tfidf b ON a.language = b.language AND a.attribute = b.attribute AND a.term = b.term AND a.p <> b.p GROUP BY a.p, b.p, a.attribute""",
