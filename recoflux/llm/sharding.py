@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from recoflux.llm.common import cut
 
-BUCKETS = 2048
-#: Lanes of a bucket that repeated rows make too large.
-LANES = 64
+#: Keys of a bucket, about, and the fewest buckets; a bucket is numbered in one task.
+PER_BUCKET, BUCKETS = 1_000_000, 2048
+#: Parts that equal rows are dealt into, so that no task numbers all rows of one key.
+LANES = 256
 ROUNDS = 6
 
 
@@ -39,36 +40,38 @@ def permuted(x: Column, n: int, seed: int) -> Column:
     first = feistel(x, a, b, seed)
     if a * b == n:
         return first
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(a * b - n)), first, lambda y, _: F.when(y < n, y).otherwise(feistel(y, a, b, seed)))
+    steps = F.sequence(F.lit(1), F.least(F.lit(a * b - n), first))  # first is n or more where steps are taken; not a literal, so the plan stays small
+    walk = F.aggregate(steps, first, lambda y, _: F.when(y < n, y).otherwise(feistel(y, a, b, seed)))
     return F.when(first < n, first).otherwise(walk)
 
 
 def numbered(rows: DataFrame, key: list[str]) -> tuple[DataFrame, int]:
     """rows with a global row number `row` from 0, gapless, and how many rows there are.
 
-    The number follows the key columns' hash bucket and, within it, their order;
-    so it depends on the rows' content and not on files, partitions or cluster.
-    Buckets get their first number from counts (at most 2048 rows), so no
-    task sorts more than a bucket. A bucket far above the mean can only hold
-    repeats of one key; it is split into lanes by scan position, which decides
-    among equal rows alone and their few neighbours. Rows are written to the
-    shared folder once, so both passes see the same positions.
+    Numbers follow the hash bucket of the key columns and, within it, the order
+    of the keys; so a row's number depends on the keys of all rows and not on
+    files, partitions or cluster. Rows that are equal in all key columns have
+    consecutive numbers, and only which of them has which is up to their
+    position. They are counted before they are sent: a key repeated in many rows
+    is one row for each lane, and no task numbers more than a lane of it or a bucket of keys.
+    Rows are written to the shared folder once, so all passes see the same lanes.
     """
-    rows = cut(rows.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int")).withColumn("_split", F.pmod(F.monotonically_increasing_id(), F.lit(LANES)).cast("int")))
+    rows = cut(rows.withColumn("_lane", F.pmod(F.monotonically_increasing_id(), F.lit(LANES)).cast("int")))
     n = rows.count()
-    per = rows.groupBy("_bucket", "_split").agg(F.count(F.lit(1)).alias("_n"))
-    of_bucket = F.sum("_n").over(Window.partitionBy("_bucket"))
-    per = per.withColumn("_hot", of_bucket > 8 * n / BUCKETS + 1000)
-    lane = F.when(F.col("_hot"), F.col("_split")).otherwise(F.lit(0))
-    lanes = per.groupBy("_bucket", lane.alias("_lane"), "_hot").agg(F.sum("_n").alias("_n"))
-    # At most 2048 + 256 * 64 rows: fewer than an eighth of the buckets can be hot.
-    before = F.sum("_n").over(Window.orderBy("_bucket", "_lane").rowsBetween(Window.unboundedPreceding, -1))
-    lanes = cut(lanes.select("_bucket", "_lane", "_hot", F.coalesce(before, F.lit(0)).alias("_first")))
-    hot = lanes.where("_hot").select("_bucket").distinct().withColumn("_hot", F.lit(True))
-    rows = rows.join(F.broadcast(hot), "_bucket", "left").withColumn("_lane", F.when(F.col("_hot"), F.col("_split")).otherwise(F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("_bucket", "_lane").orderBy(*key))
-    rows = rows.withColumn("_rank", rank.cast("long")).join(F.broadcast(lanes.drop("_hot")), ["_bucket", "_lane"])
-    return rows.withColumn("row", F.col("_first") + F.col("_rank") - 1).drop("_bucket", "_split", "_hot", "_lane", "_rank", "_first"), n
+    buckets = max(BUCKETS, n // PER_BUCKET)
+    of_key = [*key, "_lane"]
+    per = rows.groupBy(*of_key).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+    so_far = F.sum("_n").over(Window.partitionBy("_bucket").orderBy(*of_key).rowsBetween(Window.unboundedPreceding, -1))
+    per = cut(per.withColumn("_before", F.coalesce(so_far, F.lit(0))))
+    # One row a bucket: at most 2048 rows, or one for a million rows of input.
+    first = F.sum("_size").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    starts = per.groupBy("_bucket").agg(F.sum("_n").alias("_size")).select("_bucket", F.coalesce(first, F.lit(0)).alias("_first"))
+    per = per.join(F.broadcast(starts), "_bucket").select(*[F.col(c).alias(f"_k{j}") for j, c in enumerate(of_key)], (F.col("_first") + F.col("_before")).alias("_start"))
+    rank = F.row_number().over(Window.partitionBy(*of_key).orderBy(F.lit(0))).cast("long") - 1
+    ranked = rows.withColumn("_rank", rank)
+    same = [F.col(c).eqNullSafe(F.col(f"_k{j}")) for j, c in enumerate(of_key)]
+    ranked = ranked.join(per.hint("merge"), same).withColumn("row", F.col("_start") + F.col("_rank"))
+    return ranked.drop("_lane", "_rank", "_start", *[f"_k{j}" for j in range(len(of_key))]), n
 
 
 def shard_rows(rows: DataFrame, key: list[str], n_shards: int, seed: int = 7) -> DataFrame:
@@ -78,7 +81,7 @@ def shard_rows(rows: DataFrame, key: list[str], n_shards: int, seed: int = 7) ->
     p div n_shards; so shards' counts are at most one apart, and where a row lies can
     be computed from its number, seed and the count of rows. Rows must hold
     the key columns, by which they are numbered; nulls sort first, repeated rows
-    take places of their own, an empty table gives an empty table.
+    take places of their own next to each other's numbers, an empty table gives an empty table.
     """
     rows, n = numbered(rows, key)
     p = permuted(F.col("row"), n, seed)
@@ -89,7 +92,9 @@ def shard_rows(rows: DataFrame, key: list[str], n_shards: int, seed: int = 7) ->
 def op1_sharding(docs: DataFrame, n_shards: int = 24, seed: int = 7) -> DataFrame:
     """All documents in shards of near equal counts (law `rows`).
 
-    A null text counts as empty: size 8, text_crc32 0.
+    A null or empty text has size 8 and text_crc32 0, a long one its whole size; a null doc_id is a key
+    like any other. Repeated rows each have a place; which of several equal rows has
+    which is up to their position. An empty table gives an empty table.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id"), (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))

@@ -82,6 +82,50 @@ def test_sharding_does_not_depend_on_partitions(spark, corpus):
     assert sorted(a.collect()) == sorted(b.collect())
 
 
+def test_sharding_with_a_key_of_many_rows_does_not_depend_on_partitions(spark):
+    one = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).unionByName(spark.range(4_000).select(F.lit(7_000_000).alias("doc_id"), F.lit("hot").alias("text")))
+    found = []
+    for parts in (1, 7, 31):
+        out = sharding.op1_sharding(one.repartition(parts)).select("doc_id", "row_number", "shard", "slot").collect()
+        assert sorted(r.row_number for r in out) == list(range(44_000))
+        found.append(sorted(map(tuple, out)))
+    assert found[0] == found[1] == found[2]
+
+
+def test_permutation_against_plain_feistel(spark):
+    """round function: the chained 64-bit hash of round key and half, as signed numbers"""
+    import math
+    import struct
+
+    import xxhash
+
+    def mixed(k, half):
+        h = xxhash.xxh64_intdigest(struct.pack("<q", half), xxhash.xxh64_intdigest(struct.pack("<i", k), 42))
+        return h - (1 << 64) if h >> 63 else h
+
+    for n in (1, 2, 3, 24, 25, 1000, 1023):
+        a = math.isqrt(n - 1) + 1
+        b = -(-n // a)
+
+        def once(x):
+            left, right = x % a, x // a
+            for k in range(sharding.ROUNDS):
+                if k % 2 == 0:
+                    left = (left + mixed(7 + k, right) % a) % a
+                else:
+                    right = (right + mixed(7 + k, left) % b) % b
+            return left + right * a
+
+        expected = []
+        for x in range(n):
+            x = once(x)
+            while x >= n:
+                x = once(x)
+            expected.append(x)
+        out = spark.range(n).select("id", sharding.permuted(F.col("id"), n, 7).alias("p")).orderBy("id").collect()
+        assert [r.p for r in out] == expected and sorted(expected) == list(range(n))
+
+
 def test_decontamination(spark, corpus):
     words = " ".join(corpus[0][1].split()[:40] or ["w"])
     items = [(1, corpus[10][1]), (2, "a"), (10, words), (3, None), (4, "... !"), (5, "Nie Da Gewesen"), (None, "a"), (7, corpus[10][1])]
