@@ -18,42 +18,64 @@ from recoflux.llm.common import RADIX, SPACES, Words, byte_slabs, hold_out, ids_
 BITS = 17
 #: Labelled texts that a model is fitted on at most, evenly by hash of their id, whatever their length.
 SAMPLE = 4000
-GRAMS = (2, 3, 4)
+#: Words and characters of an n-gram.
+WORD_GRAMS, CHARACTER_GRAMS = (1, 2), (2, 3, 4)
+#: Words of an n-gram that also counts by its form alone: words as numbers in order of first use, so that "no no yes" is 1 1 2.
+FORM = 3
 #: Zero vectors in each mean, so that a few features alone hardly move a short text from the prior.
 NEUTRAL = 10
-#: The hash of every pair of a word and itself: one feature, whatever the word.
-TWICE = np.uint64(0x5851F42D4C957F2D)
+
+
+def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, codes): where each character begins, and its bytes as one number."""
+    starts = np.flatnonzero((data & 0xC0) != 0x80)
+    sizes = np.diff(np.concatenate([starts, [len(data)]]))
+    codes = data[starts].astype(np.uint64)
+    for k in range(1, 4):
+        more = np.flatnonzero(sizes > k)
+        codes[more] |= data[starts[more] + k].astype(np.uint64) << np.uint64(8 * k)
+    return starts, codes
+
+
+def grams(symbols: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n consecutive symbols."""
+    m = len(symbols) - n + 1
+    code = np.full(m, n, np.uint64)
+    for k in range(n):
+        code = mix(code * np.uint64(RADIX) + symbols[k : k + m])
+    return code
 
 
 def features(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions, table rows) of words, word pairs and byte n-grams within words of a slab, kind by kind."""
+    """(positions, table rows) of n-grams of words, and of characters within words, of a slab, kind by kind.
+
+    Word n-grams of FORM words come without the words themselves: how words repeat is the same for all words, which
+    n-grams of given words can't learn for words that they haven't seen.
+    """
     shift = np.uint64(64 - BITS)
     words = Words(data, bounds)
-    hashes = words.hashes()
-    yield words.starts, (hashes >> shift).astype(np.int64)
-    if len(hashes) > 1:
-        same = np.ones(len(hashes), bool)  # False where a text's first word is
-        firsts = words.bounds[:-1]
-        same[firsts[firsts < len(hashes)]] = False
-        pairs = mix(hashes[:-1] * np.uint64(RADIX) + hashes[1:])
-        pairs[hashes[:-1] == hashes[1:]] = TWICE
-        pairs = pairs[same[1:]]
-        yield words.starts[:-1][same[1:]], (pairs >> shift).astype(np.int64)
-    spaces = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(SPACES[data], out=spaces[1:])
-    starts = np.zeros(len(data) + 1, np.int64)
-    starts[bounds[:-1]] = 1
-    text_of = np.cumsum(starts[:-1])
-    wide = data.astype(np.uint64)
-    for n in GRAMS:
-        m = len(data) - n + 1
-        if m < 1:
-            continue
-        code = wide[:m] + np.uint64(n << 40)
-        for k in range(1, n):
-            code = code + (wide[k : k + m] << np.uint64(8 * k))
-        inside = np.flatnonzero((spaces[n : n + m] == spaces[:m]) & (text_of[:m] == text_of[n - 1 : n - 1 + m]))
-        yield inside, (mix(code[inside]) >> shift).astype(np.int64)
+    at, codes = characters(data)
+    spaces = np.zeros(len(at) + 1, np.int64)
+    np.cumsum(SPACES[data[at]], out=spaces[1:])
+    for positions, symbols, sizes, blank in ((words.starts, words.hashes(), WORD_GRAMS, None), (at, codes, CHARACTER_GRAMS, spaces)):
+        text = np.searchsorted(bounds, positions, "right")
+        for n in sizes:
+            m = len(symbols) - n + 1
+            if m < 1:
+                continue
+            inside = text[n - 1 :] == text[:m]
+            if blank is not None:
+                inside &= blank[n : n + m] == blank[:m]
+            inside = np.flatnonzero(inside)
+            yield positions[inside], (grams(symbols, n)[inside] >> shift).astype(np.int64)
+    text, m = np.searchsorted(bounds, words.starts, "right"), len(words.starts) - FORM + 1
+    if m > 0:
+        inside = np.flatnonzero(text[FORM - 1 :] == text[:m])
+        hashes, form = words.hashes(), np.zeros(m, np.uint64)
+        for i in range(1, FORM):
+            for j in range(i):
+                form = form * np.uint64(2) + (hashes[i : i + m] == hashes[j : j + m])
+        yield words.starts[inside], (mix(form[inside] + np.uint64(1 << 60)) >> shift).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -106,7 +128,7 @@ class Examples:
 
 
 def train(docs: Examples, dim: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 11) -> QualityModel:
-    """Fit word, word-pair and n-gram vectors and a softmax layer, one document a step, with a falling rate.
+    """Fit the n-grams' vectors and a softmax layer, one document a step, with a falling rate.
 
     Without labels of both kinds the model returns the share of label 1 (0.5 without any).
     """
@@ -185,7 +207,11 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def op3_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Quality of each document; repeated rows are scored each, an empty table gives an empty table."""
+    """Quality of each document, from its whole text whatever its length.
+
+    A null or empty text has no features and gets the prior; repeated rows are scored each, and alike; equal
+    scores need no order; an empty table gives an empty table. Without labels every score is 0.5.
+    """
     model = fit_quality(docs, labels)
     rows = score_quality(ids_and_texts(docs).withColumnRenamed("doc_id", "key"), model)
     return rows.select(F.col("key").alias("doc_id"), hold_out(F.col("key")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
