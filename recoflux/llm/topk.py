@@ -11,14 +11,10 @@ from pyspark.sql import functions as F
 
 from recoflux.llm.common import cut, map_arrow
 
-#: Queries of a block, which is broadcast (at most QUERIES * terms * 8 bytes); more queries are more blocks.
-QUERIES = 4096
+#: Queries of a block at most, and their components; a block is broadcast (at most COMPONENTS * 8 bytes), more queries are more blocks.
+QUERIES, COMPONENTS = 32_768, 4_000_000
 #: Scores of a dense array at most; candidates are taken in runs that keep to it.
 SCORES = 2_000_000
-#: Terms added at once where their postings are dense.
-TERMS = 16
-#: Below this share of candidates, a term's postings are scattered one by one.
-SPARSE = 0.2
 
 
 def weights(vectors: pa.ListArray, scale: float) -> tuple[np.ndarray, np.ndarray]:
@@ -65,31 +61,29 @@ class Best:
         self.least[self.query[last]] = self.score[last]
 
 
-def accumulate(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The scores of all rows for all queries, term by term.
+def postings(rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each term, the rows that have it and its weight in each."""
+    terms, at = np.nonzero(rows.T)
+    weight = rows[at, terms]
+    bounds = np.searchsorted(terms, np.arange(rows.shape[1] + 1)).tolist()
+    return [(at[a:b], weight[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
 
-    A term's postings are the rows that have it and their weights. Where
-    few rows have it, the queries that have it scatter their weight times each posting into
-    their score arrays; terms that most rows have are added in groups.
+
+def accumulate(queries: list[tuple[np.ndarray, np.ndarray]], n: int, rows: np.ndarray) -> np.ndarray:
+    """The scores of all rows for all n queries, term by term.
+
+    Each query that has a term scatters its weight times the term's postings into its dense score array.
     """
-    scores = np.zeros((len(queries), len(rows)))
-    terms = min(queries.shape[1], rows.shape[1])
-    used = np.flatnonzero((queries[:, :terms] != 0).any(axis=0))
-    share = (rows[:, used] != 0).mean(axis=0)
-    for t in used[share < SPARSE]:
-        asking, posted = np.flatnonzero(queries[:, t]), np.flatnonzero(rows[:, t])
-        if len(posted):
-            scores[np.ix_(asking, posted)] += np.outer(queries[asking, t], rows[posted, t])
-    dense = used[share >= SPARSE]
-    for k in range(0, len(dense), TERMS):
-        group = dense[k : k + TERMS]
-        scores += queries[:, group] @ rows[:, group].T
+    scores = np.zeros((n, len(rows)))
+    for (asking, wanted), (posted, weight) in zip(queries, postings(rows)):
+        if len(asking) and len(posted):
+            scores[asking[:, None], posted] += np.outer(wanted, weight)
     return scores
 
 
 def best_of_block(candidates: DataFrame, ids: np.ndarray, rows: np.ndarray, k: int, scale: float) -> DataFrame:
     """Each task's k best per query of a block, one row each; a task's output doesn't grow with its candidates."""
-    shared = candidates.sparkSession.sparkContext.broadcast((ids, rows))
+    shared = candidates.sparkSession.sparkContext.broadcast((ids, postings(rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, queries = shared.value
@@ -101,7 +95,7 @@ def best_of_block(candidates: DataFrame, ids: np.ndarray, rows: np.ndarray, k: i
             names = np.asarray(batch.column(0))[at]
             for a in range(0, len(at), step):
                 part = names[a : a + step]
-                scores = accumulate(queries, found[a : a + step])
+                scores = accumulate(queries, len(own), found[a : a + step])
                 left, right = np.searchsorted(own, part, "left", sorter=by), np.searchsorted(own, part, "right", sorter=by)
                 for j in np.flatnonzero(right > left):  # a query is no candidate of its own
                     scores[by[left[j] : right[j]], j] = -np.inf
@@ -122,6 +116,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
     candidates with a query's own vec_id are not its candidates; ties go to the
     smaller vec_id. Equal vectors of one vec_id are asked once, different ones are
     all asked and the k best are those of all of them; as candidates, repeats count each.
+    Vectors of other lengths meet as if they ended in zeros; sums are exact below 2**53. An empty table gives an empty table.
     """
     spark = vectors.sparkSession
     array = F.col("embedding").cast("array<double>").alias("embedding")
@@ -141,12 +136,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
         best = best.join(names, "query").withColumn("rank", place).where(F.col("rank") <= k)
         return best.select("query_id", "rank", "vec_id", "score")
 
+    components = 0
     for row in asked.toLocalIterator():
         block.append(row)
-        if len(block) == QUERIES:
+        components += len(row.embedding)
+        if len(block) == QUERIES or components > COMPONENTS:
             part = cut(searched())
             result = part if result is None else result.unionByName(part)
-            block = []
+            block, components = [], 0
     if block or result is None:
         part = searched()
         if result is None:
@@ -156,6 +153,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
 
 
 def op9_topk(vectors: DataFrame) -> DataFrame:
+    """The five best of each vector whose id is divisible by 50; nulls, ties, repeats and empty tables as top_k() says."""
     return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
