@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recoflux.llm.common import cut, ids_and_texts, map_arrow, mix
+from recoflux.llm.common import ids_and_texts, map_arrow, mix
 
 WINDOW = 13
-#: Benchmark text bytes that one block of items may hold; a block is broadcast, more blocks are more passes.
-BLOCK_BYTES = 2 << 20
+#: Benchmark text bytes that one hash set may be made of; a worker holds one hash set at a time, and broadcasts are so bounded.
+BLOCK_BYTES = 4 << 20
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 STEP = np.uint64(0xD1342543DE82EF95)
@@ -26,17 +26,36 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Grams:
-    """The windows of a block of items: by length, a sorted hash array and the exact windows with their items."""
+    """A hash set of items' distinct windows, made once and broadcast as arrays.
+
+    For each length of windows: their hashes in order, where an example of each lies in the items'
+    words (as numbers), and the items that have it, entry by entry (bounds, owners).
+    """
 
     def __init__(self, items: list[tuple], window: int):
+        self.names = [name for name, _ in items]
         self.vocabulary: dict[bytes, int] = {}
-        self.windows: dict[int, dict[tuple, set]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)]
-            n = min(window, len(ids))
-            for k in range(len(ids) - n + 1) if n else ():
-                self.windows.setdefault(n, {}).setdefault(tuple(ids[k : k + n]), set()).add(item)
-        self.hashes = {n: np.sort(self.hash(np.array(list(w), np.int64).reshape(-1, n))) for n, w in self.windows.items()}
+        words = [words_of(text) for _, text in items]
+        ids = [[self.vocabulary.setdefault(w, len(self.vocabulary)) for w in found] for found in words]
+        sizes = np.array([len(x) for x in ids], np.int64)
+        first = np.cumsum(sizes) - sizes
+        self.words = np.array([w for found in ids for w in found], np.int32)
+        length = np.minimum(sizes, window)
+        self.tables: dict[int, tuple[np.ndarray, ...]] = {}
+        for n in sorted(set(length[length > 0].tolist())):
+            of = np.flatnonzero(length == n)
+            count = sizes[of] - n + 1
+            owner = np.repeat(of, count)
+            start = np.repeat(first[of], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            _, place, which = np.unique(self.rows(start, n), axis=0, return_index=True, return_inverse=True)
+            pairs = np.unique(np.stack([which.ravel(), owner]), axis=1)
+            bounds = np.searchsorted(pairs[0], np.arange(len(place) + 1))
+            hashes = self.hash(self.rows(start[place], n))
+            by = np.argsort(hashes, kind="stable")
+            self.tables[n] = hashes[by], start[place][by], bounds[:-1][by], bounds[1:][by], pairs[1]
+
+    def rows(self, start: np.ndarray, n: int) -> np.ndarray:
+        return self.words[start[:, None] + np.arange(n)]
 
     @staticmethod
     def hash(rows: np.ndarray) -> np.ndarray:
@@ -46,27 +65,29 @@ class Grams:
         return out
 
     def hits(self, words: list[bytes]) -> tuple[np.ndarray, set]:
-        """Which words lie inside an occurrence of a window, and whose items' windows occur."""
+        """Which words lie inside an occurrence of a window, and the names of the items whose windows occur."""
         get = self.vocabulary.get
-        ids = np.fromiter([get(w, -1) for w in words], np.int64, len(words))
+        ids = np.fromiter([get(w, -1) for w in words], np.int32, len(words))
         hit, items = np.zeros(len(words) + 1, np.int64), set()
         known = np.zeros(len(words) + 1, np.int64)
         np.cumsum(ids >= 0, out=known[1:])
-        for n, exact in self.windows.items():
+        for n, (hashes, place, low, high, owners) in self.tables.items():
             if n > len(words):
                 continue
             starts = np.flatnonzero(known[n:] - known[:-n] == n)  # all of its words are words of items
             if not len(starts):
                 continue
             rows = np.lib.stride_tricks.sliding_window_view(ids, n)[starts]
-            table, h = self.hashes[n], self.hash(rows)
-            at = np.minimum(np.searchsorted(table, h), len(table) - 1)
-            for k in np.flatnonzero(table[at] == h):
-                found = exact.get(tuple(rows[k].tolist()))  # the hit is verified word by word
-                if found:
-                    items |= found
-                    hit[starts[k]] += 1
-                    hit[starts[k] + n] -= 1
+            h = self.hash(rows)
+            a, b = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            at = np.repeat(np.arange(len(starts)), b - a)  # windows that share a hash are few: each is another window
+            entry = np.repeat(a, b - a) + np.arange(len(at)) - np.repeat(np.cumsum(b - a) - (b - a), b - a)
+            same = (rows[at] == self.rows(place[entry], n)).all(axis=1)  # the hit is verified word by word
+            at, entry = starts[at[same]], entry[same]
+            np.add.at(hit, at, 1)
+            np.add.at(hit, at + n, -1)
+            for e in set(entry.tolist()):
+                items.update(self.names[k] for k in owners[low[e] : high[e]].tolist())
         return np.cumsum(hit[:-1]) > 0, items
 
 
@@ -87,49 +108,42 @@ def item_blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple]]:
 def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, clean: bool = False) -> DataFrame:
     """docs, which hold a text, with _n_words, _n_hit, _hits (ranges of hit words, [from, to) pairs) and _items (ids as strings, sorted).
 
-    A block of items is broadcast as a hash set and every document scanned
-    against it where it is read: no shuffle. Items beyond a block are scanned in
-    further passes; a pass adds to the ranges of those before it. Null or empty
-    texts have no words; an item of none has no window; an item without id hits
-    words like any other, but has no id to be counted or listed; repeated rows each get their result; an empty benchmark hits nothing.
-    With clean, the last pass also takes the hit words out of the text.
+    Hash sets of the items' windows are broadcast and every document is scanned
+    where it is read: no shuffle, and one pass over the documents. A hash set is of at most
+    block_bytes of items' text; where items are more, there are more hash sets, of which a worker
+    holds one at a time. Null or empty texts have no words; an item of none has no window; an item without id hits
+    words like any other, but has no id to be counted or listed; repeated rows each get their result, repeated items are
+    one; long texts are scanned whole; an empty benchmark hits nothing. With clean, hit words are also taken out of the text.
     """
     spark = docs.sparkSession
-    rows = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_n_hit": F.lit(0).cast("long"), "_hits": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")})
-    blocks = item_blocks(benchmark, block_bytes)
-    block = next(blocks, [])
-    while (following := next(blocks, None)) is not None:
-        rows = cut(scan(rows, spark.sparkContext.broadcast(block), window, False))
-        block = following
-    return scan(rows, spark.sparkContext.broadcast(block), window, clean)
-
+    blocks = [spark.sparkContext.broadcast(Grams(block, window)) for block in item_blocks(benchmark, block_bytes)]
+    at = docs.columns.index("text")
+    made = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_n_hit": F.lit(0).cast("long"), "_hits": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")})
 
-def scan(rows: DataFrame, block, window: int, clean: bool) -> DataFrame:
-    n, at = len(rows.columns) - 4, rows.columns.index("text")
+    names = made.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams(block.value, window)
         for batch in batches:
-            n_words, n_hit, all_hits, all_items, texts = [], [], [], [], []
-            for text, hits, items in zip(*(batch.column(k).to_pylist() for k in (at, n + 2, n + 3))):
-                words = words_of(text)
-                mask, found = grams.hits(words)
-                for a, b in zip(hits[::2], hits[1::2]):
-                    mask[a:b] = True
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8))).tolist()
-                n_words.append(len(words))
-                n_hit.append(int(mask.sum()))
-                all_hits.append(edges)
-                all_items.append(sorted({*items, *(str(x) for x in found if x is not None)}))
-                if clean:
-                    texts.append(without_hits(text, edges) if edges else text)
-            columns = list(batch.columns[:n])
+            texts = batch.column(at).to_pylist()
+            words = [words_of(t) for t in texts]
+            masks = [np.zeros(len(w), bool) for w in words]
+            items: list[set] = [set() for _ in words]
+            for block in blocks:
+                grams = block.value
+                for k, w in enumerate(words):
+                    mask, found = grams.hits(w)
+                    masks[k] |= mask
+                    items[k] |= found
+                if len(blocks) > 1:
+                    del grams, block._value  # the next hash set takes its place; the broadcast stays on disk
+            edges = [np.flatnonzero(np.diff(np.concatenate([[False], m, [False]]).astype(np.int8))).tolist() for m in masks]
+            columns = list(batch.columns)
             if clean:
-                columns[at] = pa.array(texts, columns[at].type)
-            more = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(all_hits, pa.list_(pa.int32())), pa.array(all_items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*columns, *more], names=batch.schema.names)
+                columns[at] = pa.array([without_hits(t, e) if e else t for t, e in zip(texts, edges)], columns[at].type)
+            ids = [sorted({str(x) for x in found if x is not None}) for found in items]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(w) for w in words], pa.int64()), pa.array([int(m.sum()) for m in masks], pa.int64()), pa.array(edges, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.string()))], names=names)
 
-    return rows.transform(map_arrow, run, rows.schema)
+    return docs.transform(map_arrow, run, made.schema)
 
 
 def contaminated() -> Column:
@@ -161,6 +175,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def op2_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Each document's hit words and items; nulls, empty and long texts, repeats and empty tables as window_hits() says."""
     rows = window_hits(ids_and_texts(docs), benchmark)
     return rows.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "_items"), 256).alias("items_sha256"), contaminated().alias("contaminated"))
 
