@@ -2,37 +2,43 @@
 
 A window is W consecutive symbols (bytes or words) of one document. Its anchor is
 the k-gram in it with the least hash, the leftmost of equals, so equal windows have
-equal anchors at equal places, and consecutive windows mostly share one. Rows are
-made for anchors, one for about (W - k) / 2 symbols, not for windows:
-
-1. Where it is read, a text gives a row per anchor: the gram's hash h, the range of
-   windows that share it, and the hash c of all symbols that these windows cover (the
-   context). Contexts that occur before in the same batch are settled there.
-2. Rows meet by h, sorted by c. A context that occurs before is settled as a whole.
-   What is left of an h has distinct contexts; if there are two or more, they
-   may still share windows, and only these contexts are asked for by content.
-3. Contexts asked for meet by h in blocks of bounded size, where an exact method
-   (suffix array, automaton) finds the windows that occur before.
-   A group beyond a block goes on as one row per window, settled by a
-   least-first aggregation that combines before it shuffles.
-
-Hashes c and h are 64 bits each and count together, so contexts are the same if 128 bits agree.
+equal anchors, and consecutive windows mostly share one. Rows are made for anchors,
+one for about (W - k) / 2 symbols, not for windows. The windows that share an anchor and the
+symbols that they cover are a context.
+
+1. Where it is read, a text gives a row per anchor: the gram's hash h and its windows. A
+   gram that more than one document of a batch has recurs for certain; it meets other batches as one row.
+2. Rows meet by h, and those of recurring grams are asked for: windows elsewhere can't recur.
+3. Contexts asked for are cut out of their texts. Of contexts of a batch that agree byte for
+   byte, the first goes on; the others occur before. (This is the sum before the shuffle: a text of many
+   copies is sent once by each batch.)
+4. Contexts meet by h in blocks of bounded size, where an exact method (suffix array,
+   automata) finds the windows that occur before. A group larger than a block is taken
+   in runs, least documents first; from run to run only contexts that hold the first of some window are kept.
+5. If these are too many for one task, the group is split by a second, longer gram of each window, its
+   parts meet again as in 4, and so on. At last the gram is the window, of which one is kept.
+
+Hashes h only say who meets whom; which windows are equal is for the exact method to say.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recoflux.llm.common import Rolling, byte_slabs, cut, map_arrow, mix
 
-#: Symbols that a block of contexts holds, about; a group of more is a block of its own up to GROUP.
+#: Bytes of contexts that a block takes, and that a group keeps from run to run before it is split.
 BLOCK, GROUP = 1 << 19, 1 << 21
+#: Windows of a context at most; a longer run of one gram (of a text that repeats itself) is several contexts.
+RUN = 4096
 #: Positions hold the number of the text among those of its doc_id above these bits; a text is shorter than 2**32 symbols.
 PLACE = 32
 INSIDE = (1 << PLACE) - 1
@@ -54,14 +60,18 @@ class Windows:
     settle: Callable
 
 
-def anchor_ranges(symbols: np.ndarray, bounds: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(lo, hi, h, c): for each anchor the first and last start of its windows, in slab positions, and both hashes."""
+def anchor_ranges(symbols: np.ndarray, bounds: np.ndarray, width: int, gram: int, salt: int = 0) -> tuple[np.ndarray, ...]:
+    """(lo, hi, h, several): for each anchor the first and last start of its windows, in slab positions, and its hash.
+
+    Neighbours of one hash are one (several), up to RUN windows.
+    """
     n = len(symbols)
     none = np.zeros(0, np.int64)
     if n < width:
         return none, none, none, none
-    rolling = Rolling(symbols)
-    grams = rolling.grams(gram)
+    grams = Rolling(symbols).grams(gram)
+    if salt:
+        grams = mix(grams + np.uint64(salt))
     least = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     span, have = width - gram + 1, 1
     while 2 * have <= span:
@@ -79,20 +89,22 @@ def anchor_ranges(symbols: np.ndarray, bounds: np.ndarray, width: int, gram: int
     valid = valid[valid < len(at)]
     if not len(valid):
         return none, none, none, none
-    own = at[valid]
+    own = grams[at[valid]]
     text = np.searchsorted(bounds, valid, "right")
     new = np.concatenate([[True], (own[1:] != own[:-1]) | (text[1:] != text[:-1])])
-    first = np.flatnonzero(new)
-    lo, hi = valid[first], valid[np.concatenate([first[1:], [len(valid)]]) - 1]
-    c = mix(rolling.runs(lo, hi + width) + (hi - lo).astype(np.uint64))
-    return lo, hi, grams[own[first]].view(np.int64), c.view(np.int64)
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    first = np.flatnonzero((np.arange(len(valid)) - first) % RUN == 0)
+    last = np.concatenate([first[1:], [len(valid)]]) - 1
+    return valid[first], valid[last], own[first].view(np.int64), at[valid[first]] != at[valid[last]]
 
 
-ROW = "h long, c long, doc_id long, at long, more long"
+#: A row says: the gram h recurs (SURE), it may (MEET), or these n windows from `at` are asked for (ASK).
+ROW = "h long, doc_id long, at long, n long, kind int"
+SURE, MEET, ASK = range(3)
 
 
-def row_batch(h, c, doc, at, more) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (h, c, doc, at, more)], names=["h", "c", "doc_id", "at", "more"])
+def row_batch(h, doc, at, n, kind: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (h, doc, at, n)), pa.array(np.full(len(h), kind), pa.int32())], names=["h", "doc_id", "at", "n", "kind"])
 
 
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,29 +123,15 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[first], start[first] + row[first], reach[last] - base[last] + row[first]
 
 
-def spread(doc: np.ndarray) -> np.ndarray:
-    """A key for rows that need no meeting, dealt out evenly."""
-    return mix(doc.view(np.uint64) + np.uint64(7)).view(np.int64)
-
-
-#: In column `more`: what the row is. Of an anchor, its number of windows; of a settled range, -2 and its end in c; of a context asked for, -1.
-SETTLED = -2
-
-
 def extract(what: Windows) -> Callable:
-    """Step 1. Rows (h, c, doc_id, at = first start, more = windows) and settled ranges (at, c)."""
+    """Step 1: rows of each batch. Null texts are empty; texts without doc_id must not come here."""
 
     def slab(ids: list, data: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
-        docs = np.array([-1 if x is None else x for x in ids], np.int64)
-        null = np.array([x is None for x in ids], bool)
         symbols, at, _, _ = what.split(data, bounds)
-        lo, hi, h, c = anchor_ranges(symbols, at, what.width, what.gram)
+        lo, hi, h, several = anchor_ranges(symbols, at, what.width, what.gram)
         # texts of no symbols share a bound; the last of them is the one that holds the position
         text = np.searchsorted(at, lo, "right") - 1
-        keep = ~null[text] if len(text) else np.zeros(0, bool)
-        lo, hi, h, c, text = lo[keep], hi[keep], h[keep], c[keep], text[keep]
-        start = at[text] - (rows[text] << PLACE)
-        return [h, c, docs[text], lo - start, hi - start]
+        return [h, np.array(ids, np.int64)[text], lo - at[text] + (rows[text] << PLACE), hi - lo + 1, several]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,110 +141,68 @@ def extract(what: Windows) -> Callable:
                 k += len(ids)
             if not parts:
                 continue
-            h, c, doc, lo, hi = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((lo, doc, c, h))
-            h, c, doc, lo, hi = h[order], c[order], doc[order], lo[order], hi[order]
-            before = occurs_before(h, c, doc, lo, what.own)
-            d, a, b = merged(doc[before], lo[before], hi[before] + what.width)
-            yield row_batch(h[~before], c[~before], doc[~before], lo[~before], (hi - lo + 1)[~before])
-            if len(d):
-                yield row_batch(spread(d), b, d, a, np.full(len(d), SETTLED))
+            h, doc, at, n, repeats = (np.concatenate(x) for x in zip(*parts))
+            if not len(h):
+                continue
+            order = np.lexsort((at, doc, h))
+            h, doc, at, n = h[order], doc[order], at[order], n[order]
+            group, several = recurring_groups(h, doc, what.own)
+            if what.own:
+                several[group[repeats[order].astype(bool)]] = True
+            asked = several[group]
+            yield row_batch(h[~asked], doc[~asked], at[~asked], n[~asked], MEET)
+            if asked.any():
+                yield row_batch(h[asked], doc[asked], at[asked], n[asked], ASK)
+                sure = h[np.searchsorted(group, np.flatnonzero(several))]
+                yield row_batch(sure, sure * 0, sure * 0, sure * 0, SURE)
 
     return run
 
 
-def occurs_before(h, c, doc, lo, own: bool) -> np.ndarray:
-    """Of rows sorted by (h, c, doc, lo): which aren't the first of their (h, c), as own says."""
-    if not len(h):
-        return np.zeros(0, bool)
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    return (doc > doc[first]) | ((lo > lo[first]) if own else False)
+def recurring_groups(h: np.ndarray, doc: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by (h, doc): the number of each row's group by h, and which groups are of several places or documents, as own says."""
+    new = np.concatenate([[True], h[1:] != h[:-1]])
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:], [len(h)]]) - 1
+    return np.cumsum(new) - 1, (first != last) if own else (doc[first] != doc[last])
 
 
-def settle_contexts(what: Windows) -> Callable:
-    """Step 2, over partitions sorted by (h, c, doc_id, at): settled ranges, and contexts asked for (more = -windows - 2).
+def recurring(what: Windows) -> Callable:
+    """Step 2, over partitions sorted by (h, kind, doc_id, at): the rows asked for (kind ASK).
 
-    Only the last (h, c) and its first rows are carried from batch to batch.
+    Carried from batch to batch are the last h and, until it is known to recur, its rows: those of one document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None  # the rows of the last (h, c) that may be asked for, not yet given out
-        h_last = c_last = doc_first = lo_first = h_asked = None
+        held: list[np.ndarray] | None = None
+        known = None  # the h at the end of the last batch, if it recurs
         for batch in batches:
-            h, c, doc, at, more = (batch.column(k).to_numpy() for k in range(5))
-            done = more == SETTLED
-            if done.any():
-                yield row_batch(h[done], c[done], doc[done], at[done], more[done])
-                h, c, doc, at, more = (x[~done] for x in (h, c, doc, at, more))
-            if not len(h):
+            kind = batch.column(4).to_numpy()
+            if (kind == ASK).any():
+                yield batch.filter(pa.array(kind == ASK))
+            rows = [batch.column(k).to_numpy()[kind != ASK] for k in range(4)]
+            kind = kind[kind != ASK]
+            if not len(kind):
                 continue
-            new = np.concatenate([[(h[0] != h_last) or (c[0] != c_last) if h_last is not None else True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
-            group = np.cumsum(new)
-            first = np.concatenate([[-1], np.flatnonzero(new)])[group]
-            doc_0 = np.where(first < 0, doc_first if doc_first is not None else 0, doc[first])
-            lo_0 = np.where(first < 0, lo_first if lo_first is not None else 0, at[first])
-            before = (doc > doc_0) | ((at > lo_0) if what.own else False)
-            d, a, b = merged(doc[before], at[before], at[before] + more[before] - 1 + what.width)
-            if len(d):
-                yield row_batch(spread(d), b, d, a, np.full(len(d), SETTLED))
-            rest = ~before
-            rows = [x[rest] for x in (h, c, doc, at, more)]
-            h_last, c_last, doc_first, lo_first = h[-1], c[-1], doc_0[-1], lo_0[-1]
-            if held is not None:
+            if held is not None and held[0][0] == rows[0][0]:
                 rows = [np.concatenate([x, y]) for x, y in zip(held, rows)]
-            hh, cc = rows[0], rows[1]
-            if not len(hh):
-                continue
-            # A row is asked for if its h has another c; the last (h, c) waits for what follows.
-            same = hh[1:] == hh[:-1]
-            other = same & (cc[1:] != cc[:-1])
-            edge = np.concatenate([[True], ~same])
-            h_group = np.cumsum(edge) - 1
-            asked = np.zeros(h_group[-1] + 1, bool)
-            asked[h_group[1:][other]] = True
-            if h_asked is not None and hh[0] == h_asked:
-                asked[0] = True
-            wait = (hh == hh[-1]) & (cc == cc[-1])
-            if asked[-1]:
-                h_asked = hh[-1]
-                wait[:] = False  # this h is known to have several
-            else:
-                h_asked = None
-            out = asked[h_group] & ~wait
+                kind = np.concatenate([np.full(len(held[0]), MEET), kind])
+            h, doc, at, n = rows
+            group, several = recurring_groups(h, doc, what.own)
+            several[group[kind == SURE]] = True
+            several[0] |= known == h[0]
+            out = several[group] & (kind == MEET)
             if out.any():
-                yield row_batch(*(x[out] for x in rows[:4]), -rows[4][out] - 2)
-            held = [x[wait] for x in rows] if wait.any() else None
+                yield row_batch(h[out], doc[out], at[out], n[out], ASK)
+            known = h[-1] if several[-1] else None
+            held = None if several[-1] else [x[group == group[-1]] for x in rows]
 
     return run
 
 
-def context_rows(what: Windows) -> Callable:
-    """Step 3a. For texts with the contexts asked of them: (h, doc_id, at, n, content); content is symbols as bytes, joined by a space if words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            asked = batch.column(2).to_pylist()
-            k = 0
-            for ids, data, bounds in byte_slabs(batch):
-                _, at, starts, ends = what.split(data, bounds)
-                raw = data.tobytes()
-                hs, docs, los, ns, parts = [], [], [], [], []
-                for j, doc in enumerate(ids):
-                    for r in asked[k + j]:
-                        lo, n = r["at"], -r["more"] - 2
-                        a = at[j] + (lo & INSIDE)
-                        b = a + n - 1 + what.width
-                        parts.append(raw[a:b] if starts is None else b" ".join([raw[x:y] for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist())]))
-                        hs.append(r["h"])
-                        docs.append(doc)
-                        los.append(lo)
-                        ns.append(n)
-                k += len(ids)
-                if hs:
-                    yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(docs, pa.int64()), pa.array(los, pa.int64()), pa.array(ns, pa.int64()), pa.array(parts, pa.binary())], names=["h", "doc_id", "at", "n", "content"])
-
-    return run
+#: A context: its windows (n from `at`, and from each place of `more` in the same document) and its content: symbols as bytes, words joined by a space.
+#: Without content, windows that occur before. again: what goes into another round.
+CONTEXT = "h long, doc_id long, at long, n long, more array<long>, content binary, again boolean"
 
 
 @dataclass
@@ -256,55 +212,136 @@ class Context:
     at: int
     n: int
     content: bytes
+    more: list = field(default_factory=list)
 
 
-def blocks(what: Windows, block_size: int = BLOCK, group_size: int = GROUP) -> Callable:
-    """Step 3b, over partitions sorted by h: ranges [at, c) settled, and rows per window (h, c: its hashes; more = 0) of groups beyond group_size."""
+def context_batch(contexts: list[Context], again: bool = False) -> pa.RecordBatch:
+    size = len(contexts)
+    longs = [pa.array([getattr(x, k) for x in contexts], pa.int64()) for k in ("h", "doc", "at", "n")]
+    return pa.RecordBatch.from_arrays([*longs, pa.array([x.more for x in contexts], pa.list_(pa.int64())), pa.array([x.content for x in contexts], pa.binary()), pa.array([again] * size)], names=["h", "doc_id", "at", "n", "more", "content", "again"])
+
+
+def settled_batch(what: Windows, doc, first, last) -> pa.RecordBatch:
+    """Windows first..last of documents, which occur before, with ranges that touch or overlap made one."""
+    d, a, b = merged(np.array(doc, np.int64), np.array(first, np.int64), np.array(last, np.int64) + what.width)
+    size = len(d)
+    return pa.RecordBatch.from_arrays([pa.array(d), pa.array(d), pa.array(a), pa.array(b - a - what.width + 1), pa.nulls(size, pa.list_(pa.int64())), pa.nulls(size, pa.binary()), pa.array(np.zeros(size, bool))], names=["h", "doc_id", "at", "n", "more", "content", "again"])
+
+
+def context_rows(what: Windows) -> Callable:
+    """Step 3. For texts (doc_id, text, asked: h, at and n of each) their contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            size = np.asarray(lists.value_lengths())
+            flat = lists.flatten()
+            hs, ats, ns = (flat.field(k).to_numpy() for k in range(3))
+            found: list[Context] = []
+            k = j = 0
+            for ids, data, bounds in byte_slabs(batch):
+                _, begin, starts, ends = what.split(data, bounds)
+                raw = data.tobytes()
+                for doc, own in zip(ids, begin[:-1].tolist()):
+                    last = k + int(size[j])
+                    for h, at, n in zip(hs[k:last].tolist(), ats[k:last].tolist(), ns[k:last].tolist()):
+                        a = own + (at & INSIDE)
+                        b = a + n - 1 + what.width
+                        found.append(Context(h, doc, at, n, raw[a:b] if starts is None else b" ".join([raw[x:y] for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist())])))
+                    k, j = last, j + 1
+            found.sort(key=lambda x: (x.doc, x.at))
+            first: dict[tuple, Context] = {}
+            before: list[Context] = []
+            for x in found:
+                y = first.setdefault((x.h, x.content), x)
+                if y is x:
+                    continue
+                if what.own or y.doc < x.doc:
+                    before.append(x)
+                else:
+                    y.more.append(x.at)
+            yield context_batch(list(first.values()))
+            if before:
+                yield settled_batch(what, *zip(*((x.doc, x.at, x.at + x.n - 1) for x in before)))
+
+    return run
 
-    def give(block: list[Context]) -> Iterator[pa.RecordBatch]:
-        found = list(what.settle(block))
-        if found:
-            doc = np.array([block[i].doc for i, _, _ in found], np.int64)
-            a = np.array([block[i].at + x for i, x, _ in found], np.int64)
-            b = np.array([block[i].at + y + what.width for i, _, y in found], np.int64)
-            d, a, b = merged(doc, a, b)
-            yield row_batch(spread(d), b, d, a, np.full(len(d), SETTLED))
 
-    def by_window(contexts: list[Context]) -> Iterator[pa.RecordBatch]:
-        for x in contexts:
-            data = np.frombuffer(x.content, np.uint8)
-            symbols, *_ = what.split(data, np.array([0, len(data)]))
-            h = Rolling(symbols).grams(what.width)[: x.n]
-            c = Rolling(mix(symbols + np.uint64(3))).grams(what.width)[: x.n]
-            yield row_batch(h.view(np.int64), c.view(np.int64), np.full(x.n, x.doc), x.at + np.arange(x.n), np.zeros(x.n, np.int64))
+def parts(what: Windows, contexts: list[Context], level: int) -> Iterator[Context]:
+    """Step 5. Contexts by the gram of a level: halfway from the last level's to the window."""
+    gram = what.gram
+    for _ in range(level):
+        gram = (gram + what.width + 1) // 2
+    for x in contexts:
+        data = np.frombuffer(x.content, np.uint8)
+        symbols, bounds, starts, ends = what.split(data, np.array([0, len(data)]))
+        for lo, hi, h, _ in zip(*(v.tolist() for v in anchor_ranges(symbols, bounds, what.width, gram, level))):
+            last = hi + what.width
+            content = x.content[lo:last] if starts is None else x.content[starts[lo] : ends[last - 1]]
+            yield Context(h, x.doc, x.at + lo, hi - lo + 1, content, [a + lo for a in x.more])
+
+
+def blocks(what: Windows, level: int, block_size: int = BLOCK, group_size: int = GROUP) -> Callable:
+    """Steps 4 and 5, over partitions sorted by (h, doc_id, at): windows that occur before, and contexts for another round."""
+
+    def looked_at(contexts: list[Context], old: int = 0) -> tuple[list[Context], list[pa.RecordBatch]]:
+        """Those of contexts that hold the first of some window, and what is found of those after the first `old`."""
+        doc, first, last, left = [], [], [], [x.n for x in contexts]
+        for i, a, b in what.settle(contexts):
+            left[i] -= b - a + 1
+            if i >= old:
+                x = contexts[i]
+                for at in (x.at, *x.more):
+                    doc.append(x.doc)
+                    first.append(at + a)
+                    last.append(at + b)
+        keep = [x for k, x in enumerate(contexts) if k < old or left[k]]
+        return keep, [settled_batch(what, doc, first, last)] if doc else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: list[Context] = []  # whole groups
-        group: list[Context] = []  # the group that is being read
-        in_block = in_group = 0
-        large = None  # the h of a group beyond group_size
+        group: list[Context] = []  # the group that is being read: what is kept of it, then what is new
+        in_block = in_group = old = kept = 0
+        split = None  # the h of a group that goes into another round
         for batch in batches:
-            for h, doc, at, n, content in zip(*(c.to_pylist() for c in batch.columns)):
-                x = Context(h, doc, at, n, content)
+            content = batch.column(5)
+            done = pa.compute.is_null(content)
+            if pa.compute.any(done).as_py():
+                yield batch.filter(done)
+                batch = batch.filter(pa.compute.invert(done))
+            for h, doc, at, n, more, content, _ in zip(*(c.to_pylist() for c in batch.columns)):
+                x = Context(h, doc, at, n, content, more)
                 if group and group[0].h != h:
-                    block += group
-                    in_block += in_group
-                    group, in_group = [], 0
+                    if old:
+                        yield from looked_at(group, old)[1]
+                    else:
+                        block += group
+                        in_block += in_group
+                    group, in_group, old, kept = [], 0, 0, 0
                     if in_block > block_size:
-                        yield from give(block)
+                        yield from looked_at(block)[1]
                         block, in_block = [], 0
-                if h == large:
-                    yield from by_window([x])
+                if h == split:
+                    yield context_batch(list(parts(what, [x], level + 1)), True)
                     continue
                 group.append(x)
                 in_group += len(content)
-                if in_group > group_size:
-                    large = h
-                    yield from by_window(group)
-                    group, in_group = [], 0
-        block += group
+                if in_group - kept > max(block_size, kept):
+                    group, found = looked_at(group, old)
+                    yield from found
+                    old, in_group = len(group), sum(len(y.content) for y in group)
+                    kept = in_group
+                    if kept > group_size and old > 1:
+                        split = h
+                        for y in group:
+                            yield context_batch(list(parts(what, [y], level + 1)), True)
+                        group, in_group, old, kept = [], 0, 0, 0
+        if old:
+            yield from looked_at(group, old)[1]
+        else:
+            block += group
         if block:
-            yield from give(block)
+            yield from looked_at(block)[1]
 
     return run
 
@@ -333,20 +370,22 @@ def earlier_windows(docs: DataFrame, what: Windows) -> DataFrame:
     Texts of one doc_id are in order of row; where own is false they remove nothing from each other.
     """
     texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", "row")
-    rows = texts.transform(map_arrow, extract(what), ROW).repartition("h").sortWithinPartitions("h", "c", "doc_id", "at")
-    rows = cut(rows.transform(map_arrow, settle_contexts(what), ROW))
     of = F.shiftright("at", PLACE).alias("row")
-    asked = rows.where(F.col("more") < SETTLED).groupBy("doc_id", of).agg(F.collect_list(F.struct("h", "at", "more")).alias("asked"))
-    contexts = texts.join(asked.hint("shuffle_hash"), ["doc_id", "row"]).select("doc_id", "text", "asked")
-    contexts = contexts.transform(map_arrow, context_rows(what), "h long, doc_id long, at long, n long, content binary")
-    found = cut(contexts.repartition("h").sortWithinPartitions("h").transform(map_arrow, blocks(what), ROW))
-    windows = found.where("more = 0").select("h", "c", "doc_id", "at")
-    first = windows.groupBy("h", "c").agg(F.min(F.struct("doc_id", "at")).alias("first"))
-    later = F.struct("doc_id", "at") > F.col("first") if what.own else F.col("doc_id") > F.col("first.doc_id")
-    more = windows.join(first, ["h", "c"]).where(later).select("doc_id", "at", (F.col("at") + what.width).alias("to"))
-    settled = rows.where(F.col("more") == SETTLED).unionByName(found.where(F.col("more") == SETTLED)).select("doc_id", "at", F.col("c").alias("to"))
-    inside = lambda c: F.col(c).bitwiseAND(F.lit(INSIDE)).alias(c)
-    return settled.unionByName(more).groupBy("doc_id", of).agg(F.collect_list(F.struct(inside("at"), inside("to"))).alias("ranges"))
+    rows = texts.transform(map_arrow, extract(what), ROW)
+    rows = rows.repartition(F.when(F.col("kind") == ASK, F.col("doc_id")).otherwise(F.col("h"))).sortWithinPartitions("h", "kind", "doc_id", "at")
+    asked = rows.transform(map_arrow, recurring(what), ROW).groupBy("doc_id", of).agg(F.collect_list(F.struct("h", "at", "n")).alias("asked"))
+    contexts = texts.join(asked.hint("merge"), ["doc_id", "row"]).select("doc_id", "text", "asked").transform(map_arrow, context_rows(what), CONTEXT)
+    found, level = [], 0
+    while True:
+        met = contexts.repartition(F.when(F.col("content").isNull(), F.col("doc_id")).otherwise(F.col("h"))).sortWithinPartitions("h", "doc_id", "at")
+        met = cut(met.transform(map_arrow, blocks(what, level), CONTEXT))
+        found.append(met.where("content IS NULL").select("doc_id", "at", "n"))
+        contexts, level = met.where("again"), level + 1
+        if not contexts.limit(1).count():
+            break
+    found = reduce(DataFrame.unionByName, found)
+    inside = lambda c, name: c.bitwiseAND(F.lit(INSIDE)).alias(name)
+    return found.groupBy("doc_id", of).agg(F.collect_list(F.struct(inside(F.col("at"), "at"), inside(F.col("at") + F.col("n") - 1 + what.width, "to"))).alias("ranges"))
 
 
 def mask_of(ranges, n: int) -> np.ndarray:

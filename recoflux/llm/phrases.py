@@ -27,10 +27,9 @@ def as_words(data: np.ndarray, bounds: np.ndarray):
 def settle(contexts: list[Context]) -> Iterator[tuple[int, int, int]]:
     """The windows of contexts whose words also occur in a document with a smaller id.
 
-    Passages that recur, by hash of their words, in two documents or more
-    become phrases over word numbers, each with its least doc_id; sharded
-    Aho-Corasick automata then run over every context and find all occurrences, word
-    by word, of which those in later documents are given.
+    Passages whose words, by their hash, are in two documents or more become phrases over word
+    numbers. Sharded Aho-Corasick automata then run over every context and locate
+    all occurrences of each phrase, word by word; those in later documents than its least are given.
     """
     import ahocorasick
 
@@ -39,35 +38,32 @@ def settle(contexts: list[Context]) -> Iterator[tuple[int, int, int]]:
     sizes = np.array([len(x) for x in texts], np.int64)
     starts = np.cumsum(sizes) - sizes
     flat = np.array([w for x in texts for w in x], np.uint64)
-    hashes = Rolling(mix(flat + np.uint64(1))).grams(WIDTH)
     n = np.array([x.n for x in contexts], np.int64)
     of = np.repeat(np.arange(len(contexts)), n)
     at = starts[of] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    doc = np.array([x.doc for x in contexts], np.int64)[of]
-    by = np.lexsort((doc, hashes[at]))
-    h, doc, at, of = hashes[at][by], doc[by], at[by], of[by]
+    hashes = Rolling(mix(flat + np.uint64(1))).grams(WIDTH)[at]
+    docs = np.array([x.doc for x in contexts], np.int64)
+    by = np.lexsort((docs[of], hashes))
+    h, doc = hashes[by], docs[of][by]
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     last = np.concatenate([first[1:], [len(h)]]) - 1
-    first = first[doc[first] < doc[last]]
-    if not len(first):
-        return
-    group = np.repeat(np.arange(len(last)), np.diff(np.concatenate([[-1], last])))
-    recurs = np.zeros(len(last), bool)
-    recurs[group[first]] = True
-    visited = sorted(set(of[recurs[group]].tolist()))
+    recurs = at[by][first[doc[first] < doc[last]]]
     words = flat.astype(np.int64).tolist()
-    found: dict[int, set[int]] = {}
-    for k in range(0, len(first), SHARD):
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for j in first[k : k + SHARD].tolist():
-            automaton.add_word(tuple(words[at[j] : at[j] + WIDTH]), int(doc[j]))
+    texts = [tuple(x) for x in texts]
+    later: list[set[int]] = [set() for _ in contexts]
+    for k in range(0, len(recurs), SHARD):
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for j in recurs[k : k + SHARD].tolist():
+            automaton.add_word(tuple(words[j : j + WIDTH]), j)
         automaton.make_automaton()
-        for i in visited:
-            own = contexts[i].doc
-            for end, least in automaton.iter(tuple(texts[i])):
-                if least < own:
-                    found.setdefault(i, set()).add(end - WIDTH + 1)
-    for i, offsets in found.items():
+        located = [(phrase, i, end - WIDTH + 1) for i, text in enumerate(texts) for end, phrase in automaton.iter(text)]
+        least: dict[int, int] = {}
+        for phrase, i, _ in located:
+            least[phrase] = min(least.get(phrase, contexts[i].doc), contexts[i].doc)
+        for phrase, i, offset in located:
+            if least[phrase] < contexts[i].doc:
+                later[i].add(offset)
+    for i, offsets in enumerate(later):
         run = None
         for p in sorted(offsets):
             if run and p == run[1] + 1:
@@ -76,7 +72,8 @@ def settle(contexts: list[Context]) -> Iterator[tuple[int, int, int]]:
                 if run:
                     yield i, *run
                 run = [p, p]
-        yield i, *run
+        if run:
+            yield i, *run
 
 
 PASSAGES = Windows(WIDTH, GRAM, as_words, own=False, settle=settle)
@@ -90,8 +87,10 @@ def words_left(text: str | None, ranges) -> tuple[list[bytes], np.ndarray]:
 def op8_substring_dedup(docs: DataFrame) -> DataFrame:
     """Words of each document that 50-word windows of documents with smaller ids cover, and what is left.
 
-    A null text has no words; a row without doc_id is left as it is and removes
-    nothing; equal rows that repeat a doc_id count as one document, different ones as several (see numbered).
+    A null or empty text has no words; a row without doc_id is left as it is and removes
+    nothing; equal rows that repeat a doc_id count as one document, different ones as several, which remove
+    nothing from each other (see numbered). Texts are taken whole, however long; equal windows of one document
+    don't remove each other; an empty table gives an empty table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +106,7 @@ def op8_substring_dedup(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     docs = numbered(docs)
-    rows = docs.join(earlier_windows(docs, PASSAGES).hint("shuffle_hash"), ["doc_id", "row"], "left")
+    rows = docs.join(earlier_windows(docs, PASSAGES).hint("merge"), ["doc_id", "row"], "left")
     rows = rows.select("doc_id", "text", "ranges")
     return rows.transform(map_arrow, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
@@ -128,7 +127,7 @@ def remove_passages(docs: DataFrame) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     marked = numbered(docs, carry=True)
-    rows = marked.join(earlier_windows(marked, PASSAGES).hint("shuffle_hash"), ["doc_id", "row"], "left")
+    rows = marked.join(earlier_windows(marked, PASSAGES).hint("merge"), ["doc_id", "row"], "left")
     changed = F.col("ranges").isNotNull()
     rows = rows.withColumn("changed", changed).withColumn("left", F.when(changed, left("text", "ranges")).otherwise(F.col("text")))
     rows = rows.where(~F.col("changed") | (F.col("left") != ""))

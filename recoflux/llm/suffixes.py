@@ -59,7 +59,8 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     induced by one scan of the buckets of first bytes from the smallest: when a suffix is
     met, the one before it, if not sorted directly, comes next in its bucket.
     A bucket takes induced suffixes before sorted ones. Suffixes that a bucket
-    induces into itself are met after those that induced them.
+    induces into itself are met after those that induced them; after depth of such steps, what is left of
+    their runs of one byte is met at once, since it has the same first depth bytes.
     """
     n = len(text)
     if not n:
@@ -81,11 +82,21 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 waiting[first[a]].append(before[a:b])
 
+    runs = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
     out = []
     for byte in range(256):
+        steps = 0
         while waiting[byte]:
             met = np.concatenate(waiting[byte])
             waiting[byte] = []
+            steps += 1
+            if steps > depth:
+                first = runs[np.searchsorted(runs, met, "right") - 1]
+                count = met - first + 1
+                met = np.repeat(met, count) - (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+                out.append(met)
+                induce(met[text[met - 1] != byte])
+                continue
             out.append(met)
             induce(met)
         met = direct[cuts[byte] : cuts[byte + 1]]
@@ -143,7 +154,9 @@ def op5_suffix_dedup(docs: DataFrame) -> DataFrame:
     """Bytes of each document that 100-byte strings starting earlier cover, and what is left.
 
     A null text is empty; a row without doc_id is left as it is and removes
-    nothing; equal rows that repeat a doc_id count as one document, different ones as several (see numbered).
+    nothing; equal rows that repeat a doc_id count as one document, different ones as several, in order of
+    their hash (see numbered). Texts are taken whole, however long; equal starts don't occur, so there are no ties;
+    an empty table gives an empty table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,6 +172,6 @@ def op5_suffix_dedup(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)), pa.array(kept, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     docs = numbered(docs)
-    rows = docs.join(earlier_windows(docs, REPEATS).hint("shuffle_hash"), ["doc_id", "row"], "left")
+    rows = docs.join(earlier_windows(docs, REPEATS).hint("merge"), ["doc_id", "row"], "left")
     rows = rows.select("doc_id", "text", "ranges")
     return rows.transform(map_arrow, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

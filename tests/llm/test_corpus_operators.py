@@ -260,7 +260,7 @@ def test_substring_dedup(spark, corpus):
 @pytest.mark.parametrize("operator, rule", [(suffixes.op5_suffix_dedup, brute.earlier_bytes), (phrases.op8_substring_dedup, brute.earlier_words)])
 def test_dedup_of_groups_beyond_a_block(spark, corpus, operator, rule, monkeypatch):
     made = anchors.blocks
-    monkeypatch.setattr(anchors, "blocks", lambda w: made(w, 2000, 400))
+    monkeypatch.setattr(anchors, "blocks", lambda w, level: made(w, level, 300, 600))  # runs of a few contexts; several rounds
     out = {r[0]: tuple(r)[1:] for r in operator(frame(spark, corpus)).collect()}
     assert out == rule(corpus)
 
