@@ -52,7 +52,15 @@ def sorted_by_prefix(words: np.ndarray, chosen: np.ndarray, depth: int) -> np.nd
     return order
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
+def reached(wanted: np.ndarray, up: np.ndarray) -> np.ndarray:
+    """The wanted suffixes and, of those that aren't smaller than their successors, the successors up to the first that is."""
+    at = np.arange(len(up))
+    last = np.maximum.accumulate(np.where(wanted, at, -1))
+    end = np.concatenate([[-1], np.maximum.accumulate(np.where(up, at, -1))[:-1]])
+    return last > end
+
+
+def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None, words: np.ndarray | None = None) -> np.ndarray:
     """Suffixes of text in order of at least their first depth bytes, by two-stage sorting.
 
     Suffixes smaller than their successors are sorted directly. The others are
@@ -61,19 +69,22 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     A bucket takes induced suffixes before sorted ones. Suffixes that a bucket
     induces into itself are met after those that induced them; after depth of such steps, what is left of
     their runs of one byte is met at once, since it has the same first depth bytes.
+    With wanted (a mask), the order holds those suffixes and the ones that they are induced from. words: eight_bytes(text, depth + 8).
     """
     n = len(text)
     if not n:
         return np.zeros(0, np.int64)
     up = rising(text)
-    direct = sorted_by_prefix(eight_bytes(text, depth + 8), np.flatnonzero(up), depth)
+    need = reached(wanted, up) if wanted is not None else np.ones(n, bool)
+    direct = sorted_by_prefix(eight_bytes(text, depth + 8) if words is None else words, np.flatnonzero(up & need), depth)
+    induced = need & ~up
     cuts = np.searchsorted(text[direct], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     waiting[text[-1]].append(np.array([n - 1]))
 
     def induce(met: np.ndarray) -> None:
         before = met[met > 0] - 1
-        before = before[~up[before]]
+        before = before[induced[before]]
         if len(before):
             first = text[before]
             by = np.argsort(first, kind="stable")
@@ -94,6 +105,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
                 first = runs[np.searchsorted(runs, met, "right") - 1]
                 count = met - first + 1
                 met = np.repeat(met, count) - (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+                met = met[need[met]]
                 out.append(met)
                 induce(met[text[met - 1] != byte])
                 continue
@@ -116,7 +128,16 @@ def common_prefix_at_least(words: np.ndarray, order: np.ndarray, length: int) ->
 
 
 def settle(contexts: list[Context]) -> Iterator[tuple[int, int, int]]:
-    """The windows of contexts that occur before, by a suffix array of all of them and adjacent common prefixes."""
+    """The windows of contexts that occur before, by a suffix array of all of them and adjacent common prefixes.
+
+    Contexts come in order of document and place. A content that several have goes into the array once, with its least place; the others occur before.
+    """
+    found: dict[bytes, int] = {}
+    for i, x in enumerate(contexts):
+        if found.setdefault(x.content, i) < i:
+            yield i, 0, x.n - 1
+    chosen = list(found.values())
+    contexts = [contexts[i] for i in chosen]
     text = np.frombuffer(b"".join([x.content for x in contexts]), np.uint8)
     sizes = np.array([len(x.content) for x in contexts], np.int64)
     starts = np.cumsum(sizes) - sizes
@@ -126,11 +147,11 @@ def settle(contexts: list[Context]) -> Iterator[tuple[int, int, int]]:
     offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     doc, at = (np.array([getattr(x, k) for x in contexts], np.int64) for k in ("doc", "at"))
     by = np.lexsort((at[of] + offset, doc[of]))
-    d, p = doc[of][by], (at[of] + offset)[by]
-    place[(starts[of] + offset)[by]] = np.cumsum(np.concatenate([[False], (d[1:] != d[:-1]) | (p[1:] != p[:-1])]))
-    order = suffix_array(text, WIDTH)
+    place[(starts[of] + offset)[by]] = np.arange(len(by))
+    words = eight_bytes(text, WIDTH + 8)
+    order = suffix_array(text, WIDTH, place >= 0, words)
     order = order[place[order] >= 0]
-    same = common_prefix_at_least(eight_bytes(text, WIDTH + 8), order, WIDTH)
+    same = common_prefix_at_least(words, order, WIDTH)
     first = np.flatnonzero(np.concatenate([[True], ~same]))
     ranks = place[order]
     least = np.repeat(np.minimum.reduceat(ranks, first), np.diff(np.concatenate([first, [len(order)]])))
@@ -140,7 +161,7 @@ def settle(contexts: list[Context]) -> Iterator[tuple[int, int, int]]:
     context = np.searchsorted(starts, later, "right") - 1
     new = np.flatnonzero(np.concatenate([[True], (later[1:] != later[:-1] + 1) | (context[1:] != context[:-1])]))
     last = np.concatenate([new[1:], [len(later)]]) - 1
-    yield from zip(context[new].tolist(), (later[new] - starts[context[new]]).tolist(), (later[last] - starts[context[new]]).tolist())
+    yield from zip([chosen[k] for k in context[new].tolist()], (later[new] - starts[context[new]]).tolist(), (later[last] - starts[context[new]]).tolist())
 
 
 def as_bytes(data: np.ndarray, bounds: np.ndarray):

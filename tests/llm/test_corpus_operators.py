@@ -300,6 +300,12 @@ def test_suffix_array():
         text = bytes(r.choices(b"ab" if r.random() < 0.5 else b"abcd", k=r.randint(1, 60)))
         order = suffixes.suffix_array(np.frombuffer(text, np.uint8), 80)
         assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+        wanted = np.array([r.random() < 0.3 for _ in text])
+        some = [i for i in suffixes.suffix_array(np.frombuffer(text, np.uint8), 80, wanted).tolist() if wanted[i]]
+        assert some == [i for i in order.tolist() if wanted[i]]
+    text = np.frombuffer(b"b" + b"a" * 5000 + b"cab" + b"a" * 3000, np.uint8)
+    prefix = [text[i : i + 20].tobytes() for i in suffixes.suffix_array(text, 20).tolist()]
+    assert prefix == sorted(prefix) and len(prefix) == len(text)
 
 
 def test_language(spark):
