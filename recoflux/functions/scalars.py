@@ -75,6 +75,12 @@ def post_processed(score: Column, *factors: Column) -> Column:
     return F.transform(score, lambda x: reduce(lambda a, f: a * f, factors, x))
 
 
+def dice(*parts: Column) -> Column:
+    """A number from 0 to 2**32 - 1 by the MD5 hash of the parts: the same on every run and in every engine."""
+    text = F.concat_ws("/", *[x.cast("string") for x in parts])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
 def similar_numeric(a: Column, b: Column) -> Column:
     """min / max, 1 if both are 0; null where max is 0 and min isn't."""
     return F.when((a == 0) & (b == 0), F.lit(1.0)).when(F.greatest(a, b) == 0, F.lit(None).cast("double")).otherwise(F.least(a, b) / F.greatest(a, b))

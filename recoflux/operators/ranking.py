@@ -48,7 +48,7 @@ def numbered(df: DataFrame, column: str, seed: int) -> DataFrame:
 
     Rows are numbered in hash buckets, whose starts come from at most 256 counts.
     """
-    rows = df.withColumn("_hash", F.xxhash64(F.lit(seed), column)).withColumn("_bucket", F.pmod("_hash", F.lit(BUCKETS)))
+    rows = df.withColumn("_hash", scalars.dice(F.lit(seed), F.col(column))).withColumn("_bucket", F.pmod("_hash", F.lit(BUCKETS)))
     counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     starts = counts.select("_bucket", F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     place = F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash", column))

@@ -57,41 +57,130 @@ STEPS = {
 }
 
 
-def based_on(lists: str) -> str:
-    """Scores of a product-based specialist over templates, with 30 asked for."""
+#: Strengths where impressions count, and what is made of them.
+STEPS["uui"] = """SELECT x.u AS u, x.t AS t, nc, na, CAST(coalesce(den, 0) AS BIGINT) AS den, CASE WHEN coalesce(den, 0) = 0 THEN 0.0::DOUBLE WHEN (na * 0.8::DOUBLE + nc * 0.19999999999999996::DOUBLE) / den < 0.0001 THEN 0.0::DOUBLE ELSE (na * 0.8::DOUBLE + nc * 0.19999999999999996::DOUBLE) / den END AS s
+  FROM (SELECT a.u AS u, b.u AS t, count(*) AS nc, CAST(sum(CASE WHEN a.rating >= 5 THEN 1 ELSE 0 END) AS BIGINT) AS na FROM (SELECT rated.* FROM rated SEMI JOIN shown ON shown.u = rated.u AND shown.p = rated.p) a JOIN rated b ON a.p = b.p AND a.u <> b.u WHERE a.rating >= 3 AND b.rating >= 4 GROUP BY a.u, b.u) x
+  LEFT JOIN (SELECT shown.u AS u, rated.u AS t, count(*) AS den FROM shown JOIN rated ON shown.p = rated.p WHERE rating >= 4 GROUP BY shown.u, rated.u) d ON d.u = x.u AND d.t = x.t"""
+STEPS["ppi"] = """SELECT x.p AS p, x.t AS t, nc, na, CAST(coalesce(den, 0) AS BIGINT) AS den, CASE WHEN coalesce(den, 0) = 0 THEN 0.0::DOUBLE WHEN (na * 0.8::DOUBLE + nc * 0.19999999999999996::DOUBLE) / den < 0.0001 THEN 0.0::DOUBLE ELSE (na * 0.8::DOUBLE + nc * 0.19999999999999996::DOUBLE) / den END AS s
+  FROM (SELECT a.p AS p, b.p AS t, count(*) AS nc, CAST(sum(CASE WHEN b.rating >= 5 THEN 1 ELSE 0 END) AS BIGINT) AS na FROM (SELECT rated.* FROM rated SEMI JOIN shown ON shown.u = rated.u AND shown.p = rated.p) a JOIN rated b ON a.u = b.u AND a.p <> b.p WHERE a.rating >= 3 AND b.rating >= 3 GROUP BY a.p, b.p) x
+  LEFT JOIN (SELECT p, count(*) AS den FROM (SELECT rated.* FROM rated SEMI JOIN shown ON shown.u = rated.u AND shown.p = rated.p) WHERE rating >= 3 GROUP BY p) d ON d.p = x.p"""
+STEPS["uti"], STEPS["pti"] = STEPS["ut"].replace("uus", "uui"), STEPS["pt"].replace("pps", "ppi")
+STEPS["ubcfi_raw"] = STEPS["ubcf_raw"].replace("ut.", "uti.").replace("FROM ut ", "FROM uti ")
+STEPS["popb_raw"] = STEPS["pop_raw"].replace("FROM pop WHERE", "FROM pop SEMI JOIN live ON live.p = pop.p WHERE")
+STEPS["title_words"] = r"""SELECT p, list_distinct(regexp_extract_all(trim(translate(lower(regexp_replace(title, ' +', ' ', 'g')), chr(10) || chr(9) || '.,?!$"', '')), '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+')) AS w FROM live"""
+
+
+def based_on(lists: str, near: bool = False) -> str:
+    """Scores of a product-based specialist over templates, with 30 asked for; near: templates near-identical to their base are left out."""
+    apart = f"LEFT JOIN title_words wa ON wa.p = b.p LEFT JOIN title_words wb ON wb.p = {lists}.t WHERE coalesce(len(list_intersect(wa.w, wb.w)), 0) <= 2" if near else ""
     return f"""SELECT u, p, s[1] AS s0, s[2] AS s1, s[3] AS s2 FROM (SELECT u, p, max([CAST(CASE WHEN base_rank <= 5 THEN 20 ELSE 10 END * 30 - place + 1 AS DOUBLE), CAST(n_bases - base + 1 AS DOUBLE), s]) AS s FROM (
       SELECT x.u, x.t AS p, x.base_rank, x.s, n_bases, row_number() OVER (PARTITION BY x.u, x.base_rank ORDER BY x.place) AS place, dense_rank() OVER (PARTITION BY x.u ORDER BY x.base_rank) AS base
-      FROM (SELECT b.u, b.base_rank, {lists}.t, {lists}.s, {lists}.place, n_bases FROM (SELECT *, count(*) OVER (PARTITION BY u) AS n_bases FROM bases) b JOIN {lists} ON {lists}.p = b.p) x
+      FROM (SELECT b.u, b.base_rank, {lists}.t, {lists}.s, {lists}.place, n_bases FROM (SELECT *, count(*) OVER (PARTITION BY u) AS n_bases FROM bases) b JOIN {lists} ON {lists}.p = b.p {apart}) x
       ANTI JOIN blocked ON blocked.u = x.u AND blocked.p = x.t) GROUP BY u, p)"""
 
 
-STEPS["pbcf_raw"], STEPS["cb_raw"] = based_on("pt"), based_on("ct")
+STEPS["pbcf_raw"], STEPS["pbcfi_raw"], STEPS["cb_raw"], STEPS["cbn_raw"] = based_on("pt"), based_on("pti"), based_on("ct"), based_on("ct", True)
 
 
-def recommended(raw: str) -> str:
-    """The ten best of each user after blocking, age and boost."""
+def listed(raw: str, name: str, impressions: bool = False, most: int = 60) -> str:
+    """The first of each user after blocking, age, boost and, with impressions, history, as merges get them."""
     f = "* age * 1.0::DOUBLE * 1.0::DOUBLE * coalesce(in_boost, 1.0::DOUBLE)"
-    return f"""SELECT u AS "user", CAST(rank AS INTEGER) AS rank, p AS product, round(s0, 6) AS score_1, round(s1, 6) AS score_2, round(s2, 6) AS score_3 FROM (SELECT u, p, s0, s1, s2, row_number() OVER (PARTITION BY u ORDER BY s0 DESC, s1 DESC, s2 DESC, p DESC) AS rank FROM (
-      SELECT r.u, r.p, r.s0 {f} AS s0, r.s1 {f} AS s1, r.s2 {f} AS s2 FROM {raw} r ANTI JOIN blocked ON blocked.u = r.u AND blocked.p = r.p JOIN model ON model.p = r.p LEFT JOIN boosts ON boosts.u = r.u AND boosts.p = r.p)) WHERE rank <= 10"""
+    history = "LEFT JOIN shown ON shown.u = r.u AND shown.p = r.p WHERE coalesce(n, 0) < 2" if impressions else ""
+    return f"""SELECT * FROM (SELECT u, '{name}' AS algorithm, p, row_number() OVER (PARTITION BY u ORDER BY s0 DESC, s1 DESC, s2 DESC, p DESC) AS rank, s0, s1, s2 FROM (
+      SELECT r.u, r.p, r.s0 {f} AS s0, r.s1 {f} AS s1, r.s2 {f} AS s2 FROM {raw} r ANTI JOIN blocked ON blocked.u = r.u AND blocked.p = r.p JOIN model ON model.p = r.p LEFT JOIN boosts ON boosts.u = r.u AND boosts.p = r.p {history})) WHERE rank <= {most}"""
 
 
-def listed(raw: str, name: str) -> str:
-    """The first 60 of each user, as merges get them."""
-    f = "* age * 1.0::DOUBLE * 1.0::DOUBLE * coalesce(in_boost, 1.0::DOUBLE)"
-    return f"""SELECT u, '{name}' AS algorithm, p, row_number() OVER (PARTITION BY u ORDER BY s0 DESC, s1 DESC, s2 DESC, p DESC) AS rank FROM (
-      SELECT r.u, r.p, r.s0 {f} AS s0, r.s1 {f} AS s1, r.s2 {f} AS s2 FROM {raw} r ANTI JOIN blocked ON blocked.u = r.u AND blocked.p = r.p JOIN model ON model.p = r.p LEFT JOIN boosts ON boosts.u = r.u AND boosts.p = r.p)"""
+def recommended(raw: str) -> str:
+    return f"""SELECT u AS "user", CAST(rank AS INTEGER) AS rank, p AS product, round(s0, 6) AS score_1, round(s1, 6) AS score_2, round(s2, 6) AS score_3 FROM ({listed(raw, '', most=10)})"""
+
+
+def all_lists(*raws: str, impressions: bool = False) -> str:
+    return " UNION ALL ".join(listed(r, a, impressions) for r, a in zip(raws, ("UBCF", "PBCF", "CB", "POP")))
+
+
+STEPS["lists"] = all_lists("ubcf_raw", "pbcf_raw", "cbn_raw", "pop_raw")
+STEPS["listsb"] = all_lists("ubcf_raw", "pbcf_raw", "cbn_raw", "popb_raw")
+STEPS["listsi"] = all_lists("ubcfi_raw", "pbcfi_raw", "cbn_raw", "pop_raw", impressions=True)
+
+
+def arrays(lists: str) -> str:
+    column = lambda k, a: f"coalesce(list(p ORDER BY rank) FILTER (WHERE algorithm = '{a}'), CAST([] AS VARCHAR[])) AS l{k}"
+    return f"SELECT u, {', '.join(column(k, a) for k, a in enumerate(('UBCF', 'PBCF', 'CB')))} FROM {lists} GROUP BY u"
+
+
+def left(k: int) -> str:
+    return f"list_filter(l{k}, lambda x: NOT list_contains(ps, x))"
+
+
+def dealt(arrays: str) -> str:
+    """HRChunks, turn by turn: one, one and two items."""
+    return f"""SELECT u, 0 AS k, CAST([] AS VARCHAR[]) AS ps, CAST([] AS VARCHAR[]) AS ts FROM {arrays} UNION ALL SELECT u, k + 1, ps || items, ts || list_transform(items, lambda x: tag) FROM (
+      SELECT u, k, ps, ts, CASE k % 3 WHEN 0 THEN 'UBCF' WHEN 1 THEN 'PBCF' ELSE 'CB' END AS tag, list_slice(CASE k % 3 WHEN 0 THEN {left(0)} WHEN 1 THEN {left(1)} ELSE {left(2)} END, 1, CASE k % 3 WHEN 2 THEN 2 ELSE 1 END) AS items
+      FROM self JOIN {arrays} USING (u) WHERE k < 90 AND len(ps) < 30)"""
 
 
-def sql(select: str) -> str:
-    """select after the steps that it names, and those that these name."""
-    need, todo = set(), [select]
+STEPS["arrs"], STEPS["arrsb"] = arrays("lists"), arrays("listsb")
+STEPS["chunk_turns"] = dealt("arrs").replace("self", "chunk_turns")
+STEPS["chunkb_turns"] = dealt("arrsb").replace("self", "chunkb_turns")
+#: HRRandom, draw by draw: the dice are the first 32 bits of the MD5 hash of seed, user and draw.
+STEPS["random_turns"] = f"""SELECT u, 0 AS k, CAST([] AS VARCHAR[]) AS ps, CAST([] AS VARCHAR[]) AS ts FROM arrs UNION ALL SELECT u, k + 1, CASE c WHEN 0 THEN ps || [n0] WHEN 1 THEN ps || [n1] WHEN 2 THEN ps || [n2] ELSE ps END, CASE c WHEN 0 THEN ts || ['UBCF'] WHEN 1 THEN ts || ['PBCF'] WHEN 2 THEN ts || ['CB'] ELSE ts END FROM (
+  SELECT *, CASE WHEN w0 > roll THEN 0 WHEN w0 + w1 > roll THEN 1 WHEN w0 + w1 + w2 > roll THEN 2 END AS c FROM (SELECT *, dice / 4294967296.0::DOUBLE * (w0 + w1 + w2) AS roll FROM (
+  SELECT *, CASE WHEN n0 IS NULL THEN 0.0::DOUBLE ELSE 0.25::DOUBLE END AS w0, CASE WHEN n1 IS NULL THEN 0.0::DOUBLE ELSE 0.25::DOUBLE END AS w1, CASE WHEN n2 IS NULL THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS w2 FROM (
+  SELECT u, k, ps, ts, CAST('0x' || substr(md5('17/' || u || '/' || (k + 1)), 1, 8) AS BIGINT) AS dice, {left(0)}[1] AS n0, {left(1)}[1] AS n1, {left(2)}[1] AS n2 FROM random_turns JOIN arrs USING (u) WHERE k < 30))))"""
+
+
+def taken(turns: str, lists: str) -> str:
+    return f"""SELECT x.u, place, x.p, s0, s1, s2, tag FROM (SELECT u, unnest(range(1, len(ps) + 1)) AS place, unnest(ps) AS p, unnest(ts) AS tag FROM (SELECT u, arg_max(ps, k) AS ps, arg_max(ts, k) AS ts FROM {turns} GROUP BY u)) x
+      JOIN {lists} l ON l.u = x.u AND l.p = x.p AND l.algorithm = x.tag"""
+
+
+def voted(lists: str) -> str:
+    """HRVoting: by votes, with the next item of PBCF before every eighth."""
+    return f"""SELECT u, place, p, s0, s1, s2, CAST(total - place + 1 AS VARCHAR) AS tag FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY k, part) AS place FROM (SELECT *, row_number() OVER (PARTITION BY u, p ORDER BY k, part) AS first FROM (
+      SELECT *, coalesce(max(CASE WHEN part = 1 THEN k END) OVER (PARTITION BY u) + 1, 0) AS total FROM (
+      SELECT * FROM (SELECT u, p, row_number() OVER (PARTITION BY u ORDER BY votes DESC, p DESC) - 1 AS k, 1 AS part, votes AS s0, 0.0::DOUBLE AS s1, 0.0::DOUBLE AS s2 FROM (
+        SELECT u, p, round(sum(CASE algorithm WHEN 'CB' THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END * 1000 * pow(2.0::DOUBLE, -(rank - 1) / 4.0::DOUBLE)), 9) AS votes FROM {lists} WHERE rank <= 30 AND algorithm <> 'POP' GROUP BY u, p)) WHERE k < 30
+      UNION ALL SELECT u, p, 8 * (rank - 1) AS k, 0 AS part, s0, s1, s2 FROM {lists} WHERE algorithm = 'PBCF')) WHERE k < total) WHERE first = 1)"""
+
+
+def finished(merged: str, lists: str, padded: bool = False) -> str:
+    """Filled from POP, cut at 20 (and padded to 20), near-identical titles last, the first ten."""
+    rows = f"""SELECT u, rank, p, s0, s1, s2, tag FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY part, place) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY u, p ORDER BY part, place) AS first FROM (
+      SELECT u, place, p, s0, s1, s2, tag, 0 AS part FROM ({merged}) UNION ALL SELECT u, rank, p, s0, s1, s2, 'POP', 1 FROM {lists} WHERE algorithm = 'POP')) WHERE first = 1) WHERE rank <= 20"""
+    if padded:
+        pool = "SELECT p, row_number() OVER (ORDER BY h, p) AS k FROM (SELECT p, CAST('0x' || substr(md5('17/' || p), 1, 8) AS BIGINT) AS h FROM live) ORDER BY k LIMIT 20"
+        rows = f"""SELECT * FROM ({rows}) UNION ALL SELECT u, n + place, p, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 'PRE-FILTER' FROM (SELECT s.u, n, pool.p, row_number() OVER (PARTITION BY s.u ORDER BY k) AS place
+          FROM (SELECT users.u, count(r.p) AS n FROM users LEFT JOIN ({rows}) r ON r.u = users.u GROUP BY users.u HAVING count(r.p) < 20) s, ({pool}) pool ANTI JOIN ({rows}) r ON r.u = s.u AND r.p = pool.p) WHERE n + place <= 20"""
+    return f"""SELECT u AS "user", CAST(place AS INTEGER) AS rank, p AS product, round(s0, 6) AS score_1, round(s1, 6) AS score_2, round(s2, 6) AS score_3, CASE WHEN near THEN 'NI,' || tag ELSE tag END AS tags FROM (
+      SELECT *, row_number() OVER (PARTITION BY u ORDER BY near, rank) AS place FROM (SELECT f.*, EXISTS (SELECT 1 FROM finals h JOIN title_words a ON a.p = h.p JOIN title_words b ON b.p = f.p WHERE h.u = f.u AND h.rank < f.rank AND f.rank - h.rank <= 10 AND len(list_intersect(a.w, b.w)) > 2) AS near
+      FROM finals f)) WHERE place <= 10""", rows
+
+
+#: Hybrids by query name: what is merged, of which lists, padded or not.
+HYBRIDS = {
+    "hybrid_chunks": (taken("chunk_turns", "lists"), "lists", False),
+    "hybrid_random": (taken("random_turns", "lists"), "lists", False),
+    "hybrid_voting": (voted("lists"), "lists", False),
+    "hybrid_voting_impressions": (voted("listsi"), "listsi", False),
+    "hybrid_chunks_before_scoring": (taken("chunkb_turns", "listsb"), "listsb", True),
+}
+
+
+def steps_of(select: str, more: dict[str, str]) -> list[str]:
+    """The steps that select names, and those that these name, in order."""
+    known, need, todo = STEPS | more, set(), [select]
     while todo:
         words = set(re.findall(r"\b[a-z_]+\b", todo.pop()))
-        for name in words & set(STEPS) - need:
+        for name in words & set(known) - need:
             need.add(name)
-            todo.append(STEPS[name])
-    steps = ", ".join(f"{name} AS ({body})" for name, body in STEPS.items() if name in need)
-    return f"WITH {steps} {select}" if steps else select
+            todo.append(known[name])
+    return [f"{name} AS ({body})" for name, body in known.items() if name in need]
+
+
+def sql(select: str, **more: str) -> str:
+    """select after its steps."""
+    steps = steps_of(select, more)
+    return f"WITH RECURSIVE {', '.join(steps)} {select}" if steps else select
 
 
 DAY = "strftime({}, '%Y-%m-%d')"
@@ -119,12 +208,8 @@ SELECTS = {
     "users_by_rating": "SELECT p AS product, rating, count(*) AS n, min(u) AS first, max(u) AS last FROM rated GROUP BY p, rating",
     "uu_strengths": 'SELECT u AS "user", t AS template_user, nc, na, CAST(den AS BIGINT) AS denominator, round(s, 9) AS strength FROM uus',
     "pp_strengths": "SELECT p AS product, t AS template_product, nc, na, CAST(den AS BIGINT) AS denominator, round(s, 9) AS strength FROM pps",
-    "uu_strengths_impressions": """SELECT x.u AS "user", x.t AS template_user, nc, na, CAST(coalesce(den, 0) AS BIGINT) AS denominator, round(CASE WHEN coalesce(den, 0) = 0 THEN 0 WHEN (na * 0.8::DOUBLE + nc * 0.19999999999999996::DOUBLE) / den < 0.0001 THEN 0 ELSE (na * 0.8::DOUBLE + nc * 0.19999999999999996::DOUBLE) / den END, 9) AS strength
-      FROM (SELECT a.u AS u, b.u AS t, count(*) AS nc, CAST(sum(CASE WHEN a.rating >= 5 THEN 1 ELSE 0 END) AS BIGINT) AS na FROM (SELECT rated.* FROM rated SEMI JOIN shown ON shown.u = rated.u AND shown.p = rated.p) a JOIN rated b ON a.p = b.p AND a.u <> b.u WHERE a.rating >= 3 AND b.rating >= 4 GROUP BY a.u, b.u) x
-      LEFT JOIN (SELECT shown.u AS u, rated.u AS t, count(*) AS den FROM shown JOIN rated ON shown.p = rated.p WHERE rating >= 4 GROUP BY shown.u, rated.u) d ON d.u = x.u AND d.t = x.t""",
-    "pp_strengths_impressions": """SELECT x.p AS product, x.t AS template_product, nc, na, CAST(coalesce(den, 0) AS BIGINT) AS denominator, round(CASE WHEN coalesce(den, 0) = 0 THEN 0 WHEN (na * 0.8::DOUBLE + nc * 0.19999999999999996::DOUBLE) / den < 0.0001 THEN 0 ELSE (na * 0.8::DOUBLE + nc * 0.19999999999999996::DOUBLE) / den END, 9) AS strength
-      FROM (SELECT a.p AS p, b.p AS t, count(*) AS nc, CAST(sum(CASE WHEN b.rating >= 5 THEN 1 ELSE 0 END) AS BIGINT) AS na FROM (SELECT rated.* FROM rated SEMI JOIN shown ON shown.u = rated.u AND shown.p = rated.p) a JOIN rated b ON a.u = b.u AND a.p <> b.p WHERE a.rating >= 3 AND b.rating >= 3 GROUP BY a.p, b.p) x
-      LEFT JOIN (SELECT p, count(*) AS den FROM (SELECT rated.* FROM rated SEMI JOIN shown ON shown.u = rated.u AND shown.p = rated.p) WHERE rating >= 3 GROUP BY p) d ON d.p = x.p""",
+    "uu_strengths_impressions": 'SELECT u AS "user", t AS template_user, nc, na, den AS denominator, round(s, 9) AS strength FROM uui',
+    "pp_strengths_impressions": "SELECT p AS product, t AS template_product, nc, na, den AS denominator, round(s, 9) AS strength FROM ppi",
     "user_templates": 'SELECT u AS "user", CAST(place AS INTEGER) AS place, t AS template_user, round(s, 9) AS strength FROM ut',
     "product_templates": "SELECT p AS product, CAST(place AS INTEGER) AS place, t AS template_product, round(s, 9) AS strength FROM pt",
     "allowed_product_templates": f"""SELECT p AS product, CAST(place AS INTEGER) AS place, t AS template_product, round(s, 9) AS strength FROM (SELECT pps.p, t, s, row_number() OVER (PARTITION BY pps.p ORDER BY s DESC, t) AS place FROM pps
@@ -147,7 +232,12 @@ SELECTS = {
     "recommend_ubcf": recommended("ubcf_raw"),
     "recommend_pbcf": recommended("pbcf_raw"),
     "recommend_cb": recommended("cb_raw"),
-    "voting_scores": f"""SELECT u AS "user", p AS product, round(sum(CASE algorithm WHEN 'CB' THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END * 1000 * pow(2.0::DOUBLE, -(rank - 1) / 4.0::DOUBLE)), 6) AS votes FROM ({listed('ubcf_raw', 'UBCF')} UNION ALL {listed('pbcf_raw', 'PBCF')} UNION ALL {listed('cb_raw', 'CB')}) WHERE rank <= 30 GROUP BY u, p""",
+    "recommend_random": """SELECT u AS "user", CAST(k + 1 AS INTEGER) AS rank, p AS product, round(s, 6) AS score_1, 0.0::DOUBLE AS score_2, 0.0::DOUBLE AS score_3 FROM (SELECT u, p, s, row_number() OVER (PARTITION BY u ORDER BY s DESC, p DESC) - 1 AS k FROM (
+      SELECT r.u, r.p, (1 - (row_number() OVER (PARTITION BY r.u ORDER BY k) - 1) / 29.0::DOUBLE) * age * 1.0::DOUBLE * 1.0::DOUBLE * coalesce(in_boost, 1.0::DOUBLE) AS s, row_number() OVER (PARTITION BY r.u ORDER BY k) AS nth, n FROM (
+        SELECT users.u, ring.p, (ring.position - start + n) % n AS k, n FROM (SELECT u, CAST('0x' || substr(md5('17/' || u), 1, 8) AS BIGINT) AS h FROM users) users JOIN (SELECT p, row_number() OVER (ORDER BY h % 256, h, p) - 1 AS position, count(*) OVER () AS n FROM (SELECT p, CAST('0x' || substr(md5('17/' || p), 1, 8) AS BIGINT) AS h FROM product WHERE deleted_on IS NULL)) ring ON TRUE, LATERAL (SELECT users.h % ring.n AS start)) r
+      ANTI JOIN blocked ON blocked.u = r.u AND blocked.p = r.p JOIN model ON model.p = r.p LEFT JOIN boosts ON boosts.u = r.u AND boosts.p = r.p WHERE k < 1000) WHERE nth <= 500) WHERE k < 10""",
+    "sample_users": "SELECT external_id FROM (SELECT DISTINCT u AS external_id FROM ev) ORDER BY CAST('0x' || substr(md5('5/' || external_id), 1, 8) AS BIGINT), external_id LIMIT 10",
+    "voting_scores": f"""SELECT u AS "user", p AS product, round(round(sum(CASE algorithm WHEN 'CB' THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END * 1000 * pow(2.0::DOUBLE, -(rank - 1) / 4.0::DOUBLE)), 9), 6) AS votes FROM ({listed('ubcf_raw', 'UBCF')} UNION ALL {listed('pbcf_raw', 'PBCF')} UNION ALL {listed('cb_raw', 'CB')}) WHERE rank <= 30 GROUP BY u, p""",
     "context_filter": f"SELECT p AS external_id FROM live WHERE (language = 'x-en' AND coalesce(price, 100) < 1500) OR (language <> 'x-en' AND date >= {PRESENT} - INTERVAL 10 DAY)",
     "context_filter_list": "SELECT p AS external_id FROM live WHERE source = 'src3' AND coalesce(price, 100) >= 100",
     "merge_operands": """SELECT coalesce(n.p, d.p, s.p) AS entity, coalesce(n.t, d.t, s.t) AS template, CAST(nc AS DOUBLE) AS nc, CAST(na AS DOUBLE) AS na, CAST(den AS DOUBLE) AS denominator, round(s, 9) AS strength FROM (SELECT p, t, nc, na FROM pps WHERE nc % 3 <> 0) n
@@ -173,5 +263,13 @@ SELECTS["streaming_terms"] = SELECTS["term_frequencies"]
 SELECTS["sparse_popularity"] = """SELECT 'p' || l_partkey AS p_id, count(DISTINCT o_custkey) AS count FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_partkey"""
 
 
+def hybrid(name: str) -> str:
+    select, rows = finished(*HYBRIDS[name])
+    return sql(select, finals=rows)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: sql(select) for name, select in SELECTS.items()}
+    found = {name: sql(select) for name, select in SELECTS.items()} | {name: hybrid(name) for name in HYBRIDS}
+    wide = ", ".join(f"max(CASE WHEN rank = {k} THEN product END) AS PRODUCT_{k}" for k in range(1, 11))
+    found["batch_recommend"] = f'SELECT "user" AS "USER", {wide} FROM ({found["hybrid_voting"]}) GROUP BY "user"'
+    return found

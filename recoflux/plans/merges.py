@@ -1,128 +1,128 @@
-"""Hybrid merges of ranked lists, as plain functions on one user's lists."""
+"""Hybrid merges of ranked lists: all users in one plan, from rows (user, algorithm, rank, product, score)."""
 
 from __future__ import annotations
 
 import math
-import random
 from functools import reduce
 
-#: A list as {algorithm: [(score, product), ..]}, best first; a merged list has (tags, score, product).
-Lists = dict[str, list[tuple[list[float], str]]]
-Merged = list[tuple[list[str], list[float], str]]
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from recoflux.functions import scalars
+
 #: Items between bonuses, ranks over which a vote halves, the least value of a first vote.
 BONUS_PERIOD = 8
 VOTE_HALFLIFE = 4.0
 LEAST_VOTE = 1000
+#: Votes are rounded before they are ranked, so that ranks don't depend on the order of sums.
+VOTE_DIGITS = 9
+#: What a merge has put in so far: the number of the algorithm, the product and its score.
+TAKEN = "array<struct<algorithm:int,product:string,score:array<double>>>"
+
+Weights = list[tuple[str, float, bool]]
 
 
-def chunk_sizes(weights: list[tuple[str, float, bool]]) -> dict[str, int]:
+def chunk_sizes(weights: Weights) -> dict[str, int]:
     """Items per round: the weights in hundredths over their greatest common divisor."""
     parts = {a: round(100 * w) for a, w, _ in weights}
     whole = reduce(math.gcd, parts.values())
     return {a: p // whole if whole else 0 for a, p in parts.items()}
 
 
-def chunks(lists: Lists, weights: list[tuple[str, float, bool]], n: int) -> Merged:
-    """Rounds in which each algorithm gives its share of items that aren't in yet, until there are n or no more come."""
-    out, seen, at = [], set(), dict.fromkeys(lists, 0)
-    sizes = chunk_sizes(weights)
-    while len(out) < n:
-        before = len(out)
-        for algorithm, size in sizes.items():
-            items, given = lists.get(algorithm), 0
-            while items and at[algorithm] < len(items) and given < size:
-                score, product = items[at[algorithm]]
-                at[algorithm] += 1
-                if product not in seen:
-                    seen.add(product)
-                    out.append(([algorithm], score, product))
-                    given += 1
-        if len(out) == before:
-            break
-    return out
-
-
-def cumulative(lists: Lists, weights: list[tuple[str, float, bool]], at: dict[str, int]) -> list[tuple[str, float]]:
-    """Running shares of the algorithms that have items left."""
-    left = [(a, w) for a, w, _ in weights if at.get(a, 0) < len(lists.get(a, ()))]
-    whole, total, out = sum(w for _, w in left), 0.0, []
-    for a, w in left:
-        total += w
-        out.append((a, total / whole))
-    return out
-
-
-def drawn(lists: Lists, weights: list[tuple[str, float, bool]], n: int, seed: int) -> Merged:
-    """Item by item from an algorithm drawn by weight among those with items left."""
-    out, seen, at = [], set(), dict.fromkeys(lists, 0)
-    dice = random.Random(seed)
-    shares = cumulative(lists, weights, at)
-    while len(out) < n and shares:
-        roll = dice.random()
-        algorithm = next((a for a, s in shares if roll < s), shares[-1][0])
-        items, given = lists[algorithm], False
-        while at[algorithm] < len(items) and not given:
-            score, product = items[at[algorithm]]
-            at[algorithm] += 1
-            if product not in seen:
-                seen.add(product)
-                out.append(([algorithm], score, product))
-                given = True
-        if not given or at[algorithm] == len(items):
-            shares = cumulative(lists, weights, at)
-    return out
-
-
-def votes(lists: Lists, weights: list[tuple[str, float, bool]], n: int) -> dict[str, float]:
-    """Per product, over algorithms: weight times a vote that halves every four ranks, of the first n items."""
-    out: dict[str, float] = {}
-    most = max(LEAST_VOTE, n)
-    for algorithm, weight, _ in weights:
-        for k, (_, product) in enumerate(lists.get(algorithm, ())[:n]):
-            out[product] = out.get(product, 0.0) + most * 2 ** (-k / VOTE_HALFLIFE) * weight
-    return out
-
-
-def voted(lists: Lists, weights: list[tuple[str, float, bool]], n: int) -> Merged:
-    """By votes; before every eighth item each algorithm that takes bonuses puts in its next one.
-
-    An item's tag is how many items were still to come when it was put in.
+def side_by_side(lists: DataFrame, weights: Weights) -> DataFrame:
+    """One row per user with `lists`: the array of its lists, best first, by the order of weights. A list's length is bounded by its ranks."""
+    item = F.struct(F.col("rank").cast("int").alias("rank"), "product", "score")
+    columns = [F.sort_array(F.collect_list(F.when(F.col("algorithm") == a, item))).alias(f"_{k}") for k, (a, *_) in enumerate(weights)]
+    return lists.groupBy("user").agg(*columns).select("user", F.array(*[f"_{k}" for k in range(len(weights))]).alias("lists"))
+
+
+def unseen(items: Column, taken: Column) -> Column:
+    return F.filter(items, lambda x: ~F.exists(taken, lambda y: y["product"] == x["product"]))
+
+
+def put(taken: Column, items: Column, algorithm: Column) -> Column:
+    return F.concat(taken, F.transform(items, lambda x: F.struct(algorithm.cast("int").alias("algorithm"), x["product"].alias("product"), x["score"].alias("score"))))
+
+
+def chunks(lists: Column, weights: Weights, n: int) -> Column:
+    """Rounds in which each algorithm gives its share of items that aren't in yet, until there are n.
+
+    A round in which nobody gives anything is the last that could; n rounds are enough.
+    """
+    sizes = F.array(*[F.lit(s) for s in chunk_sizes(weights).values()])
+
+    def turn(taken: Column, k: Column) -> Column:
+        algorithm = k % len(weights)
+        items = F.slice(unseen(F.get(lists, algorithm), taken), F.lit(1), F.get(sizes, algorithm))
+        return F.when(F.size(taken) >= n, taken).otherwise(put(taken, items, algorithm))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(weights) * n - 1)), F.array().cast(TAKEN), turn)
+
+
+def drawn(user: Column, lists: Column, weights: Weights, n: int, seed: int) -> Column:
+    """Item by item, each the next new one of an algorithm drawn by weight among those that have one.
+
+    Dice are hashes of seed, user and draw, so a repeated task draws the same.
+    """
+    shares = F.array(*[F.lit(float(w)) for _, w, _ in weights])
+    total = lambda parts, k: F.aggregate(F.slice(parts, 1, k), F.lit(0.0), lambda a, b: a + b)
+
+    def draw(taken: Column, k: Column) -> Column:
+        left = F.transform(lists, lambda items: F.slice(unseen(items, taken), 1, 1))
+        parts = F.zip_with(left, shares, lambda items, w: F.when(F.size(items) > 0, w).otherwise(F.lit(0.0)))
+        roll = scalars.dice(F.lit(seed), user, k) / F.lit(2.0**32) * total(parts, len(weights))
+        choice = F.get(F.filter(F.sequence(F.lit(0), F.lit(len(weights) - 1)), lambda i: total(parts, i + 1) > roll), 0)
+        return F.when(choice.isNull(), taken).otherwise(put(taken, F.get(left, choice), choice))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.array().cast(TAKEN), draw)
+
+
+def votes(lists: DataFrame, weights: Weights, n: int) -> DataFrame:
+    """(user, product, votes): over algorithms, weight times a vote that halves every four ranks, of the first n items."""
+    weight = reduce(lambda c, w: c.when(F.col("algorithm") == w[0], F.lit(float(w[1]))), weights, F.when(F.lit(False), F.lit(0.0)))
+    vote = weight * max(LEAST_VOTE, n) * F.pow(F.lit(2.0), -(F.col("rank") - 1) / VOTE_HALFLIFE)
+    return lists.where((F.col("rank") <= n) & weight.isNotNull()).groupBy("user", "product").agg(F.round(F.sum(vote), VOTE_DIGITS).alias("votes"))
+
+
+def voted(lists: DataFrame, weights: Weights, n: int) -> DataFrame:
+    """By votes; before every eighth item each algorithm that takes bonuses puts in its next one. (user, place, product, score, tags)
+
+    A product comes where it first would. An item's tag is how many items were still to come when it was put in.
     """
-    order = sorted(((v, p) for p, v in votes(lists, weights, n).items()), reverse=True)[:n]
-    out, seen = [], set()
-
-    def put(score: list[float], product: str) -> None:
-        if product not in seen:
-            out.append(([str(len(order) - len(seen))], score, product))
-            seen.add(product)
-
-    for k, (vote, product) in enumerate(order):
-        if k % BONUS_PERIOD == 0:
-            for algorithm, _, takes_bonus in weights:
-                items = lists.get(algorithm, ())
-                if takes_bonus and k // BONUS_PERIOD < len(items):
-                    put(*items[k // BONUS_PERIOD])
-        put([vote], product)
-    return out
-
-
-def filled(merged: Merged, lists: Lists, algorithm: str | None, n: int) -> Merged:
-    """merged and, up to n, the fill-in algorithm's items that aren't in it."""
-    seen, out = {p for _, _, p in merged}, list(merged)
-    for score, product in lists.get(algorithm, ()) if algorithm else ():
-        if len(out) >= n:
-            break
-        if product not in seen:
-            seen.add(product)
-            out.append(([algorithm], score, product))
-    return out
-
-
-def merge(name: str, lists: Lists, weights: list[tuple[str, float, bool]], n: int, seed: int) -> Merged:
-    if name == "HRChunks":
-        return chunks(lists, weights, n)
-    if name == "HRRandom":
-        return drawn(lists, weights, n, seed)
+    order = Window.partitionBy("user").orderBy(F.desc("votes"), F.desc("product"))
+    ranked = votes(lists, weights, n).withColumn("k", F.row_number().over(order) - 1).where(F.col("k") < n)
+    ranked = ranked.select("user", "product", "k", F.lit(1).alias("part"), F.lit(0).alias("of"), F.array("votes").alias("score"))
+    number = reduce(lambda c, x: c.when(F.col("algorithm") == x[1], F.lit(x[0])), [(k, a) for k, (a, _, takes) in enumerate(weights) if takes], F.when(F.lit(False), F.lit(0)))
+    bonus = lists.where(number.isNotNull()).select("user", "product", (BONUS_PERIOD * (F.col("rank") - 1)).cast("int").alias("k"), F.lit(0).alias("part"), number.alias("of"), "score")
+    rows = ranked.unionByName(bonus)
+    total = F.coalesce(F.max(F.when(F.col("part") == 1, F.col("k"))).over(Window.partitionBy("user")) + 1, F.lit(0))
+    rows = rows.withColumn("total", total).where(F.col("k") < F.col("total"))
+    first = F.row_number().over(Window.partitionBy("user", "product").orderBy("k", "part", "of"))
+    rows = rows.withColumn("first", first).where("first = 1")
+    place = F.row_number().over(Window.partitionBy("user").orderBy("k", "part", "of"))
+    return rows.select("user", place.alias("place"), "product", "score", F.array((F.col("total") - place + 1).cast("string")).alias("tags"))
+
+
+def filled(merged: DataFrame, lists: DataFrame, algorithm: str | None, n: int) -> DataFrame:
+    """The first n of merged, and up to n the fill-in algorithm's items that aren't in it. (user, rank, product, score, tags)"""
+    rows = merged.withColumn("part", F.lit(0))
+    if algorithm:
+        more = lists.where(F.col("algorithm") == algorithm)
+        rows = rows.unionByName(more.select("user", F.col("rank").cast("int").alias("place"), "product", "score", F.array(F.lit(algorithm)).alias("tags"), F.lit(1).alias("part")))
+    first = F.row_number().over(Window.partitionBy("user", "product").orderBy("part", "place"))
+    rank = F.row_number().over(Window.partitionBy("user").orderBy("part", "place"))
+    rows = rows.withColumn("first", first).where("first = 1").withColumn("rank", rank).where(F.col("rank") <= n)
+    return rows.select("user", F.col("rank").cast("int").alias("rank"), "product", "score", "tags")
+
+
+def merge(lists: DataFrame, name: str, weights: Weights, n: int, seed: int) -> DataFrame:
+    """(user, place, product, score, tags) of a hybrid by name."""
     if name == "HRVoting":
         return voted(lists, weights, n)
-    raise KeyError(f"unknown hybrid {name}")
+    if name not in ("HRChunks", "HRRandom"):
+        raise KeyError(f"unknown hybrid {name}")
+    rows = side_by_side(lists, weights)
+    taken = chunks(F.col("lists"), weights, n) if name == "HRChunks" else drawn(F.col("user"), F.col("lists"), weights, n, seed)
+    rows = rows.select("user", F.posexplode(taken).alias("place", "x"))
+    names = F.array(*[F.lit(a) for a, *_ in weights])
+    return rows.select("user", (F.col("place") + 1).alias("place"), F.col("x.product").alias("product"), F.col("x.score").alias("score"), F.array(F.get(names, F.col("x.algorithm"))).alias("tags"))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -133,13 +131,32 @@ def beside(users: DataFrame, few: DataFrame) -> DataFrame:
 
 
 def popular(t: Tables, ask: Ask) -> DataFrame:
-    """POP: the most popular products (at most ask.candidates, a constant) for everyone."""
-    since = F.date_trunc("day", F.lit(t.config.present)) - F.make_interval(days=F.lit(t.config.popularity_window))
+    """POP: the most popular products (at most ask.candidates, a constant) for everyone.
+
+    Most products have the same factors for everyone, and so one order. A user gets the first
+    2 * asked of that order (no list is longer) and those of the products that it has acted on or been shown,
+    whose factors are its own; the other candidates can't be in its list.
+    """
+    config = t.config
+    since = F.date_trunc("day", F.lit(config.present)) - F.make_interval(days=F.lit(config.popularity_window))
     top = t.popularity.where(F.col("latest") >= since)
-    if t.config.filter_strategy == "BEFORE_SCORING":
-        top = top.join(ask.passing.select(F.col("external_id").alias("p_id")), "p_id", "left_semi")
+    passing = ask.passing.select(F.col("external_id").alias("p_id"))
+    if config.filter_strategy == "BEFORE_SCORING":
+        top = top.join(passing, "p_id", "left_semi")
     top = top.where(F.col("popularity") > 0).orderBy(F.desc("popularity"), F.desc("p_id")).limit(ask.candidates)
-    return beside(ask.users, top.select(F.col("p_id").alias("product"), F.array("popularity").alias("score")))
+    ages = t.models.select(F.col("external_id").alias("p_id"), scalars.age_decay(F.col(config.date_attribute), config).alias("_age"))
+    top = top.join(passing, "p_id", "left_semi").join(ages, "p_id").where(F.col("_age") > 0)
+    own = t.recent.select("user", "product")
+    if config.impressions:
+        own = own.unionByName(t.impression_summary.select(F.col("u_id").alias("user"), F.col("p_id").alias("product")))
+    own = own.join(F.broadcast(top.select(F.col("p_id").alias("product"))), "product", "left_semi").join(ask.users, "user", "left_semi")
+    own = own.groupBy("user").agg(F.collect_set("product").alias("_own"))  # at most the candidates
+    order = top.agg(F.sort_array(F.collect_list(F.struct((F.col("popularity") * F.col("_age")).alias("value"), F.col("p_id").alias("product"), "popularity")), asc=False).alias("_order"))
+    rows = beside(ask.users.join(own, "user", "left").withColumn("_own", F.coalesce("_own", F.array().cast("array<string>"))), order)
+    is_own = lambda x: F.array_contains(F.col("_own"), x["product"])
+    mine, others = F.filter("_order", is_own), F.filter("_order", lambda x: ~is_own(x))
+    rows = rows.select("user", F.explode(F.concat(mine, F.slice(others, 1, 2 * ask.asked))).alias("x"))
+    return rows.select("user", F.col("x.product").alias("product"), F.array("x.popularity").alias("score"))
 
 
 def user_based(t: Tables, ask: Ask) -> DataFrame:
@@ -190,7 +207,7 @@ def at_random(t: Tables, ask: Ask) -> DataFrame:
     if not n:
         return beside(ask.users, ring.select("product", F.array(F.lit(1.0)).alias("score")).limit(0))
     take = min(n, 2 * ask.candidates)
-    start = F.pmod(F.xxhash64(F.lit(t.config.seed), "user"), F.lit(n))
+    start = scalars.dice(F.lit(t.config.seed), F.col("user")) % n
     rows = ask.users.select("user", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(take - 1)), lambda k: F.pmod(start + k, F.lit(n)))).alias("k", "position"))
     rows = rows.join(ring, "position").join(t.blocked, ["user", "product"], "left_anti")
     place = F.row_number().over(Window.partitionBy("user").orderBy("k")) - 1
@@ -245,31 +262,14 @@ def all_lists(t: Tables, ask: Ask, algorithms: list[str], most: int) -> DataFram
 
 
 def hybrid(t: Tables, ask: Ask, name: str) -> DataFrame:
-    """Merged lists (user, rank, product, score, tags). A merge never looks past 2 * asked items of a list, so lists are cut
-    there; what a task holds is one user's lists."""
+    """Merged lists (user, rank, product, score, tags). A merge never looks past 2 * asked items of a list, so lists are cut there."""
     config, n = t.config, ask.asked
     weights = [tuple(w) for w in config.weights[name]]
     algorithms = [a for a, *_ in weights] + ([config.fill_in] if config.fill_in and config.fill_in not in [a for a, *_ in weights] else [])
-    seed, fill_in = config.seed, config.fill_in
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        user = rows["user"].iloc[0]
-        lists: merges.Lists = {}
-        for algorithm, _, product, score in sorted(zip(rows["algorithm"], rows["rank"], rows["product"], rows["score"]), key=lambda r: (r[0], r[1])):
-            lists.setdefault(algorithm, []).append(([float(x) for x in score], product))
-        found = merges.merge(name, {a: lists.get(a, []) for a in algorithms}, weights, n, zlib.crc32(f"{seed}/{user}".encode()))
-        found = merges.filled(found, lists, fill_in, n)
-        return pd.DataFrame({"user": user, "rank": range(1, len(found) + 1), "product": [p for *_, p in found], "score": [s for _, s, _ in found], "tags": [x for x, *_ in found]})
-
-    rows = all_lists(t, ask, algorithms, 2 * n).repartition("user")
-    return rows.groupBy("user").applyInPandas(run, "user string, rank int, product string, score array<double>, tags array<string>")
-
-
-def votes_in_sql(lists: DataFrame, config: EngineConfig, n: int, name: str = "HRVoting") -> DataFrame:
-    """The votes of each (user, product) as one aggregation."""
-    weight = reduce(lambda c, w: c.when(F.col("algorithm") == w[0], F.lit(float(w[1]))), config.weights[name], F.when(F.lit(False), F.lit(0.0)))
-    vote = weight * max(merges.LEAST_VOTE, n) * F.pow(F.lit(2.0), -(F.col("rank") - 1) / merges.VOTE_HALFLIFE)
-    return lists.where((F.col("rank") <= n) & weight.isNotNull()).groupBy("user", "product").agg(F.sum(vote).alias("votes"))
+    lists = all_lists(t, ask, algorithms, 2 * n)
+    if t.keep:
+        lists = sinks.materialized(lists)
+    return merges.filled(merges.merge(lists, name, weights, n, config.seed), lists, config.fill_in, n)
 
 
 def completed(t: Tables, ask: Ask, rows: DataFrame, n: int, is_hybrid: bool) -> DataFrame:
@@ -278,7 +278,7 @@ def completed(t: Tables, ask: Ask, rows: DataFrame, n: int, is_hybrid: bool) ->
     The first n products of one order (by id, or seeded for hybrids) are enough
     for every user: of them, at most as many are in already as the user has rows.
     """
-    order = F.xxhash64(F.lit(t.config.seed), "product") if is_hybrid else F.desc("product")
+    order = scalars.dice(F.lit(t.config.seed), F.col("product")) if is_hybrid else F.desc("product")
     pool = ask.passing.select(F.col("external_id").alias("product")).orderBy(order, "product").limit(n)
     pool = pool.withColumn("_k", F.row_number().over(Window.orderBy(order, "product")))  # at most n rows
     have = rows.groupBy("user").agg(F.count(F.lit(1)).alias("_n"))

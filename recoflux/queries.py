@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from recoflux.config import Decay, EngineConfig
 from recoflux.functions import bloom, scalars, text
 from recoflux.operators import abtest, content, filters, merging, models, ranking, strengths, summaries, templates
+from recoflux.plans import merges
 from recoflux.plans import recommend as plans
 from recoflux.sources import scans, sinks, testdata
 from recoflux.streaming import lanes
@@ -74,10 +75,16 @@ def recommended(algorithm: str) -> Query:
     return query
 
 
-def merged(algorithm: str, **settings) -> Query:
+def merged(spark: SparkSession, sf_dir: str, algorithm: str, **settings) -> DataFrame:
+    """Ten recommendations of a hybrid for every user, with near-identical titles put last."""
+    config = CONFIG.with_(near_identical_field="title", **settings)
+    return plans.recommend(tables(spark, sf_dir, config, keep=True), sinks.materialized(all_users(spark, sf_dir)), 10, algorithm)
+
+
+def hybrid(algorithm: str, **settings) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        config = CONFIG.with_(near_identical_field="title", **settings)
-        return plans.recommend(tables(spark, sf_dir, config, keep=True), sinks.materialized(all_users(spark, sf_dir)), 10, algorithm)
+        score = lambda k: F.round(F.coalesce(F.get("score", k - 1), F.lit(0.0)), 6).alias(f"score_{k}")
+        return merged(spark, sf_dir, algorithm, **settings).select("user", "rank", "product", score(1), score(2), score(3), F.array_join("tags", ",").alias("tags"))
 
     return query
 
@@ -91,7 +98,7 @@ def popular_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 def voting_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables(spark, sf_dir, keep=True)
     ask = plans.Ask(all_users(spark, sf_dir), filters.filtered(t.models, None, CONFIG), 500, 30)
-    rows = plans.votes_in_sql(plans.all_lists(t, ask, ["UBCF", "PBCF", "CB"], 60), CONFIG, 30)
+    rows = merges.votes(plans.all_lists(t, ask, ["UBCF", "PBCF", "CB"], 60), CONFIG.weights["HRVoting"], 30)
     return rows.select("user", "product", F.round("votes", 6).alias("votes"))
 
 
@@ -286,12 +293,12 @@ def queries() -> dict[str, Query]:
         "recommend_cb": recommended("CB"),
         "recommend_random": recommended("Random"),
         "voting_scores": voting_scores,
-        "hybrid_chunks": merged("HRChunks"),
-        "hybrid_random": merged("HRRandom"),
-        "hybrid_voting": merged("HRVoting"),
-        "hybrid_voting_impressions": merged("HRVoting", impressions=True),
-        "hybrid_chunks_before_scoring": merged("HRChunks", filter_strategy="BEFORE_SCORING"),
-        "batch_recommend": lambda s, d: sinks.wide_recommendations(merged("HRVoting")(s, d), 10),
+        "hybrid_chunks": hybrid("HRChunks"),
+        "hybrid_random": hybrid("HRRandom"),
+        "hybrid_voting": hybrid("HRVoting"),
+        "hybrid_voting_impressions": hybrid("HRVoting", impressions=True),
+        "hybrid_chunks_before_scoring": hybrid("HRChunks", filter_strategy="BEFORE_SCORING"),
+        "batch_recommend": lambda s, d: sinks.wide_recommendations(merged(s, d, "HRVoting"), 10),
         "merge_operands": operands_merged,
         "upsert_strengths": upserted,
         "increment_operands": incremented,

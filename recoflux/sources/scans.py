@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recoflux import schema
+from recoflux.functions import scalars
 
 
 def date_range(column: str, least=None, most=None) -> Column:
@@ -132,7 +133,7 @@ def counts(users: DataFrame, products: DataFrame, models: DataFrame) -> DataFram
 
 def sample_users(users: DataFrame, n: int, seed: int) -> DataFrame:
     """n distinct users, the first by a seeded hash: the same on every run."""
-    return users.select("external_id").distinct().orderBy(F.xxhash64(F.lit(seed), "external_id"), "external_id").limit(n)
+    return users.select("external_id").distinct().orderBy(scalars.dice(F.lit(seed), F.col("external_id")), "external_id").limit(n)
 
 
 def distinct_sample(table: DataFrame, column: str, n: int = 100) -> DataFrame:
