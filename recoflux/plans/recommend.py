@@ -76,7 +76,8 @@ class Tables:
 
     @cached_property
     def models(self) -> DataFrame:
-        return self._table("models", lambda: models.product_models(self.live_products, self.config, self.stemmed))
+        """What is kept of a model: the words of texts that aren't persisted go into terms alone."""
+        return self._table("models", lambda: models.persisted(models.product_models(self.live_products, self.config, self.stemmed), self.config))
 
     @cached_property
     def terms(self) -> DataFrame:
@@ -101,7 +102,13 @@ class Tables:
 
     @cached_property
     def content_templates(self) -> DataFrame:
-        return self._table("content_templates", lambda: templates.product_templates(self.content, self.config))
+        def make() -> DataFrame:
+            if "content" in self.stored:
+                return templates.product_templates(self.content, self.config)
+            most = 3 * self.config.product_templates
+            return templates.product_templates(content.content_strengths(self.tfidf, self.models, self.config, best=most), self.config)
+
+        return self._table("content_templates", make)
 
     @cached_property
     def recent(self) -> DataFrame:
