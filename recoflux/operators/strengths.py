@@ -107,10 +107,17 @@ def affected_targets(changed: DataFrame, summary: DataFrame, roles: Roles) -> Da
     return near.unionByName(entities).distinct()
 
 
-def consolidation_needed(old_templates: DataFrame, new: DataFrame, roles: Roles, k: int) -> DataFrame:
-    """Targets whose list of templates may change: a new strength beats the weakest of the list, or is of a
-    template in it, or the list isn't full."""
-    lists = old_templates.select(F.col("id").alias(roles.entity), "templates", F.size("templates").alias("_n"), F.array_min(F.transform("templates", lambda t: t["strength"])).alias("_weakest"))
-    rows = new.join(lists, roles.entity, "left")
-    listed = F.exists("templates", lambda t: t["id"] == F.col(roles.template))
-    return rows.where((F.coalesce(F.col("_n"), F.lit(0)) < k) | (F.col("strength") > F.col("_weakest")) | listed).select(roles.entity).distinct()
+def consolidation_needed(old_templates: DataFrame, new: DataFrame, old: DataFrame, roles: Roles, k: int) -> DataFrame:
+    """Targets whose list of templates may change, from their strengths before and now.
+
+    Of the strengths that changed, one matters if it is at least the weakest of the list, if its template is in the list, or if the
+    list isn't full; one that is gone matters if its template is in the list.
+    """
+    entity, template = roles.entity, roles.template
+    value = lambda df, name: df.where(F.col("strength") > 0).select(entity, template, F.col("strength").alias(name))
+    both = value(new, "_new").join(value(old, "_old"), [entity, template], "full").where(~F.col("_new").eqNullSafe(F.col("_old")))
+    lists = old_templates.select(F.col("id").alias(entity), "templates", F.size("templates").alias("_n"), F.array_min(F.transform("templates", lambda t: t["strength"])).alias("_weakest"))
+    rows = both.join(lists, entity, "left")
+    listed = F.coalesce(F.exists("templates", lambda t: t["id"] == F.col(template)), F.lit(False))
+    enters = F.col("_new").isNotNull() & ((F.coalesce(F.col("_n"), F.lit(0)) < k) | (F.col("_new") >= F.col("_weakest")))
+    return rows.where(listed | enters).select(entity).distinct()

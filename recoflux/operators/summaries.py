@@ -11,15 +11,15 @@ from recoflux.sources import scans
 
 
 def activity_summary(activities: DataFrame, config: EngineConfig, after=None, before=None, named_only: bool = True) -> DataFrame:
-    """The latest activity of each (user, product), with its day.
+    """The latest activity of each (user, product), with its day; of several at one time, the last type by name.
 
-    Types go through the aggregation as numbers, so that it stays a hash aggregation.
+    Types go through the aggregation as numbers next to the time, so that it stays a hash aggregation.
     """
     kinds = sorted(config.activities)
     rows = scans.raw_activities(activities if named_only else activities.withColumn("anonymous", F.lit(False)), kinds, after, before)
     code = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("activity")).cast("int")
     rows = rows.select("user", "product", code.alias("code"), "created_at")
-    rows = rows.groupBy("user", "product").agg(F.max_by("code", "created_at").alias("code"), F.max("created_at").alias("created_at"))
+    rows = rows.groupBy("user", "product").agg(F.max_by("code", F.unix_micros("created_at") * len(kinds) + F.col("code")).alias("code"), F.max("created_at").alias("created_at"))
     kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), F.col("code"))
     return rows.select("user", "product", kind.alias("activity"), scalars.day(F.col("created_at")).alias("day"), "created_at")
 

@@ -12,7 +12,7 @@ STEPS = {
     "kind": """SELECT * FROM (VALUES ('purchase', 5, TRUE, 1.0::DOUBLE, 1.0::DOUBLE), ('signup', 4, FALSE, 1.5::DOUBLE, 1.0::DOUBLE), ('click', 3, FALSE, 1.0::DOUBLE, 1.0::DOUBLE), ('error', 2, FALSE, 1.0::DOUBLE, 1.2::DOUBLE)) t(activity, rating, blocking, in_boost, out_boost)""",
     "act": "SELECT ev.* FROM ev WHERE activity <> 'view' AND p IS NOT NULL AND u IS NOT NULL",
     "imp": "SELECT * FROM ev WHERE activity = 'view' AND p IS NOT NULL AND u IS NOT NULL",
-    "summary": "SELECT u, p, arg_max(activity, ts) AS activity, date_trunc('day', max(ts)) AS day, max(ts) AS ts FROM act GROUP BY u, p",
+    "summary": "SELECT u, p, max({'t': ts, 'a': activity}).a AS activity, date_trunc('day', max(ts)) AS day, max(ts) AS ts FROM act GROUP BY u, p",
     "named": "SELECT * FROM summary WHERE NOT starts_with(u, 'hmrtmp')",
     "shown": "SELECT imp.u, imp.p, CAST(sum(CASE WHEN s.ts IS NULL OR imp.ts > s.ts THEN 1 ELSE 0 END) AS BIGINT) AS n, min(imp.ts) AS first FROM imp LEFT JOIN summary s ON imp.u = s.u AND imp.p = s.p GROUP BY imp.u, imp.p",
     "pop": "SELECT p, min(day) AS first, max(day) AS latest, count(*) AS n, count(*) / (date_diff('day', min(day), max(day)) + 1) AS popularity FROM named JOIN kind USING (activity) WHERE rating >= 3 GROUP BY p",
@@ -67,6 +67,7 @@ STEPS["ppi"] = """SELECT x.p AS p, x.t AS t, nc, na, CAST(coalesce(den, 0) AS BI
 STEPS["uti"], STEPS["pti"] = STEPS["ut"].replace("uus", "uui"), STEPS["pt"].replace("pps", "ppi")
 STEPS["ubcfi_raw"] = STEPS["ubcf_raw"].replace("ut.", "uti.").replace("FROM ut ", "FROM uti ")
 STEPS["popb_raw"] = STEPS["pop_raw"].replace("FROM pop WHERE", "FROM pop SEMI JOIN live ON live.p = pop.p WHERE")
+STEPS["newest_raw"] = "SELECT users.u, top.p, s0, 0.0::DOUBLE AS s1, 0.0::DOUBLE AS s2 FROM users, (SELECT p, CAST(epoch(date) AS DOUBLE) AS s0 FROM live ORDER BY date DESC, p DESC LIMIT 500) top"
 STEPS["title_words"] = r"""SELECT p, list_distinct(regexp_extract_all(trim(translate(lower(regexp_replace(title, ' +', ' ', 'g')), chr(10) || chr(9) || '.,?!$"', '')), '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+')) AS w FROM live"""
 
 
@@ -183,6 +184,18 @@ def sql(select: str, **more: str) -> str:
     return f"WITH RECURSIVE {', '.join(steps)} {select}" if steps else select
 
 
+#: English stop words as Spark ML lists them, and words of web pages.
+STOP_WORDS = """
+a about above after again against all am amp an and any are aren't as at be because been before being below between both but by can can't cannot could
+couldn't did didn't do does doesn't doing don don't down during each few for from further had hadn't has hasn't have haven't having he he'd he'll he's
+her here here's hers herself him himself his how how's href http i i'd i'll i'm i've if in into is isn't it it's its itself just let's me more most
+mustn't my myself no nor not now of off on once only or other ought our ours ourselves out over own quot s same shan't she she'd she'll she's should
+shouldn't so some such t than that that's the their theirs them themselves then there there's these they they'd they'll they're they've this those
+through to too under until up very was wasn't we we'd we'll we're we've were weren't what what's when when's where where's which while who who's whom
+why why's will with won't would wouldn't you you'd you'll you're you've your yours yourself yourselves
+:// .&#
+"""
+
 DAY = "strftime({}, '%Y-%m-%d')"
 #: Selects by query name.
 SELECTS = {
@@ -237,6 +250,34 @@ SELECTS = {
         SELECT users.u, ring.p, (ring.position - start + n) % n AS k, n FROM (SELECT u, CAST('0x' || substr(md5('17/' || u), 1, 8) AS BIGINT) AS h FROM users) users JOIN (SELECT p, row_number() OVER (ORDER BY h % 256, h, p) - 1 AS position, count(*) OVER () AS n FROM (SELECT p, CAST('0x' || substr(md5('17/' || p), 1, 8) AS BIGINT) AS h FROM product WHERE deleted_on IS NULL)) ring ON TRUE, LATERAL (SELECT users.h % ring.n AS start)) r
       ANTI JOIN blocked ON blocked.u = r.u AND blocked.p = r.p JOIN model ON model.p = r.p LEFT JOIN boosts ON boosts.u = r.u AND boosts.p = r.p WHERE k < 1000) WHERE nth <= 500) WHERE k < 10""",
     "sample_users": "SELECT external_id FROM (SELECT DISTINCT u AS external_id FROM ev) ORDER BY CAST('0x' || substr(md5('5/' || external_id), 1, 8) AS BIGINT), external_id LIMIT 10",
+    "scan_models": "SELECT p AS external_id, category, coalesce(price, 100) AS price FROM live",
+    "models_sharing_terms": "SELECT DISTINCT p AS external_id FROM tfidf WHERE attribute = 'full_content' AND language = 'x-en' AND term IN ('the', 'of', 'and')",
+    "scan_uu_strengths": "SELECT u AS \"user\", t AS template_user, nc, na, CAST(den AS BIGINT) AS denominator, round(s, 9) AS strength FROM uus WHERE u IN ('u1', 'u2', 'u3') AND s > 0",
+    "scan_pp_strengths": "SELECT p AS product, t AS template_product, nc, na, CAST(den AS BIGINT) AS denominator, round(s, 9) AS strength FROM pps WHERE t IN ('p1', 'p2') AND s > 0",
+    "scan_content_strengths": "SELECT p AS product, t AS template_product, round(s, 6) AS strength FROM content WHERE p IN ('p1', 'p2')",
+    "scan_uu_operands": "SELECT u AS \"user\", t AS template_user, nc, na, CAST(den AS BIGINT) AS denominator FROM uus WHERE u IN ('u1', 'u2')",
+    "scan_pp_operands": "SELECT p AS product, t AS template_product, nc, na, CAST(den AS BIGINT) AS denominator FROM pps WHERE p = 'p5'",
+    "scan_document_frequency": "SELECT term, CAST(coalesce(df, 0) AS BIGINT) AS df FROM (VALUES ('the'), ('and'), ('nowhere')) t(term) LEFT JOIN (SELECT * FROM df WHERE language = 'x-en') d USING (term)",
+    "scan_templates": "SELECT u AS id, CAST(place AS INTEGER) AS place, t AS template, round(s, 9) AS strength FROM ut WHERE u IN ('u1', 'u2', 'u10')",
+    "latest_runs": "SELECT * FROM (VALUES ('a', 'success', '2024-01-10', 'p7'), ('b', 'failed', '2024-01-10', 'p7'), ('c', 'running', '2024-01-10', 'p7')) t(type, status, cutoff, latest)",
+    "csv_round_trip": "SELECT p AS entity, t AS template, round(s, 9) AS strength FROM pps",
+    "upsert_templates": "SELECT u AS id, count(*) AS n, round(max(s), 9) AS first FROM ut WHERE u <> 'u1' AND u <> 'new' GROUP BY u UNION ALL SELECT 'u1', 1, 0.5::DOUBLE UNION ALL SELECT 'new', 2, 0.25::DOUBLE",
+    "store_swap": """SELECT 'staged' AS name, count(*) AS n, CAST(sum(n) AS BIGINT) AS total FROM pop UNION ALL SELECT 'published', count(*), CAST(sum(n) AS BIGINT) FROM pop WHERE n % 2 = 0 UNION ALL
+      SELECT 'appended', count(*) + count(*) FILTER (WHERE n % 2 = 0), CAST(sum(n) + sum(n) FILTER (WHERE n % 2 = 0) AS BIGINT) FROM pop UNION ALL SELECT 'merged', count(*) + 1, CAST(sum(n) FILTER (WHERE n % 2 <> 0) + 7 AS BIGINT) FROM pop""",
+    "add_frequencies": "SELECT language, term, CAST(df AS BIGINT) AS df FROM df",
+    "save_marks": "SELECT u AS \"user\", p AS product, CASE WHEN activity = 'purchase' THEN activity END AS pp_latest_type, CASE WHEN activity = 'purchase' THEN CAST(epoch_us(ts) AS VARCHAR) END AS pp_latest_date FROM summary",
+    "distinct_sample": "SELECT DISTINCT p AS product FROM summary ORDER BY p LIMIT 25",
+    "stop_words": r"""SELECT doc_id, CAST(len(w) AS BIGINT) AS n, CAST(len(k) AS BIGINT) AS kept, array_to_string(k, ' ') AS words FROM (SELECT doc_id, w, list_filter(w, lambda x: NOT list_contains(STOP_LIST, x) AND length(x) BETWEEN 3 AND 30) AS k FROM (
+      SELECT doc_id, regexp_extract_all(trim(translate(lower(regexp_replace(text, ' +', ' ', 'g')), chr(10) || chr(9) || '.,?!$"', '')), '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+') AS w FROM documents WHERE lang = 'en' AND text IS NOT NULL))""".replace("STOP_LIST", "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS.split()) + "]"),
+    "parsed_dates": "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN epoch_us(date_trunc('second', ts)) END AS at, CASE WHEN event_id % 5 <> 0 THEN CAST(date_diff('day', TIMESTAMP '2024-01-01', ts) + 1 AS BIGINT) END AS days FROM events",
+    "list_similarities": "SELECT a, b, round(len(list_intersect(x, y)) / len(list_distinct(x)), 9) AS list FROM (SELECT a.doc_id AS a, b.doc_id AS b, string_split(coalesce(a.text, ''), ' ')[1:12] AS x, string_split(coalesce(b.text, ''), ' ')[1:12] AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)",
+    "flat_and_nested": "SELECT p_partkey, p_name AS about_p_name, p_size AS about_more_p_size, p_type AS about_more_p_type FROM part",
+    "updated_products": "SELECT 'terms' AS kind, p AS external_id FROM product WHERE date >= TIMESTAMP '2024-01-20 00:00:00' UNION ALL SELECT 'never', p FROM product",
+    "registered_specialist": recommended("newest_raw"),
+    "bloom_false_positives": "SELECT TRUE AS as_expected, TRUE AS below_one",
+    "streaming_delete": """SELECT p AS product, CAST(place AS INTEGER) AS place, t AS template_product, round(s, 9) AS strength FROM (SELECT p, t, s, row_number() OVER (PARTITION BY p ORDER BY s DESC, t) AS place FROM pps WHERE s > 0 AND p NOT IN ('p3', 'p4', 'p50') AND t NOT IN ('p3', 'p4', 'p50')) WHERE place <= 150""",
+    "streaming_user_templates": 'SELECT u AS "user", CAST(place AS INTEGER) AS place, t AS template_user, round(s, 9) AS strength FROM ut',
+    "streaming_expiry": f"""SELECT u AS "user", p AS product, max({{'t': ts, 'a': activity}}).a AS activity, {DAY.format("date_trunc('day', max(ts))")} AS day, epoch_us(max(ts)) AS created_at FROM act WHERE NOT starts_with(u, 'hmrtmp') OR ts >= TIMESTAMP '2024-01-15 00:00:00' GROUP BY u, p""",
     "voting_scores": f"""SELECT u AS "user", p AS product, round(round(sum(CASE algorithm WHEN 'CB' THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END * 1000 * pow(2.0::DOUBLE, -(rank - 1) / 4.0::DOUBLE)), 9), 6) AS votes FROM ({listed('ubcf_raw', 'UBCF')} UNION ALL {listed('pbcf_raw', 'PBCF')} UNION ALL {listed('cb_raw', 'CB')}) WHERE rank <= 30 GROUP BY u, p""",
     "context_filter": f"SELECT p AS external_id FROM live WHERE (language = 'x-en' AND coalesce(price, 100) < 1500) OR (language <> 'x-en' AND date >= {PRESENT} - INTERVAL 10 DAY)",
     "context_filter_list": "SELECT p AS external_id FROM live WHERE source = 'src3' AND coalesce(price, 100) >= 100",

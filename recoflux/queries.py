@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
@@ -191,16 +190,15 @@ def near_identical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.near_identical(ranked, docs.select(ids.alias("external_id"), words.alias("title")), CONFIG.with_(near_identical_field="title", near_identical_threshold=40))
 
 
-def stream_root(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="recoflux-")
-    return f"{folder.rstrip('/')}/lanes-{uuid.uuid4().hex}"
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    return f"{sinks.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def streamed(what: str) -> Query:
     """Three micro-batches of all events, dealt by number and so out of order, through the lanes."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        lane = lanes.Lanes(lanes.Tables(spark, stream_root(spark)), CONFIG)
+        lane = lanes.Lanes(lanes.Tables(spark, fresh_folder(spark, "lanes")), CONFIG)
         events = testdata._events(spark, sf_dir)
         for k in range(3):
             batch = events.where(F.col("event_id") % 3 == k)
@@ -218,7 +216,7 @@ def streamed(what: str) -> Query:
 def streamed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products in three batches, each again with the next, and some deleted ones on the way."""
     t = tables(spark, sf_dir)
-    lane = lanes.Lanes(lanes.Tables(spark, stream_root(spark)), CONFIG)
+    lane = lanes.Lanes(lanes.Tables(spark, fresh_folder(spark, "lanes")), CONFIG)
     number = F.crc32(F.encode("external_id", "UTF-8")) % 3
     gone = t.products.where(F.col("deleted_on").isNotNull())
     lane.products_of(gone, 0, stemmed=False)
@@ -228,6 +226,158 @@ def streamed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lane.terms().select("product", "attribute", "term", "count")
 
 
+def streamed_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates of products after one batch of all events and the deletion of three products."""
+    lane = lanes.Lanes(lanes.Tables(spark, fresh_folder(spark, "lanes")), CONFIG)
+    acts = testdata.activities(spark, sf_dir)
+    lane.fast(acts, 0)
+    lane.slow(acts, 0)
+    lane.delete_products(named(spark, "external_id", "p3", "p4", "p50"))
+    rows = lane.templates("product").select("id", F.posexplode("templates").alias("place", "t"))
+    return rows.select(F.col("id").alias("product"), (F.col("place") + 1).cast("int").alias("place"), F.col("t.id").alias("template_product"), flat("t.strength").alias("strength"))
+
+
+def streamed_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates of users after two batches, of which the second rebuilds just the lists that it can change."""
+    lane = lanes.Lanes(lanes.Tables(spark, fresh_folder(spark, "lanes")), CONFIG)
+    acts = testdata._events(spark, sf_dir).where(F.col("activity") != "view")
+    for k in range(2):
+        batch = acts.where((F.col("event_id") % 50 == 0) == (k == 1)).drop("event_id")
+        lane.fast(batch, k)
+        lane.slow(batch, k)
+    rows = lane.templates("user").select("id", F.posexplode("templates").alias("place", "t"))
+    return rows.select(F.col("id").alias("user"), (F.col("place") + 1).cast("int").alias("place"), F.col("t.id").alias("template_user"), flat("t.strength").alias("strength"))
+
+
+def streamed_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries after anonymous users' activities have expired in the lanes."""
+    lane = lanes.Lanes(lanes.Tables(spark, fresh_folder(spark, "lanes")), CONFIG)
+    lane.fast(testdata.activities(spark, sf_dir), 0)
+    lane.expire(at(2024, 1, 25), 10)
+    return summary_rows(lane.summary())
+
+
+def template_cache(t: plans.Tables) -> DataFrame:
+    return sinks.materialized(templates.cached(t.user_templates, "user"))
+
+
+def cached_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scans.templates_of(template_cache(tables(spark, sf_dir, keep=True)), ["u1", "u2", "u10"])
+    return rows.select("id", F.col("place").cast("int").alias("place"), "template", flat("strength").alias("strength"))
+
+
+def upserted_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of three users replaced, of one by nothing (which leaves the old one), and one new user's."""
+    old = template_cache(tables(spark, sf_dir, keep=True))
+    made = [("u1", [(0.5, "u2")]), ("u2", []), ("new", [(0.25, "u1"), (0.125, "u2")])]
+    new = spark.createDataFrame(made, "id string, templates array<struct<strength:double,id:string>>")
+    return sinks.upsert_templates(old, new, True).select("id", F.size("templates").cast("long").alias("n"), flat(F.get("templates", F.lit(0))["strength"]).alias("first"))
+
+
+def swapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that is staged, one that is staged and published, one with rows on top, and one that rows were merged into."""
+    store = sinks.Store(spark, fresh_folder(spark, "store"))
+    counts = tables(spark, sf_dir).popularity.select("p_id", "count")
+    for name in ("staged", "published", "appended", "merged"):
+        store.write(name, counts)
+    more = counts.where(F.col("count") % 2 == 0)
+    store.stage("staged", more)
+    store.publish(published=store.stage("published", more))
+    store.append("appended", more)
+    store.merge("merged", more.withColumn("count", F.lit(0).cast("long")).unionByName(spark.createDataFrame([("new", 7)], "p_id string, count long")), ["p_id"])
+    one = lambda name: store.read(name).agg(F.count(F.lit(1)).alias("n"), F.sum("count").alias("total")).select(F.lit(name).alias("name"), "n", "total")
+    return one("staged").unionAll(one("published")).unionAll(one("appended")).unionAll(one("merged"))
+
+
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = sinks.Store(spark, fresh_folder(spark, "store"))
+    began = datetime.now(UTC)
+    for kind, status in (("a", "running"), ("b", "running"), ("a", "success"), ("b", "failed"), ("c", "running")):
+        store.log_run(kind, status, began, at(2024, 1, 10), "p7")
+    return scans.latest_runs(store.run_log()).select("type", "status", text_day("cutoff").alias("cutoff"), "latest")
+
+
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_folder(spark, "csv")
+    sinks.write_csv(tables(spark, sf_dir).pp.select("product", "template_product", "strength"), path, header=False)
+    return scans.csv(spark, path).select("entity", "template", flat("strength").alias("strength"))
+
+
+def frequencies_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document frequencies of one half of the products and, signed, of the other: terms that come to 0 go."""
+    t = tables(spark, sf_dir)
+    terms = sinks.materialized(t.terms)
+    half = lambda k: models.document_frequencies(terms.where(F.crc32(F.encode("product", "UTF-8")) % 2 == k))
+    once = sinks.add_frequencies(half(0), half(1))
+    return sinks.add_frequencies(once, half(1).withColumn("df", -F.col("df"))).unionByName(half(1)).groupBy("language", "term").agg(F.sum("df").alias("df"))
+
+
+def saved_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blank = lambda kind: F.lit(None).cast(kind)
+    rows = tables(spark, sf_dir).summary.withColumns({"pp_latest_type": blank("string"), "pp_latest_date": blank("timestamp")})
+    done = rows.where(F.col("activity") == "purchase").select("user", "product")
+    return sinks.save_marks(rows, done, "pp").select("user", "product", "pp_latest_type", F.unix_micros("pp_latest_date").cast("string").alias("pp_latest_date"))
+
+
+def stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = testdata.read(spark, sf_dir, "documents").where("lang = 'en' AND text IS NOT NULL")
+    words = text.tokenize(text.squeezed(F.col("text")))
+    rows = docs.select("doc_id", words.alias("words"), text.remove_stop_words(words, F.lit("en"), text.MIN_LENGTH).alias("kept"))
+    return rows.select("doc_id", F.size("words").cast("long").alias("n"), F.size("kept").cast("long").alias("kept"), F.array_join("kept", " ").alias("words"))
+
+
+def parsed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = F.when(F.col("event_id") % 5 == 0, F.lit("no date")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    rows = testdata.read(spark, sf_dir, "events").select("event_id", scalars.parse_date(written, "yyyy-MM-dd'T'HH:mm:ss").alias("at"))
+    return rows.select("event_id", F.unix_micros("at").alias("at"), F.size(scalars.date_series(F.lit(at(2024, 1, 1)), F.col("at"))).cast("long").alias("days"))
+
+
+def list_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = testdata.read(spark, sf_dir, "documents").select("doc_id", F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, 12).alias("w"))
+    a, b = docs.select(F.col("doc_id").alias("a"), F.col("w").alias("x")), docs.select(F.col("doc_id").alias("b"), F.col("w").alias("y"))
+    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", flat(scalars.similar_list(F.col("x"), F.col("y"))).alias("list"))
+
+
+def flat_and_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = testdata.read(spark, sf_dir, "part").select("p_partkey", F.struct("p_name", F.struct("p_size", "p_type").alias("more")).alias("about"))
+    there = models.flattened(part)
+    back = models.flattened(models.nested(there))
+    return back.select("p_partkey", *[F.col(f"`{c}`").alias(c.replace(".", "_")) for c in back.columns if c != "p_partkey"])
+
+
+def updated_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products changed since the last successful run, and all of them for a kind that never ran."""
+    log = spark.createDataFrame([("terms", at(2024, 1, 10), "success"), ("terms", at(2024, 1, 20), "success"), ("terms", at(2024, 1, 25), "failed")], "type string, timestamp timestamp, status string")
+    products = testdata.products(spark, sf_dir)
+    part = lambda kind: lanes.since_last_run(products, log, kind, "date").select(F.lit(kind).alias("kind"), "external_id")
+    return part("terms").unionByName(part("never"))
+
+
+def newest(t: plans.Tables, ask: plans.Ask) -> DataFrame:
+    """A specialist of one's own: the newest products for everyone."""
+    dates = t.models.select(F.col("external_id").alias("product"), F.unix_seconds("date").cast("double").alias("s"))
+    top = dates.orderBy(F.desc("s"), F.desc("product")).limit(ask.candidates)
+    return plans.beside(ask.users, top.select("product", F.array("s").alias("score")))
+
+
+def registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plans.register("Newest", newest)
+    try:
+        return recommended("Newest")(spark, sf_dir)
+    finally:
+        del plans.SPECIALISTS["Newest"]
+
+
+def bloom_false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of values that aren't elements, whether the share taken for elements is near what theory says (within 5 points) and above none."""
+    users = testdata.read(spark, sf_dir, "events").select("user_id").distinct()
+    n, bits = users.count(), 1024
+    others = spark.range(10_000_000, 10_020_000).withColumnRenamed("id", "user_id")
+    share = bloom.BloomFilter(users, "user_id", bits, n).accepts(others, "user_id").agg(F.avg(F.col("accepted").cast("double")).alias("share"))
+    expected = bloom.false_positive_share(bits, n, 20_000 + n) * (20_000 + n) / 20_000
+    return share.select((F.abs(F.col("share") - expected) <= 0.05).alias("as_expected"), (F.col("share") < 1).alias("below_one"))
+
+
 def ab_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abtest.reliability(abtest.simulated(spark, 10_000, 200, 7, 1.0, 0.1, 20_000), 0.1, 0.05)
 
@@ -284,6 +434,32 @@ def queries() -> dict[str, Query]:
         "content_templates": lambda s, d: template_rows(tables(s, d, keep=True).content_templates, "product"),
         "stemmed_models": lambda s, d: models.persisted(models.product_models(testdata.products(s, d), EngineConfig()), EngineConfig()),
         "stemmed_terms": lambda s, d: models.term_frequencies(testdata.products(s, d), EngineConfig()),
+        "scan_models": lambda s, d: scans.checked(tables(s, d).models.select("external_id", "category", "price"), 10_000_000),
+        "models_sharing_terms": lambda s, d: scans.models_sharing_terms(tables(s, d).models.withColumnRenamed("external_id", "product"), tables(s, d).tfidf, "full_content", "x-en", ["the", "of", "and"]).select(F.col("product").alias("external_id")),
+        "scan_uu_strengths": lambda s, d: strength_rows(scans.strengths(tables(s, d).uu, "user", ["u1", "u2", "u3"]), "user"),
+        "scan_pp_strengths": lambda s, d: strength_rows(scans.strengths(tables(s, d).pp, "product", None, ["p1", "p2"]), "product"),
+        "scan_content_strengths": lambda s, d: scans.strengths(tables(s, d).content, "product", ["p1", "p2"], None, True).select("product", "template_product", F.round("strength", 6).alias("strength")),
+        "scan_uu_operands": lambda s, d: scans.operands(tables(s, d).uu, "user", ["u1", "u2"], None),
+        "scan_pp_operands": lambda s, d: scans.operands(tables(s, d).pp, "product", ["p5"], None),
+        "scan_document_frequency": lambda s, d: scans.document_frequency(models.document_frequencies(tables(s, d).terms), "x-en", named(s, "term", "the", "and", "nowhere")),
+        "scan_templates": cached_templates,
+        "latest_runs": run_log,
+        "csv_round_trip": csv_round_trip,
+        "upsert_templates": upserted_templates,
+        "store_swap": swapped,
+        "add_frequencies": frequencies_added,
+        "save_marks": saved_marks,
+        "distinct_sample": lambda s, d: scans.distinct_sample(tables(s, d).summary, "product", 25),
+        "stop_words": stop_words,
+        "parsed_dates": parsed_dates,
+        "list_similarities": list_similarities,
+        "flat_and_nested": flat_and_nested,
+        "updated_products": updated_products,
+        "registered_specialist": registered,
+        "bloom_false_positives": bloom_false_positives,
+        "streaming_delete": streamed_delete,
+        "streaming_user_templates": streamed_templates,
+        "streaming_expiry": streamed_expiry,
         "context_filter": context('{"$or": [{"language": "x-en", "price": {"$lt": 1500}}, {"language": {"$ne": "x-en"}, "date": {"$gte": "2024-01-21T00:00:00+00:00"}}]}'),
         "context_filter_list": context('{"source": "src3", "$and": [{"price": {"$gte": 100}}]}'),
         "near_identical": near_identical_rows,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from datetime import datetime, timezone
@@ -65,18 +67,42 @@ def expire(table: DataFrame, now, days: int = 30, column: str = "created_at") ->
     return table.where(~F.col("anonymous") | fresh)
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """df written once to the folder that driver and executors share, and read again: for tables that one job uses several times."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("recoflux.scratch.dir", None)
+_written: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local session (as in tests) gets a temporary folder, which goes with the process; on a
+    cluster it is an error, since executors would each write to a disk of their own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("recoflux.shared.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="recoflux-")
-        spark.conf.set("recoflux.scratch.dir", folder)
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.conf.set("recoflux.shared.dir", folder)
+    return folder.rstrip("/")
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder, and read again: for tables that one job uses several times, or whose plan is to end there."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/recoflux-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Remove all that materialized() has written in this process; what was read from it must be done with."""
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    while _written:
+        path = paths(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Store:
     """Tables as versioned Parquet folders below a root; readers see a version only once it is published.
 
@@ -105,26 +131,31 @@ class Store:
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(self._path(name, version))
         return version
 
-    def publish(self, **versions: str) -> None:
+    def publish(self, *, on_top: bool = False, **versions: str) -> None:
+        """Swap versions in at once, or add them to what is there."""
+        if on_top:
+            now = self._versions()
+            versions = {name: ",".join(x for x in (now.get(name), version) if x) for name, version in versions.items()}
         at = int(datetime.now(timezone.utc).timestamp() * 1e6)
         rows = [(at, name, version) for name, version in versions.items()]
         self.spark.createDataFrame(rows, "at LONG, name STRING, version STRING").coalesce(1).write.mode("append").json(self._path("versions"))
 
-    def write(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-        self.publish(**{name: self.stage(name, df, partition_by)})
+    def write(self, name: str, df: DataFrame, partition_by: list[str] | None = None, on_top: bool = False) -> DataFrame:
+        self.publish(on_top=on_top, **{name: self.stage(name, df, partition_by)})
         return self.read(name)
 
     def read(self, name: str) -> DataFrame:
         versions = self._versions()
         if name not in versions:
             raise KeyError(f"no table {name}")
-        return self.spark.read.parquet(self._path(name, versions[name]))
+        return self.spark.read.parquet(*(self._path(name, x) for x in versions[name].split(",")))
 
     def exists(self, name: str) -> bool:
         return name in self._versions()
 
     def append(self, name: str, df: DataFrame) -> DataFrame:
-        return self.write(name, self.read(name).unionByName(df) if self.exists(name) else df)
+        """Rows on top of a table, as a folder of their own; what is there isn't written again."""
+        return self.write(name, df, on_top=True)
 
     def merge(self, name: str, new: DataFrame, keys: list[str]) -> DataFrame:
         return self.write(name, upsert(self.read(name), new, keys) if self.exists(name) else new)

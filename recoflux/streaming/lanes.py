@@ -1,19 +1,21 @@
 """Incremental maintenance: micro-batches of events and products keep stored tables equal to a batch run.
 
-Logs are append-only, one folder per micro-batch, so a batch that is retried after
-a failure replaces itself. A batch then recomputes just the keys it touches from the log,
-and those replace their rows in the stored tables, which are dealt into buckets of
-their key; only buckets with a touched key are written again. The result is that of a run from scratch, also for
+A table is dealt into buckets of its key. A batch recomputes just the keys that it touches and
+writes their buckets to a new folder; a small manifest, renamed into place, then says which folder holds each bucket.
+So readers see all of a change or nothing of it, and a batch that fails on the way changes nothing; run again, it
+does the same. Summaries merge with what is stored, since the latest of the latest is the latest; only impression
+counts go back to the log of impressions, by the pairs touched. The result is that of a run from scratch, also for
 events that come late or twice.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from recoflux import schema
@@ -25,7 +27,7 @@ BUCKETS = 16
 
 
 class Tables:
-    """Stored tables of a tenant below a root folder."""
+    """Stored tables of a tenant below a root folder that driver and executors share."""
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
@@ -35,37 +37,86 @@ class Tables:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def exists(self, name: str) -> bool:
-        return self._files.exists(self._path(self.path(name)))
+    def _exists(self, path: str) -> bool:
+        return self._files.exists(self._path(path))
+
+    def _names(self, path: str) -> list[str]:
+        return sorted(x.getPath().getName() for x in self._files.listStatus(self._path(path))) if self._exists(path) else []
+
+    def manifest(self, name: str) -> dict:
+        """The newest: `parts` (by bucket, or `base` for a log) and what else its writer noted; {} where there is none."""
+        folder = f"{self.path(name)}/manifest"
+        found = [x for x in self._names(folder) if x.endswith(".json")]
+        if not found:
+            return {}
+        stream = self._files.open(self._path(f"{folder}/{found[-1]}"))
+        try:
+            text = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        return json.loads(text) | {"number": int(found[-1].removesuffix(".json"))}
+
+    def publish(self, name: str, last: dict, **new) -> None:
+        """A manifest that follows `last`. Folders that it no longer names go with the manifest after it, so that running reads end."""
+        number, folder = last.get("number", -1) + 1, f"{self.path(name)}/manifest"
+        gone = sorted(set(last.get("parts", {}).values()) - set(new["parts"].values()))
+        draft = self._path(f"{folder}/{uuid.uuid4().hex}.draft")
+        stream = self._files.create(draft, True)
+        stream.write(json.dumps(new | {"gone": gone}).encode())
+        stream.close()
+        if not self._files.rename(draft, self._path(f"{folder}/{number:012d}.json")):
+            raise RuntimeError(f"table {name} was changed by another writer")
+        for path in last.get("gone", []):
+            self._files.delete(self._path(path), True)
+        if number > 1:
+            self._files.delete(self._path(f"{folder}/{number - 2:012d}.json"), False)
 
     def log(self, name: str, batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{self.path(name)}/batch={batch_id}")
+        """Append a batch to a log; a batch that is there is written again, one that was merged into the base isn't."""
+        if batch_id not in self.manifest(name).get("merged", []):
+            batch.write.mode("overwrite").parquet(f"{self.path(name)}/batch={batch_id}")
+
+    def log_parts(self, name: str) -> tuple[dict, list[int]]:
+        """The log's manifest, and the batches that come on top of its base."""
+        last = self.manifest(name)
+        found = [int(x.removeprefix("batch=")) for x in self._names(self.path(name)) if x.startswith("batch=")]
+        return last, [k for k in found if k not in last.get("merged", []) and self._exists(f"{self.path(name)}/batch={k}/_SUCCESS")]
+
+    def read_log(self, name: str, columns) -> DataFrame:
+        last, batches = self.log_parts(name)
+        return self._parquet([*last.get("parts", {}).values(), *(f"{self.path(name)}/batch={k}" for k in batches)], columns)
+
+    def rewrite_log(self, name: str, rows: DataFrame) -> None:
+        """rows, made of the log, in place of all that is in it."""
+        last, batches = self.log_parts(name)
+        base = f"{self.path(name)}/base-{uuid.uuid4().hex}"
+        rows.write.parquet(base)
+        self.publish(name, last, parts={"base": base}, merged=sorted({*last.get("merged", []), *batches}))
+
+    def _parquet(self, paths: list[str], columns) -> DataFrame:
+        return self.spark.read.schema(columns).parquet(*paths) if paths else self.spark.createDataFrame([], columns)
+
+    def exists(self, name: str) -> bool:
+        return bool(self.manifest(name))
 
     def read(self, name: str, columns) -> DataFrame:
-        if not self.exists(name):
-            return self.spark.createDataFrame([], columns)
-        return self.spark.read.schema(columns).parquet(self.path(name)).select(*columns.fieldNames())
+        return self._parquet(sorted(self.manifest(name).get("parts", {}).values()), columns)
 
     def bucket(self, keys: list[str]):
         return F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
 
     def replace(self, name: str, columns, new: DataFrame, touched: DataFrame, keys: list[str]) -> None:
         """The rows of touched keys go and new ones come; other buckets stay as they are."""
-        new = new.select(*columns.fieldNames()).withColumn("bucket", self.bucket(keys))
-        if not self.exists(name):
-            new.write.partitionBy("bucket").parquet(self.path(name))
-            return
-        old = self.spark.read.schema(T.StructType([*columns.fields, T.StructField("bucket", T.IntegerType())])).parquet(self.path(name))
-        touched = touched.select(*keys).distinct().withColumn("bucket", self.bucket(keys))
-        hit = old.join(touched.select("bucket").distinct(), "bucket", "left_semi")
-        kept = hit.join(touched.drop("bucket"), keys, "left_anti")
-        stage = f"{self.root}/_stage/{name}"
-        kept.unionByName(new).write.mode("overwrite").parquet(stage)
-        staged = self.spark.read.parquet(stage)
-        staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path(name))
-        # A bucket that has lost its last row isn't written, so it is removed; there are no more rows here than buckets.
-        for row in touched.select("bucket").distinct().join(staged.select("bucket").distinct(), "bucket", "left_anti").collect():
-            self._files.delete(self._path(f"{self.path(name)}/bucket={row.bucket}"), True)
+        last = self.manifest(name)
+        parts = last.get("parts", {})
+        hit = [str(r.bucket) for r in touched.select(self.bucket(keys).alias("bucket")).distinct().collect()]  # no more than buckets
+        old = self._parquet([parts[b] for b in hit if b in parts], columns).join(touched.select(*keys).distinct(), keys, "left_anti")
+        version = f"{self.path(name)}/{uuid.uuid4().hex}"
+        rows = old.unionByName(new.select(*columns.fieldNames())).withColumn("bucket", self.bucket(keys))
+        rows.repartition("bucket").write.partitionBy("bucket").parquet(version)
+        written = set(self._names(version))
+        parts = {b: p for b, p in parts.items() if b not in hit} | {b: f"{version}/bucket={b}" for b in hit if f"bucket={b}" in written}
+        self.publish(name, last, parts=parts)
 
 
 class Lanes:
@@ -76,10 +127,10 @@ class Lanes:
 
     # logs and summaries
     def activities(self) -> DataFrame:
-        return self.tables.read("activities", schema.ACTIVITIES)
+        return self.tables.read_log("activities", schema.ACTIVITIES)
 
     def impressions(self) -> DataFrame:
-        return self.tables.read("impressions", schema.IMPRESSIONS)
+        return self.tables.read_log("impressions", schema.IMPRESSIONS)
 
     def summary(self) -> DataFrame:
         return self.tables.read("activity_summary", schema.SUMMARY)
@@ -91,22 +142,32 @@ class Lanes:
         return self.tables.read("popularity", schema.POPULARITY)
 
     def strengths(self, entity: str) -> DataFrame:
-        return self.tables.read(f"{entity}_strengths", schema.UU_STRENGTHS if entity == "user" else schema.PP_STRENGTHS)
+        return self.tables.read(f"{entity}_strengths", self._columns(entity))
 
     def templates(self, entity: str) -> DataFrame:
         return self.tables.read(f"{entity}_templates", schema.TEMPLATES)
 
+    @staticmethod
+    def _columns(entity: str):
+        return schema.UU_STRENGTHS if entity == "user" else schema.PP_STRENGTHS
+
+    def _named(self, rows: DataFrame) -> DataFrame:
+        return rows.where(~scans.anonymous("user", self.config.anonymous_prefix))
+
     def fast(self, batch: DataFrame, batch_id: int) -> None:
         """Activities: their pairs' summaries, impression counts and their products' popularity. Types that aren't supported are left out."""
         batch = batch.where(F.col("activity").isin(list(self.config.activities)) & F.col("user").isNotNull() & F.col("product").isNotNull())
         self.tables.log("activities", batch, batch_id)
+        columns = ["user", "product", "activity", "created_at"]
         pairs = batch.select("user", "product").distinct()
-        rows = summaries.activity_summary(self.activities().join(pairs, ["user", "product"], "left_semi"), self.config, named_only=False)
+        known = self.summary().join(pairs, ["user", "product"], "left_semi").select(*columns)
+        rows = summaries.activity_summary(known.unionByName(batch.select(*columns)).withColumn("anonymous", F.lit(False)), self.config)
         self.tables.replace("activity_summary", schema.SUMMARY, rows, pairs, ["user", "product"])
         self._impressions_of(pairs)
-        products = batch.select("product").distinct()
-        named = self.summary().where(~scans.anonymous("user", self.config.anonymous_prefix))
-        rows = summaries.popularity(named.join(products, "product", "left_semi"), self.config)
+        self._popularity_of(batch.select("product").distinct())
+
+    def _popularity_of(self, products: DataFrame) -> None:
+        rows = summaries.popularity(self._named(self.summary()).join(products, "product", "left_semi"), self.config)
         self.tables.replace("popularity", schema.POPULARITY, rows, products.select(F.col("product").alias("p_id")), ["p_id"])
 
     def shown(self, batch: DataFrame, batch_id: int) -> None:
@@ -115,8 +176,11 @@ class Lanes:
         self._impressions_of(batch.select("user", "product").distinct())
 
     def _impressions_of(self, pairs: DataFrame) -> None:
+        """The pairs' impressions after their last activity, which their summary holds."""
+        if not any(self.tables.log_parts("impressions")):
+            return
         keys = ["user", "product"]
-        rows = summaries.impression_summary(self.impressions().join(pairs, keys, "left_semi"), self.activities().join(pairs, keys, "left_semi"), self.config)
+        rows = summaries.impression_summary(self.impressions().join(pairs, keys, "left_semi"), self.summary().join(pairs, keys, "left_semi"), self.config)
         touched = pairs.select(F.col("user").alias("u_id"), F.col("product").alias("p_id"))
         self.tables.replace("impression_summary", schema.IMPRESSION_SUMMARY, rows, touched, ["u_id", "p_id"])
 
@@ -125,36 +189,42 @@ class Lanes:
 
         Anonymous users are left out.
         """
-        named = lambda df: df.where(~scans.anonymous("user", self.config.anonymous_prefix))
-        changed = named(batch).select("user", "product").distinct()
-        summary = named(self.summary())
-        shown = self.impression_summary() if self.config.impressions else None
+        changed = self._named(batch).select("user", "product").distinct()
         for roles in (strengths.user_roles(self.config), strengths.product_roles(self.config)):
-            columns = schema.UU_STRENGTHS if roles.entity == "user" else schema.PP_STRENGTHS
-            targets = strengths.affected_targets(changed, summary, roles)
-            rows = strengths.strengths(summary, roles, self.config, shown, targets)
-            name = f"{roles.entity}_strengths"
-            self.tables.replace(name, columns, rows, targets, [roles.entity])
-            best = self.tables.read(name, columns).join(targets, roles.entity, "left_semi")
-            best = templates.user_templates(best, self.config) if roles.entity == "user" else templates.product_templates(best, self.config)
-            self.tables.replace(f"{roles.entity}_templates", schema.TEMPLATES, templates.cached(best, roles.entity), targets.select(F.col(roles.entity).alias("id")), ["id"])
+            targets = strengths.affected_targets(changed, self._named(self.summary()), roles)
+            self._strengths_of(roles, sinks.materialized(targets))
+
+    def _strengths_of(self, roles: strengths.Roles, targets: DataFrame) -> None:
+        """The targets' strengths from the summaries; lists of templates only where a strength that matters to them has changed."""
+        entity, columns = roles.entity, self._columns(roles.entity)
+        shown = self.impression_summary() if self.config.impressions else None
+        old = self.strengths(entity).join(targets, entity, "left_semi")
+        rows = sinks.materialized(strengths.strengths(self._named(self.summary()), roles, self.config, shown, targets))
+        size = self.config.user_templates if entity == "user" else 3 * self.config.product_templates
+        needed = sinks.materialized(strengths.consolidation_needed(self.templates(entity), rows, old, roles, size))
+        self.tables.replace(f"{entity}_strengths", columns, rows, targets, [entity])
+        self._consolidate(roles, needed)
+
+    def _consolidate(self, roles: strengths.Roles, targets: DataFrame) -> None:
+        entity = roles.entity
+        best = self.strengths(entity).join(targets, entity, "left_semi")
+        best = templates.user_templates(best, self.config) if entity == "user" else templates.product_templates(best, self.config)
+        self.tables.replace(f"{entity}_templates", schema.TEMPLATES, templates.cached(best, entity), targets.select(F.col(entity).alias("id")), ["id"])
 
     def expire(self, now, days: int = 30) -> None:
-        """Anonymous users' activities older than the time to live go, from the log and the summaries."""
-        prefix = self.config.anonymous_prefix
-        log = self.activities()
-        gone = log.where(scans.anonymous("user", prefix) & (F.col("created_at") < F.lit(now) - F.make_interval(days=F.lit(days))))
-        pairs = gone.select("user", "product").distinct()
-        kept = sinks.expire(log.withColumn("anonymous", scans.anonymous("user", prefix)), now, days)
-        stage = f"{self.tables.root}/_stage/activities"
-        kept.select(*schema.ACTIVITIES.fieldNames()).write.mode("overwrite").parquet(stage)
-        pairs.write.mode("overwrite").parquet(f"{self.tables.root}/_stage/expired")
-        self.tables._files.delete(self.tables._path(self.tables.path("activities")), True)
-        self.tables.log("activities", self.tables.spark.read.parquet(stage), -1)
-        pairs = self.tables.spark.read.parquet(f"{self.tables.root}/_stage/expired")
-        rows = summaries.activity_summary(self.activities().join(pairs, ["user", "product"], "left_semi"), self.config, named_only=False)
-        self.tables.replace("activity_summary", schema.SUMMARY, rows, pairs, ["user", "product"])
+        """Anonymous users' activities older than the time to live go, from the log and all that is made of it.
+
+        The log is replaced last: after a crash on the way, expire() does the same again. Popularity, strengths and templates
+        are made without anonymous users, so nothing there expires.
+        """
+        prefix, keys = self.config.anonymous_prefix, ["user", "product"]
+        log = self.activities().withColumn("anonymous", scans.anonymous("user", prefix))
+        kept = sinks.materialized(sinks.expire(log, now, days).select(*schema.ACTIVITIES.fieldNames()))
+        pairs = sinks.materialized(log.where(F.col("anonymous") & (F.col("created_at") < F.lit(now) - F.make_interval(days=F.lit(days)))).select(*keys).distinct())
+        rows = summaries.activity_summary(kept.join(pairs, keys, "left_semi"), self.config, named_only=False)
+        self.tables.replace("activity_summary", schema.SUMMARY, rows, pairs, keys)
         self._impressions_of(pairs)
+        self.tables.rewrite_log("activities", kept)
 
     # products
     def terms(self) -> DataFrame:
@@ -166,9 +236,19 @@ class Lanes:
         self.tables.replace("terms", schema.TERMS, rows, batch.select(F.col("external_id").alias("product")), ["product"])
 
     def delete_products(self, ids: DataFrame) -> None:
-        """Terms, and with them weights and similarities, of the products (external_id) go."""
-        touched = ids.select(F.col("external_id").alias("product"))
-        self.tables.replace("terms", schema.TERMS, self.tables.spark.createDataFrame([], schema.TERMS), touched, ["product"])
+        """The products (external_id) go from terms, popularity and strengths, and from the templates of all other products."""
+        gone = sinks.materialized(ids.select(F.col("external_id").alias("product")).distinct())
+        empty = lambda columns: self.tables.spark.createDataFrame([], columns)
+        self.tables.replace("terms", schema.TERMS, empty(schema.TERMS), gone, ["product"])
+        if self.tables.exists("popularity"):
+            self.tables.replace("popularity", schema.POPULARITY, empty(schema.POPULARITY), gone.select(F.col("product").alias("p_id")), ["p_id"])
+        if self.tables.exists("product_strengths"):
+            templates_gone = gone.select(F.col("product").alias("template_product"))
+            near = self.strengths("product").join(templates_gone, "template_product", "left_semi").select("product").unionByName(gone).distinct()
+            near = sinks.materialized(near)
+            left = self.strengths("product").join(near, "product", "left_semi").join(templates_gone, "template_product", "left_anti").join(gone, "product", "left_anti")
+            self.tables.replace("product_strengths", schema.PP_STRENGTHS, left, near, ["product"])
+            self._consolidate(strengths.product_roles(self.config), near)
 
     def weights(self, total: int) -> DataFrame:
         """tf-idf over all stored terms. Frequencies are recounted, so repeated products don't inflate them."""

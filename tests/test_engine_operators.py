@@ -251,6 +251,50 @@ def test_lanes_end_where_a_batch_run_does(spark, tmp_path, seed, with_impression
     assert same(lane.summary(), plans.Tables(config, log(spark, kept), imps, None).summary)
 
 
+def test_lanes_after_a_crash(spark, tmp_path, monkeypatch):
+    """a run that dies before or after any table is published, and is then tried again"""
+    rows = [x for x in made_log(6, 80) if x[2] != "unheard-of"]  # that type isn't logged
+    first, second = log(spark, rows[::2]), log(spark, rows[1::2])
+    t = plans.Tables(CONFIG, log(spark, rows), None, None)
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*a.columns).collect()))
+    publish = lanes.Tables.publish
+    for step in range(2):
+        lane = lanes.Lanes(lanes.Tables(spark, str(tmp_path / str(step)), 2), CONFIG)
+        lane.fast(first, 0)
+        before = sorted(map(tuple, lane.popularity().collect()))
+        left = [step]
+
+        def dies(self, *args, **more):
+            if not left[0]:
+                raise RuntimeError("lost")
+            left[0] -= 1
+            return publish(self, *args, **more)
+
+        monkeypatch.setattr(lanes.Tables, "publish", dies)
+        with pytest.raises(RuntimeError):
+            lane.fast(second, 1)
+        monkeypatch.setattr(lanes.Tables, "publish", publish)
+        assert sorted(map(tuple, lane.popularity().collect())) == before
+        lane.fast(second, 1)
+        assert same(lane.summary(), t.summary) and same(lane.popularity(), t.popularity)
+        monkeypatch.setattr(lanes.Tables, "rewrite_log", lambda *x: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            lane.expire(NOW, 10)
+        monkeypatch.undo()
+        assert lane.activities().count() == len(rows)  # nothing of the log is lost
+        lane.expire(NOW, 10)
+        lane.fast(first, 0)  # a batch that was merged into the base isn't logged again
+        kept = [x for x in rows if not (x[0].startswith("hmrtmp") and x[3] > 240)]
+        assert lane.activities().count() == len(kept)
+
+
+def test_a_product_of_all_users(spark):
+    rows = [(f"u{k}", "p0", "click", 1 + k % 9) for k in range(300)] + [(f"u{k}", f"p{1 + k % 3}", "purchase", 2) for k in range(0, 300, 10)]
+    t = plans.Tables(CONFIG, log(spark, rows), None, None)
+    assert t.uu.count() == 30 * 9 and t.pp.count() == 6
+    assert {(r.product, r.template_product): r.nc for r in t.pp.collect()}["p0", "p1"] == 10
+
+
 def test_streaming_source(spark, tmp_path):
     rows = made_log(4, 40)
     for k in range(2):
