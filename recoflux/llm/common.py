@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recoflux.sources.sinks import materialized
+
 #: Bytes of text that one numpy pass works on; a longer text is a pass of its own.
 SLAB = 1 << 18
 #: Bytes of an Arrow batch, where the session has Spark's default: what a Python worker holds at once.
@@ -23,19 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
-
-    Where that is unset, as in local tests, a temporary folder is made and kept
-    in the session's settings.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("recoflux.shared.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="recoflux-")
-        spark.conf.set("recoflux.shared.dir", folder)
-    return folder
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes, unless the session does so itself. Idle workers keep what they once held."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -49,11 +36,8 @@ def cut(df: DataFrame) -> DataFrame:
     The plan behind df ends there: a lost executor costs no more than the tasks
     that read the table, and what df held is fixed even where its order was not.
     """
-    spark = df.sparkSession
-    small_batches(spark)
-    path = f"{shared_dir(spark).rstrip('/')}/recoflux-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    small_batches(df.sparkSession)
+    return materialized(df)
 
 
 def hold_out(doc_id) -> "F.Column":

@@ -431,5 +431,6 @@ def test_jaccard_odd_rows(spark):
     assert jaccard.op10_jaccard(frame(spark, [])).count() == 0
 
 
-def test_shared_folder_is_the_sessions(spark):
-    assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+def test_cut_writes_to_the_sessions_folder(spark):
+    rows = common.cut(spark.range(5))
+    assert rows.count() == 5 and all(f.split(":", 1)[-1].startswith(spark.conf.get("spark.checkpoint.dir")) for f in rows.inputFiles())
