@@ -10,9 +10,10 @@ universe of shingles into m segments by hash. If t is the most shingles that lin
 sets of the scheme differ in, m = t + 1 + e segments have at least e + 1 in
 which the two agree.
 
-Allocation: of its m segment subsets a set indexes the t + 1 of least cost and skips e. A
-subset costs more the fewer shingles it has, for the fewer, the more sets
-share it; an empty one would be shared by most. Since all sets rank equal subsets
+Allocation: of its m segment subsets a set indexes the t + 1 of least cost and skips e. What a subset costs is
+how many sets share it. A pass over all sets counts subsets by hash in a table of fixed size; one
+that is shared far more than the mean costs more, by powers of two. Among equal costs, a
+subset of more shingles comes first; an empty one would be shared by most. Since all sets rank equal subsets
 equally, the best of the e + 1 agreeing subsets ranks above e others in
 both sets, so both index it, unless it is empty. A set with fewer than t + 1
 subsets that aren't empty indexes all it has, and their one-deletion neighbourhoods
@@ -26,12 +27,13 @@ link, and is then verified with the whole sets. First each set of an entry
 is tried with the entry's smallest id. Then, in entries of three or more, all
 pairs are tried whose sets aren't known to be connected yet; pairs within a
 known component could add nothing. So no link between components is
-lost, and a large group of near copies costs few trials.
+lost, and a large group of near copies costs few trials. The sets of a large
+entry are dealt into cells, and pairs of cells are tried apart, so that no task holds more than two.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,10 @@ SHINGLE = 5
 SLACK = 0.5
 #: Bits of a set's sketch.
 SKETCH = 1024
+#: Bits of a subset's hash by which subsets are counted.
+COUNTED = 18
+#: Sets of a cell of an entry, about.
+CELL = 2048
 
 
 def bands(largest: int) -> np.ndarray:
@@ -104,8 +110,8 @@ class Sets:
         return out[0], out[1]
 
 
-def entries(sets: Sets, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, texts): the index entries of the chosen texts, none of which is empty."""
+def entries(sets: Sets, chosen: np.ndarray, cost: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, texts): the index entries of the chosen texts, none of which is empty; without cost, all their subsets."""
     keys, owners = [], []
     if not len(chosen):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -114,13 +120,13 @@ def entries(sets: Sets, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     band = np.searchsorted(least, sets.sizes[chosen], "right") - 1
     for down in (0, 1):
         take = band >= down
-        k, o = scheme_entries(sets, chosen[take], band[take] - down, apart)
+        k, o = scheme_entries(sets, chosen[take], band[take] - down, apart, cost)
         keys.append(k)
         owners.append(o)
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def scheme_entries(sets: Sets, texts: np.ndarray, band: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def scheme_entries(sets: Sets, texts: np.ndarray, band: np.ndarray, apart: np.ndarray, cost: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     sizes = sets.sizes[texts]
     need = apart[band] + 1
     m = need + np.ceil(SLACK * need).astype(np.int64)
@@ -146,8 +152,10 @@ def scheme_entries(sets: Sets, texts: np.ndarray, band: np.ndarray, apart: np.nd
         return mix(mix(sums + names) + counts.astype(np.uint64))
 
     keys = key(total, name, count)
-    # Rank each text's subsets: larger first, then by content, which is the same for both of two agreeing sets.
-    rank = np.lexsort((keys, -count, owner))
+    if cost is None:
+        return keys, texts[owner]
+    # Rank each text's subsets: cheaper first, then larger, then by content, which all are the same for both of two agreeing sets.
+    rank = np.lexsort((keys, -count, cost[(keys >> np.uint64(64 - COUNTED)).astype(np.int64)], owner))
     have = np.bincount(owner, minlength=len(texts))
     place = np.empty(len(rank), np.int64)
     place[rank] = np.arange(len(rank)) - np.repeat(np.cumsum(have) - have, have)
@@ -178,31 +186,63 @@ def rows_of(kind: int, key, more, doc, n=None, sketch=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*longs, pa.array(np.full(size, kind), pa.int32()), pa.array(sketch if sketch is not None else [None] * size, pa.binary())], names=["key", "more", "doc_id", "n", "kind", "sketch"])
 
 
-def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def leads_of(ids: list, sets: Sets) -> tuple[np.ndarray, ...]:
+    """(docs, named, one, two, first, leads): ids, which there are, the sets' digests, for each the first text with an
+    equal set, and which texts lead, that is, are the first of a set that isn't empty."""
+    docs = np.array([-1 if x is None else x for x in ids], np.int64)
+    named = np.array([x is not None for x in ids], bool)
+    one, two = sets.digests()
+    by = np.lexsort((docs, ~named, two, one))
+    new = np.concatenate([[True], (one[by][1:] != one[by][:-1]) | (two[by][1:] != two[by][:-1])])
+    first = np.empty(len(by), np.int64)
+    first[by] = by[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return docs, named, one, two, first, (first == np.arange(len(by))) & named & (sets.sizes > 0)
+
+
+def shared_subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slot, n): how many subsets of all sets have each of 2**COUNTED hash values; one row a task and slot."""
+    total = np.zeros(1 << COUNTED, np.int64)
+    for batch in batches:
+        for ids, data, bounds in byte_slabs(batch, 1 << 20):
+            sets = Sets(data, bounds)
+            keys, _ = entries(sets, np.flatnonzero(leads_of(ids, sets)[-1]), None)
+            total += np.bincount((keys >> np.uint64(64 - COUNTED)).astype(np.int64), minlength=len(total))
+    slot = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], names=["slot", "n"])
+
+
+def costs(texts: DataFrame) -> np.ndarray:
+    """By slot, 0 where it is near the mean, else the power of two by which it is above. Only slots above it come to the driver (at most half of them)."""
+    counts = cut(texts.transform(map_arrow, shared_subsets, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")))
+    mean = (counts.agg(F.sum("n")).first()[0] or 0) / (1 << COUNTED)
+    out = np.zeros(1 << COUNTED, np.int8)
+    for r in counts.where(F.col("n") >= 2 * mean).where("n > 0").toLocalIterator():
+        out[r.slot] = int(np.log2(r.n / mean))
+    return out
+
+
+def index_rows(cost) -> Callable:
     """For each text its set's size and sketch (SET, under the set's digests, or UNNAMED without doc_id), and index entries (ENTRY).
 
     Of equal sets in a slab only the smallest doc_id is indexed and meets
     others; the rest are tied to it at once (EDGE, doc_id to more).
     """
-    for batch in batches:
-        for ids, data, bounds in byte_slabs(batch, 1 << 20):
-            docs = np.array([-1 if x is None else x for x in ids], np.int64)
-            named = np.array([x is not None for x in ids], bool)
-            sets = Sets(data, bounds)
-            one, two = sets.digests()
-            by = np.lexsort((docs, ~named, two, one))
-            new = np.concatenate([[True], (one[by][1:] != one[by][:-1]) | (two[by][1:] != two[by][:-1])])
-            first = np.empty(len(by), np.int64)
-            first[by] = by[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            leads = (first == np.arange(len(by))) & named & (sets.sizes > 0)
-            key = np.where(leads, one, mix(docs.view(np.uint64)).view(np.int64))
-            sketches = sets.sketches()
-            for kind, which in ((SET, np.flatnonzero(named)), (UNNAMED, np.flatnonzero(~named))):
-                yield rows_of(kind, key[which], two[which], docs[which], sets.sizes[which], [sketches[i].tobytes() for i in which])
-            tied = np.flatnonzero(~leads & named & (sets.sizes > 0) & (docs[first] != docs))
-            yield rows_of(EDGE, mix(docs[tied].view(np.uint64)).view(np.int64), docs[first[tied]], docs[tied])
-            keys, texts = entries(sets, np.flatnonzero(leads))
-            yield rows_of(ENTRY, keys.view(np.int64), None, docs[texts])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, data, bounds in byte_slabs(batch, 1 << 20):
+                sets = Sets(data, bounds)
+                docs, named, one, two, first, leads = leads_of(ids, sets)
+                key = np.where(leads, one, mix(docs.view(np.uint64)).view(np.int64))
+                sketches = sets.sketches()
+                for kind, which in ((SET, np.flatnonzero(named)), (UNNAMED, np.flatnonzero(~named))):
+                    yield rows_of(kind, key[which], two[which], docs[which], sets.sizes[which], [sketches[i].tobytes() for i in which])
+                tied = np.flatnonzero(~leads & named & (sets.sizes > 0) & (docs[first] != docs))
+                yield rows_of(EDGE, mix(docs[tied].view(np.uint64)).view(np.int64), docs[first[tied]], docs[tied])
+                keys, texts = entries(sets, np.flatnonzero(leads), cost.value)
+                yield rows_of(ENTRY, keys.view(np.int64), None, docs[texts])
+
+    return run
 
 
 def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,17 +305,18 @@ def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def unconnected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over partitions sorted by key, of (key, doc_id, label, n, sketch): pairs of an entry's sets with unlike labels that may be linked.
+    """Over partitions sorted by (key, cells), of (key, cells, cell, doc_id, label, n, sketch): pairs of sets with unlike labels that may be linked.
 
-    An entry whose sets have one label gives none. Pairs are tried a row of sets at a time.
+    A group is a cell of an entry, or two cells of it, of which pairs across are tried, a row of sets at a time. One whose sets have one label gives none.
     """
 
     def tried(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        _, doc, label, n, sketch = rows
+        _, _, cell, doc, label, n, sketch = rows
         if (label == label[0]).all():
             return
         by = np.argsort(n, kind="stable")
-        doc, label, n, sketch = doc[by], label[by], n[by], sketch[by]
+        cell, doc, label, n, sketch = cell[by], doc[by], label[by], n[by], sketch[by]
+        across = (cell != cell[0]).any()
         upto = np.searchsorted(n, n * 5 // 4, "right")
         step = max(1, 50_000 // len(doc))
         for i in range(0, len(doc), step):
@@ -283,7 +324,7 @@ def unconnected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count = upto[rows_] - rows_ - 1
             a = np.repeat(rows_, count)
             b = a + 1 + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            apart = label[a] != label[b]
+            apart = (label[a] != label[b]) & ((cell[a] != cell[b]) | (not across))
             a, b = a[apart], b[apart]
             ok = may_link(n[a], n[b], sketch[a], sketch[b])
             a, b = doc[a[ok]], doc[b[ok]]
@@ -294,10 +335,10 @@ def unconnected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not len(batch):
             continue
-        rows = [batch.column(k).to_numpy() for k in range(4)] + [sketch_rows(batch.column(4))]
+        rows = [batch.column(k).to_numpy() for k in range(6)] + [sketch_rows(batch.column(6))]
         if held is not None:
             rows = [np.concatenate([x, y]) for x, y in zip(held, rows)]
-        cuts = np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1
+        cuts = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) + 1
         edges = [0, *cuts.tolist()]
         for x, y in zip(edges[:-1], edges[1:]):
             yield from tried([r[x:y] for r in rows])
@@ -306,6 +347,14 @@ def unconnected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from tried(held)
 
 
+def in_cells(groups: DataFrame, sizes: DataFrame) -> DataFrame:
+    """groups (key, doc_id, ...) with cell and cells: each row once for every pair of cells that its own is in. sizes: key and n of each entry."""
+    sizes = sizes.select("key", F.ceil(F.col("n") / CELL).cast("long").alias("_cells"))
+    rows = groups.join(sizes.hint("merge"), "key").withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.col("_cells")))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cells") - 1)))
+    return rows.withColumn("cells", F.least("cell", "_other") * F.col("_cells") + F.greatest("cell", "_other")).drop("_cells", "_other")
+
+
 def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, shingles): each text's set as sorted 64-bit hashes."""
     for batch in batches:
@@ -369,11 +418,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     with fewer words the whole sequence is the one shingle. A text without words, or null, is
     empty and linked with nothing. component_id is the least doc_id
     reachable by links, itself included. Rows that repeat a doc_id are one
-    document with several sets; a row without doc_id has no component (null). Shingles are
+    document with several sets; a row without doc_id has no component (null). Texts are taken whole, however
+    long; an empty table gives an empty table. Shingles are
     64-bit hashes; equal sets are told by 128-bit digests.
     """
     texts = ids_and_texts(docs)
-    rows = texts.transform(map_arrow, index_rows, ROW).repartition("key").sortWithinPartitions("key", "kind", "more", "doc_id")
+    cost = texts.sparkSession.sparkContext.broadcast(costs(texts))
+    rows = texts.transform(map_arrow, index_rows(cost), ROW).repartition("key").sortWithinPartitions("key", "kind", "more", "doc_id")
     met = cut(rows.transform(map_arrow, meet, ROW))
     sets = met.where(F.col("kind") == SET).select("doc_id", "n", "sketch")
     edges = met.where(F.col("kind") == EDGE).select(F.col("doc_id").alias("a"), F.col("more").alias("b"))
@@ -384,9 +435,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     edges = edges.unionByName(cut(verified(texts, cut(pairs))))
     labels = cut(components(edges))
     groups = met.where(F.col("kind") == GROUP).select("key", "doc_id").join(labels.hint("merge"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    mixed = groups.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    groups = groups.join(mixed.hint("merge"), "key", "left_semi").join(sets.hint("merge"), "doc_id").select("key", "doc_id", "label", "n", "sketch")
-    more = groups.repartition("key").sortWithinPartitions("key").transform(map_arrow, unconnected, "a long, b long").distinct()
+    mixed = groups.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("key", "n")
+    groups = in_cells(groups, mixed).join(sets.hint("merge"), "doc_id").select("key", "cells", "cell", "doc_id", "label", "n", "sketch")
+    more = groups.repartition("key", "cells").sortWithinPartitions("key", "cells").transform(map_arrow, unconnected, "a long, b long").distinct()
     more = cut(verified(texts, cut(more)))
     named = labels.select(F.col("doc_id"), "label")
     again = more.join(named.select(F.col("doc_id").alias("a"), F.col("label").alias("l_a")), "a", "left").join(named.select(F.col("doc_id").alias("b"), F.col("label").alias("l_b")), "b", "left")
@@ -404,6 +455,7 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
 
 
 def op10_jaccard(docs: DataFrame) -> DataFrame:
+    """Components of near duplicates; nulls, empty and long texts, ties, repeats and empty tables as near_duplicates() says."""
     return near_duplicates(docs)
 
 

@@ -402,8 +402,9 @@ def components_of(docs):
     return {d: (len(sets[d]), root(d)) for d in ids}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard(spark, seed):
+@pytest.mark.parametrize("seed, cell", [(1, 2048), (2, 3)])
+def test_jaccard(spark, seed, cell, monkeypatch):
+    monkeypatch.setattr(jaccard, "CELL", cell)
     r = random.Random(seed)
     texts = mutated(prose(seed, 40, 120), seed) + [None, "", "one", "ONE", "one two", "one  Two"]
     base = prose(seed + 50, 1, 300)[0].split() + ["w"] * 3
