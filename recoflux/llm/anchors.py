@@ -30,10 +30,11 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recoflux.llm.common import Rolling, byte_slabs, cut, map_arrow, mix
+from recoflux.llm.common import ARROW_BYTES, Rolling, byte_slabs, cut, forget, map_arrow, mix
 
 #: Bytes of contexts that a block takes, and that a group keeps from run to run before it is split.
 BLOCK, GROUP = 1 << 19, 1 << 21
@@ -201,8 +202,8 @@ def recurring(what: Windows) -> Callable:
 
 
 #: A context: its windows (n from `at`, and from each place of `more` in the same document) and its content: symbols as bytes, words joined by a space.
-#: Without content, windows that occur before. again: what goes into another round.
-CONTEXT = "h long, doc_id long, at long, n long, more array<long>, content binary, again boolean"
+#: Without content, windows that occur before.
+CONTEXT = "h long, doc_id long, at long, n long, more array<long>, content binary"
 
 
 @dataclass
@@ -215,24 +216,23 @@ class Context:
     more: list = field(default_factory=list)
 
 
-def context_batch(contexts: list[Context], again: bool = False) -> pa.RecordBatch:
-    size = len(contexts)
+def context_batch(contexts: list[Context]) -> pa.RecordBatch:
     longs = [pa.array([getattr(x, k) for x in contexts], pa.int64()) for k in ("h", "doc", "at", "n")]
-    return pa.RecordBatch.from_arrays([*longs, pa.array([x.more for x in contexts], pa.list_(pa.int64())), pa.array([x.content for x in contexts], pa.binary()), pa.array([again] * size)], names=["h", "doc_id", "at", "n", "more", "content", "again"])
+    return pa.RecordBatch.from_arrays([*longs, pa.array([x.more or None for x in contexts], pa.list_(pa.int64())), pa.array([x.content for x in contexts], pa.binary())], names=["h", "doc_id", "at", "n", "more", "content"])
 
 
 def settled_batch(what: Windows, doc, first, last) -> pa.RecordBatch:
     """Windows first..last of documents, which occur before, with ranges that touch or overlap made one."""
     d, a, b = merged(np.array(doc, np.int64), np.array(first, np.int64), np.array(last, np.int64) + what.width)
     size = len(d)
-    return pa.RecordBatch.from_arrays([pa.array(d), pa.array(d), pa.array(a), pa.array(b - a - what.width + 1), pa.nulls(size, pa.list_(pa.int64())), pa.nulls(size, pa.binary()), pa.array(np.zeros(size, bool))], names=["h", "doc_id", "at", "n", "more", "content", "again"])
+    return pa.RecordBatch.from_arrays([pa.array(d), pa.array(d), pa.array(a), pa.array(b - a - what.width + 1), pa.nulls(size, pa.list_(pa.int64())), pa.nulls(size, pa.binary())], names=["h", "doc_id", "at", "n", "more", "content"])
 
 
 def context_rows(what: Windows) -> Callable:
-    """Step 3. For texts (doc_id, text, asked: h, at and n of each) their contexts."""
+    """Step 3. For texts (doc_id, packed text, asked: h, at and n of each) their contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in unpacked(batches):
             lists = batch.column(2)
             size = np.asarray(lists.value_lengths())
             flat = lists.flatten()
@@ -309,8 +309,8 @@ def blocks(what: Windows, level: int, block_size: int = BLOCK, group_size: int =
             if pa.compute.any(done).as_py():
                 yield batch.filter(done)
                 batch = batch.filter(pa.compute.invert(done))
-            for h, doc, at, n, more, content, _ in zip(*(c.to_pylist() for c in batch.columns)):
-                x = Context(h, doc, at, n, content, more)
+            for h, doc, at, n, more, content in zip(*(c.to_pylist() for c in batch.columns)):
+                x = Context(h, doc, at, n, content, more or [])
                 if group and group[0].h != h:
                     if old:
                         yield from looked_at(group, old)[1]
@@ -322,7 +322,7 @@ def blocks(what: Windows, level: int, block_size: int = BLOCK, group_size: int =
                         yield from looked_at(block)[1]
                         block, in_block = [], 0
                 if h == split:
-                    yield context_batch(list(parts(what, [x], level + 1)), True)
+                    yield context_batch(list(parts(what, [x], level + 1)))
                     continue
                 group.append(x)
                 in_group += len(content)
@@ -334,7 +334,7 @@ def blocks(what: Windows, level: int, block_size: int = BLOCK, group_size: int =
                     if kept > group_size and old > 1:
                         split = h
                         for y in group:
-                            yield context_batch(list(parts(what, [y], level + 1)), True)
+                            yield context_batch(list(parts(what, [y], level + 1)))
                         group, in_group, old, kept = [], 0, 0, 0
         if old:
             yield from looked_at(group, old)[1]
@@ -364,6 +364,37 @@ def numbered(docs: DataFrame, carry: bool = False) -> DataFrame:
     return rows.join(places, ["doc_id", "_h"], "left").drop("_h").withColumn("row", F.coalesce("row", F.lit(0).cast("long")))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, packed): the texts compressed, for when they are sent to meet what is known of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([press.compress(t) for t in texts], pa.binary())], names=["doc_id", "row", "packed"])
+
+    return docs.select("doc_id", "row", "text").transform(map_arrow, run, "doc_id long, row long, packed binary")
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with the packed texts of column 1 as bytes, about ARROW_BYTES of them at a time (or one text)."""
+    open_ = zstandard.ZstdDecompressor()
+    for batch in batches:
+        texts, size, first = [], 0, 0
+        for k, data in enumerate(batch.column(1).to_pylist()):
+            texts.append(open_.decompress(data))
+            size += len(texts[-1])
+            if size > ARROW_BYTES or k == len(batch) - 1:
+                part = batch.slice(first, k + 1 - first)
+                yield part.set_column(1, "text", pa.array(texts, pa.large_binary()))
+                texts, size, first = [], 0, k + 1
+
+
+def texts_and_ranges(docs: DataFrame, what: Windows) -> DataFrame:
+    """(doc_id, packed, ranges) of every row of numbered() docs."""
+    return packed(docs).join(earlier_windows(docs, what).hint("merge"), ["doc_id", "row"], "left").select("doc_id", "packed", "ranges")
+
+
 def earlier_windows(docs: DataFrame, what: Windows) -> DataFrame:
     """doc_id, row and ranges: array of (at, to) in symbols, which cover exactly the windows that occur before.
 
@@ -374,13 +405,13 @@ def earlier_windows(docs: DataFrame, what: Windows) -> DataFrame:
     rows = texts.transform(map_arrow, extract(what), ROW)
     rows = rows.repartition(F.when(F.col("kind") == ASK, F.col("doc_id")).otherwise(F.col("h"))).sortWithinPartitions("h", "kind", "doc_id", "at")
     asked = rows.transform(map_arrow, recurring(what), ROW).groupBy("doc_id", of).agg(F.collect_list(F.struct("h", "at", "n")).alias("asked"))
-    contexts = texts.join(asked.hint("merge"), ["doc_id", "row"]).select("doc_id", "text", "asked").transform(map_arrow, context_rows(what), CONTEXT)
+    contexts = packed(texts).join(asked.hint("merge"), ["doc_id", "row"]).select("doc_id", "packed", "asked").transform(map_arrow, context_rows(what), CONTEXT)
     found, level = [], 0
     while True:
         met = contexts.repartition(F.when(F.col("content").isNull(), F.col("doc_id")).otherwise(F.col("h"))).sortWithinPartitions("h", "doc_id", "at")
-        met = cut(met.transform(map_arrow, blocks(what, level), CONTEXT))
+        met = forget(cut(met.transform(map_arrow, blocks(what, level), CONTEXT)))
         found.append(met.where("content IS NULL").select("doc_id", "at", "n"))
-        contexts, level = met.where("again"), level + 1
+        contexts, level = met.where("content IS NOT NULL"), level + 1
         if not contexts.limit(1).count():
             break
     found = reduce(DataFrame.unionByName, found)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,6 +41,13 @@ def cut(df: DataFrame) -> DataFrame:
     return materialized(df)
 
 
+def forget(df: DataFrame) -> DataFrame:
+    """df; what the driver no longer refers to goes, and with it the shuffle files of the steps that made df, which it doesn't need."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return df
+
+
 def hold_out(doc_id) -> "F.Column":
     """crc32 of the id written as text, mod 3, is 1: rows that no model learns from."""
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1, F.lit(False))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recoflux.llm.anchors import Context, Windows, earlier_windows, mask_of, numbered
+from recoflux.llm.anchors import Context, Windows, earlier_windows, mask_of, numbered, texts_and_ranges, unpacked
 from recoflux.llm.common import Rolling, Words, map_arrow, mix
 
 WIDTH, GRAM = 50, 12
@@ -79,8 +79,8 @@ def settle(contexts: list[Context]) -> Iterator[tuple[int, int, int]]:
 PASSAGES = Windows(WIDTH, GRAM, as_words, own=False, settle=settle)
 
 
-def words_left(text: str | None, ranges) -> tuple[list[bytes], np.ndarray]:
-    words = (text or "").encode().split()  # bytes are split at \x20 and \x09-\x0D alone
+def words_left(text: bytes, ranges) -> tuple[list[bytes], np.ndarray]:
+    words = text.split()  # bytes are split at \x20 and \x09-\x0D alone
     return words, mask_of(ranges, len(words))
 
 
@@ -94,7 +94,7 @@ def op8_substring_dedup(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in unpacked(batches):
             n_words, n_removed, kept = [], [], []
             for text, ranges in zip(*(batch.column(k).to_pylist() for k in (1, 2))):
                 words, mask = words_left(text, ranges)
@@ -105,9 +105,7 @@ def op8_substring_dedup(docs: DataFrame) -> DataFrame:
                 kept.append(hashlib.sha256(b" ".join(words)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    docs = numbered(docs)
-    rows = docs.join(earlier_windows(docs, PASSAGES).hint("merge"), ["doc_id", "row"], "left")
-    rows = rows.select("doc_id", "text", "ranges")
+    rows = texts_and_ranges(numbered(docs), PASSAGES)
     return rows.transform(map_arrow, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -122,7 +120,7 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     def left(texts: pd.Series, ranges: pd.Series) -> pd.Series:
         out = []
         for text, r in zip(texts, ranges):
-            words, mask = words_left(text, r)
+            words, mask = words_left((text or "").encode(), r)
             out.append(b" ".join([w for w, gone in zip(words, mask.tolist()) if not gone]).decode())
         return pd.Series(out, dtype=object)
 

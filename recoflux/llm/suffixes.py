@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from recoflux.llm.anchors import Context, Windows, earlier_windows, mask_of, numbered
+from recoflux.llm.anchors import Context, Windows, mask_of, numbered, texts_and_ranges, unpacked
 from recoflux.llm.common import BYTE_SYMBOLS, map_arrow
 
 WIDTH, GRAM = 100, 32
@@ -181,10 +181,10 @@ def op5_suffix_dedup(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in unpacked(batches):
             n_bytes, n_removed, n_spans, kept = [], [], [], []
             for text, ranges in zip(*(batch.column(k).to_pylist() for k in (1, 2))):
-                data = np.frombuffer((text or "").encode(), np.uint8)
+                data = np.frombuffer(text, np.uint8)
                 mask = mask_of(ranges, len(data))
                 n_bytes.append(len(data))
                 n_removed.append(int(mask.sum()))
@@ -192,7 +192,5 @@ def op5_suffix_dedup(docs: DataFrame) -> DataFrame:
                 kept.append(hashlib.sha256(data[~mask].tobytes()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)), pa.array(kept, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    docs = numbered(docs)
-    rows = docs.join(earlier_windows(docs, REPEATS).hint("merge"), ["doc_id", "row"], "left")
-    rows = rows.select("doc_id", "text", "ranges")
+    rows = texts_and_ranges(numbered(docs), REPEATS)
     return rows.transform(map_arrow, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
