@@ -395,6 +395,68 @@ def texts_and_ranges(docs: DataFrame, what: Windows) -> DataFrame:
     return packed(docs).join(earlier_windows(docs, what).hint("merge"), ["doc_id", "row"], "left").select("doc_id", "packed", "ranges")
 
 
+def asked_contexts(docs: DataFrame, what: Windows) -> DataFrame:
+    """Steps 1 to 3."""
+    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", "row")
+    rows = texts.transform(map_arrow, extract(what), ROW)
+    rows = rows.repartition(F.when(F.col("kind") == ASK, F.col("doc_id")).otherwise(F.col("h"))).sortWithinPartitions("h", "kind", "doc_id", "at")
+    asked = rows.transform(map_arrow, recurring(what), ROW).groupBy("doc_id", F.shiftright("at", PLACE).alias("row")).agg(F.collect_list(F.struct("h", "at", "n")).alias("asked"))
+    contexts = packed(texts).join(asked.hint("merge"), ["doc_id", "row"]).select("doc_id", "packed", "asked")
+    return contexts.transform(map_arrow, context_rows(what), CONTEXT)
+
+
+def met_contexts(contexts: DataFrame, what: Windows, level: int) -> DataFrame:
+    """Steps 4 and 5, written."""
+    met = contexts.repartition(F.when(F.col("content").isNull(), F.col("doc_id")).otherwise(F.col("h"))).sortWithinPartitions("h", "doc_id", "at")
+    return cut(met.transform(map_arrow, blocks(what, level), CONTEXT))
+
+
+def earlier_windows(docs: DataFrame, what: Windows) -> DataFrame:
+    """doc_id, row and ranges: array of (at, to) in symbols, which cover exactly the windows that occur before.
+
+    Texts of one doc_id are in order of row; where own is false they remove nothing from each other.
+    """
+    rounds = [met_contexts(asked_contexts(docs, what), what, 0)]
+    while rounds[-1].where("content IS NOT NULL").limit(1).count():
+        rounds.append(met_contexts(rounds[-1].where("content IS NOT NULL"), what, len(rounds)))
+    forget(rounds[-1])
+    found = reduce(DataFrame.unionByName, rounds).where("content IS NULL")
+    inside = lambda c, name: c.bitwiseAND(F.lit(INSIDE)).alias(name)
+    ranges = F.collect_list(F.struct(inside(F.col("at"), "at"), inside(F.col("at") + F.col("n") - 1 + what.width, "to")))
+    return found.groupBy("doc_id", F.shiftright("at", PLACE).alias("row")).agg(ranges.alias("ranges"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, packed): the texts compressed, for when they are sent to meet what is known of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([press.compress(t) for t in texts], pa.binary())], names=["doc_id", "row", "packed"])
+
+    return docs.select("doc_id", "row", "text").transform(map_arrow, run, "doc_id long, row long, packed binary")
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with the packed texts of column 1 as bytes, about ARROW_BYTES of them at a time (or one text)."""
+    open_ = zstandard.ZstdDecompressor()
+    for batch in batches:
+        texts, size, first = [], 0, 0
+        for k, data in enumerate(batch.column(1).to_pylist()):
+            texts.append(open_.decompress(data))
+            size += len(texts[-1])
+            if size > ARROW_BYTES or k == len(batch) - 1:
+                part = batch.slice(first, k + 1 - first)
+                yield part.set_column(1, "text", pa.array(texts, pa.large_binary()))
+                texts, size, first = [], 0, k + 1
+
+
+def texts_and_ranges(docs: DataFrame, what: Windows) -> DataFrame:
+    """(doc_id, packed, ranges) of every row of numbered() docs."""
+    return packed(docs).join(earlier_windows(docs, what).hint("merge"), ["doc_id", "row"], "left").select("doc_id", "packed", "ranges")
+
+
 def earlier_windows(docs: DataFrame, what: Windows) -> DataFrame:
     """doc_id, row and ranges: array of (at, to) in symbols, which cover exactly the windows that occur before.
 

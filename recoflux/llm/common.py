@@ -42,9 +42,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def forget(df: DataFrame) -> DataFrame:
-    """df; what the driver no longer refers to goes, and with it the shuffle files of the steps that made df, which it doesn't need."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    """df, a table; what the driver no longer refers to goes, and with it the shuffle files of the steps that made df, which it doesn't need."""
+    for _ in range(2):  # what the first leaves unreachable goes with the second
+        gc.collect()
+        df.limit(0).collect()
+        df.sparkSession._jvm.System.gc()
     return df
 
 
