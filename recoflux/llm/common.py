@@ -17,6 +17,8 @@ from recoflux.sources.sinks import materialized
 SLAB = 1 << 18
 #: Bytes of an Arrow batch, where the session has Spark's default: what a Python worker holds at once.
 ARROW_BYTES = 4 << 20
+#: Bytes of a batch that goes back, about.
+OUT_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,11 +72,19 @@ def give_back() -> None:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow; a worker gives its memory back when its task is done."""
+    """mapInArrow; batches go out in parts of about OUT_BYTES, and a worker gives its memory back now and then and when its task is done."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = 0
         try:
-            yield from fn(batches)
+            for batch in fn(batches):
+                step = max(1, len(batch) * OUT_BYTES // max(1, batch.nbytes))
+                for k in range(0, len(batch), step):
+                    yield batch.slice(k, step)
+                sent += batch.nbytes
+                if sent > 16 * OUT_BYTES:
+                    give_back()
+                    sent = 0
         finally:
             give_back()
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from recoflux.llm.common import Rolling, Words, map_arrow, mix
 
 WIDTH, GRAM = 50, 12
 #: Phrases of an automaton at most; more phrases are more automata.
-SHARD = 10_000
+SHARD = 5_000
 
 
 def as_words(data: np.ndarray, bounds: np.ndarray):
@@ -50,30 +51,27 @@ def settle(contexts: list[Context]) -> Iterator[tuple[int, int, int]]:
     recurs = at[by][first[doc[first] < doc[last]]]
     words = flat.astype(np.int64).tolist()
     texts = [tuple(x) for x in texts]
-    later: list[set[int]] = [set() for _ in contexts]
+    later = [np.zeros((2, 0), np.int64)]  # (context, offset) of occurrences in later documents
     for k in range(0, len(recurs), SHARD):
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for j in recurs[k : k + SHARD].tolist():
-            automaton.add_word(tuple(words[j : j + WIDTH]), j)
+        for number, j in enumerate(recurs[k : k + SHARD].tolist()):
+            automaton.add_word(tuple(words[j : j + WIDTH]), number)
         automaton.make_automaton()
-        located = [(phrase, i, end - WIDTH + 1) for i, text in enumerate(texts) for end, phrase in automaton.iter(text)]
-        least: dict[int, int] = {}
-        for phrase, i, _ in located:
-            least[phrase] = min(least.get(phrase, contexts[i].doc), contexts[i].doc)
-        for phrase, i, offset in located:
-            if least[phrase] < contexts[i].doc:
-                later[i].add(offset)
-    for i, offsets in enumerate(later):
-        run = None
-        for p in sorted(offsets):
-            if run and p == run[1] + 1:
-                run[1] = p
-            else:
-                if run:
-                    yield i, *run
-                run = [p, p]
-        if run:
-            yield i, *run
+        located = array("q")
+        for i, text in enumerate(texts):
+            for end, phrase in automaton.iter(text):
+                located.extend((phrase, i, end - WIDTH + 1))
+        del automaton
+        phrase, i, offset = np.frombuffer(located, np.int64).reshape(-1, 3).T if located else np.zeros((3, 0), np.int64)
+        least = np.full(SHARD, np.iinfo(np.int64).max)
+        np.minimum.at(least, phrase, docs[i])
+        late = least[phrase] < docs[i]
+        later.append(np.stack([i[late], offset[late]]))
+    i, offset = np.unique(np.concatenate(later, axis=1), axis=1)
+    if len(i):
+        new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (offset[1:] != offset[:-1] + 1)]))
+        last = np.concatenate([new[1:], [len(i)]]) - 1
+        yield from zip(i[new].tolist(), offset[new].tolist(), offset[last].tolist())
 
 
 PASSAGES = Windows(WIDTH, GRAM, as_words, own=False, settle=settle)
