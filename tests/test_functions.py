@@ -74,23 +74,23 @@ def test_dates(spark):
 
 
 def test_tokenize(spark):
-    found = value(spark, text.tokenize(F.lit("The car is going to Mountain View. You! You                             should go too... Or, maybe, shouldn't!?")))
-    assert found == "The car is going to Mountain View You You should go too Or maybe shouldn ' t".split()
-    assert value(spark, text.tokenize(F.lit("coração é #1"))) == ["coração", "é", "#", "1"]
+    found = value(spark, text.tokenize(F.lit("Seven ships,   two harbours. Wait!? They won't\tstop...")))
+    assert found == "Seven ships two harbours Wait They won ' tstop".split()  # a tab is deleted, not a blank
+    assert value(spark, text.tokenize(F.lit("ação é #7"))) == ["ação", "é", "#", "7"]
 
 
 def test_stop_words(spark):
-    words = F.array(*[F.lit(w) for w in "The car is going to crash or going to win".split()])
-    assert value(spark, text.remove_stop_words(words, F.lit("english"), 3)) == "The car going crash going win".split()
-    assert value(spark, text.remove_stop_words(words, F.lit("klingon"), 3)) == "The car is going to crash or going to win".split()
+    words = F.array(*[F.lit(w) for w in "A storm was near but no ship had sunk".split()])
+    assert value(spark, text.remove_stop_words(words, F.lit("english"), 3)) == "storm near ship sunk".split()
+    assert value(spark, text.remove_stop_words(words, F.lit("klingon"), 3)) == "A storm was near but no ship had sunk".split()
 
 
 @pytest.mark.parametrize(
     "language, document, expected",
     [
-        ("english", "Cooks who don't love cooking don't cook well.", {"cook": 3, "love": 1, "well": 1}),
-        ("portuguese", "Eu não gostava do gosto gasto do gesto de agosto.", {"gost": 2, "gast": 1, "gest": 1, "agost": 1}),
-        ("", "The the cat", {"the": 2, "cat": 1}),
+        ("english", "Sailors who can't sail keep sailing; they sail daily.", {"sail": 3, "sailor": 1, "keep": 1, "daili": 1}),
+        ("portuguese", "Os barcos pequenos cantavam no porto; o barco cantava.", {"barc": 2, "pequen": 1, "cant": 2, "port": 1}),
+        ("", "An an oar", {"an": 2, "oar": 1}),
     ],
 )
 def test_term_counts(spark, language, document, expected):
@@ -99,8 +99,8 @@ def test_term_counts(spark, language, document, expected):
 
 
 def test_common_terms(spark):
-    a, b = (text.text_to_stems(F.lit(t), F.lit("english"), 1) for t in ("Just a test sentence for the purpose of just testing common terms counting.", "This is just a sentence for tests purposes."))
-    assert value(spark, text.common_terms(a, b)) == 3
+    a, b = (text.text_to_stems(F.lit(t), F.lit("english"), 1) for t in ("Our harbour pilots guide heavy ships into harbours.", "A pilot guided one ship to the harbour."))
+    assert value(spark, text.common_terms(a, b)) == 4
     assert value(spark, text.common_terms(a, F.lit(None).cast("array<string>"))) == 0
 
 
