@@ -434,4 +434,4 @@ def test_jaccard_odd_rows(spark):
 
 def test_cut_writes_to_the_sessions_folder(spark):
     rows = common.cut(spark.range(5))
-    assert rows.count() == 5 and all(f.split(":", 1)[-1].startswith(spark.conf.get("spark.checkpoint.dir")) for f in rows.inputFiles())
+    assert rows.count() == 5 and all(spark.conf.get("spark.checkpoint.dir") in f for f in rows.inputFiles())
