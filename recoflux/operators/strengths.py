@@ -11,6 +11,9 @@ from recoflux.config import EngineConfig
 from recoflux.functions import scalars
 from recoflux.operators.ranking import dealt
 
+#: Rows of one side of a shared item that meet rows of the other side in one cell.
+CELL = 1024
+
 
 @dataclass(frozen=True)
 class Roles:
@@ -54,12 +57,27 @@ def strength(nc: Column, na: Column, denominator: Column, config: EngineConfig)
     return F.when(none, F.lit(0.0)).when(value < config.min_strength, F.lit(0.0)).otherwise(value)
 
 
+def gridded(left: DataFrame, right: DataFrame, roles: Roles, cell: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with the columns to join them by: the shared item and a cell of its grid.
+
+    A side with n rows of an item is split by hash into n / cell parts, each written once for every part of the other side. So
+    an item makes as many cells as its pairs need, and any number of tasks can share one that everybody has.
+    """
+    parts = lambda df, name: df.groupBy(roles.shared).agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias(name))
+    grid = parts(left, "_rows").join(parts(right, "_columns"), roles.shared)
+    part = lambda entity, n: F.pmod(F.xxhash64(entity), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.join(grid, roles.shared).withColumn("_row", part(roles.entity, "_rows")).withColumn("_column", every("_columns"))
+    right = right.join(grid, roles.shared).withColumn("_column", part(roles.template, "_columns")).withColumn("_row", every("_rows"))
+    return left.drop("_rows", "_columns"), right.drop("_rows", "_columns"), [roles.shared, "_row", "_column"]
+
+
 def numerators(rows: DataFrame, roles: Roles, config: EngineConfig, impressions: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
     """nc (shared items) and na (those rated high by the conservative side) of each pair of different entities.
 
     With impressions, the target must have been shown the item. `targets` (a
     column of the entity's name) restricts the pairs to those targets.
-    Pairs are summed where they are made, before they are shuffled.
+    Pairs are made cell by cell (see gridded) and summed where they are made, before they are shuffled.
     """
     left = rows.where(F.col("rating") >= roles.target_rating)
     if impressions is not None:
@@ -69,7 +87,8 @@ def numerators(rows: DataFrame, roles: Roles, config: EngineConfig, impressions:
         left = left.join(targets.select(roles.entity).distinct(), roles.entity, "left_semi")
     left = left.select(roles.shared, F.col(roles.entity), F.col("rating").alias("_target"))
     right = rows.where(F.col("rating") >= roles.template_rating).select(roles.shared, F.col(roles.entity).alias(roles.template), F.col("rating").alias("_template"))
-    pairs = dealt(left, roles.shared).join(dealt(right, roles.shared), roles.shared).where(F.col(roles.entity) != F.col(roles.template))
+    left, right, cell = gridded(left, right, roles, CELL)
+    pairs = dealt(left, *cell).join(dealt(right, *cell), cell).where(F.col(roles.entity) != F.col(roles.template))
     high = F.col(f"_{roles.conservative}") >= config.min_rating_aggressive
     return pairs.groupBy(roles.entity, roles.template).agg(F.count(F.lit(1)).alias("nc"), F.sum(F.when(high, 1).otherwise(0)).cast("long").alias("na"))
 

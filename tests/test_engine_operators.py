@@ -74,6 +74,20 @@ def test_strengths_against_plain_loops(spark):
             assert r.strength == pytest.approx((r.na * 0.8 + r.nc * 0.2) / den)
 
 
+@pytest.mark.parametrize("cell", [1, 2, 7])
+def test_pairs_of_an_item_that_all_share_are_made_in_cells(spark, monkeypatch, cell):
+    rows = spark.createDataFrame([(f"u{k}", p, 3 + k % 3) for k in range(23) for p in ("all", f"own{k % 4}")], "user string, product string, rating int")
+    pairs = lambda roles: sorted(tuple(r) for r in strengths.numerators(rows, roles, CONFIG).collect())
+    both = [strengths.user_roles(CONFIG), strengths.product_roles(CONFIG)]
+    whole = [pairs(roles) for roles in both]
+    monkeypatch.setattr(strengths, "CELL", cell)
+    assert [pairs(roles) for roles in both] == whole
+    left, right = rows.select("product", "user"), rows.select("product", F.col("user").alias("template_user"))
+    left, right, key = strengths.gridded(left, right, both[0], cell)
+    made = left.join(right, key).where("product = 'all'").groupBy(*key).count().collect()
+    assert sum(r["count"] for r in made) == 23 * 23 and len(made) > 1
+
+
 def test_template_ties_go_to_the_smaller_id(spark):
     rows = spark.createDataFrame([("a", "z", 0.5), ("a", "b", 0.5), ("a", "c", 0.9), ("a", "d", 0.0)], "user string, template_user string, strength double")
     assert [(r.place, r.template_user) for r in templates.top(rows, "user", 2).orderBy("place").collect()] == [(1, "c"), (2, "b")]
