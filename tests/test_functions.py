@@ -114,6 +114,30 @@ def test_portuguese_stems(word, stem):
     assert stemming.stem(word, "portuguese") == stem
 
 
+#: Pairs of the published sample vocabularies, fixed values.
+PUBLISHED = {
+    "german": "aufeinander aufeinand aufeinanderbiss aufeinanderbiss aufeinanderfolgende aufeinanderfolg aufeinanderschlügen aufeinanderschlug kategorie kategori kategorischen kategor kater kat katers kat katze katz kätzchen katzch kauen kau",
+    "spanish": "chicas chic chicharrones chicharron chico chic chicuelo chicuel chilena chilen tórax torax torcer torc toreado tor toreándolo tor torear tor torearlo tor torero torer tormentas torment tornados torn tornen torn torneos torne",
+    "french": (
+        "continu continu continua continu continuait continu continuation continu continué continu contradiction contradict contradictoirement contradictoir contrainte contraint mains main maintenaient mainten "
+        "maintenant mainten maintenue maintenu maintien maintien majesté majest majestueusement majestu majestueux majestu majorité major maladies malad maladive malad"
+    ),
+}
+
+
+@pytest.mark.parametrize("language", PUBLISHED)
+def test_published_stems(language):
+    words = PUBLISHED[language].split()
+    assert {w: stemming.stem(w, language) for w in words[::2]} == dict(zip(words[::2], words[1::2]))
+
+
+@pytest.mark.parametrize("language", stemming.STEMMERS)
+def test_stems_of_odd_words(language):
+    for word in ["", "s", "e", "ß", "y", "qu", "aux", "ment", "uyendo", "niss", "ées", "x" * 300, "東京", "1a2"]:
+        assert len(stemming.stem(word, language)) <= len(word) + 1
+
+
+
 def test_bloom_filter(spark):
     members = spark.range(0, 100_000, 28).toDF("id")
     f = bloom.BloomFilter(members, "id", 20_000)
