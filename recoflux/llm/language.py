@@ -18,6 +18,8 @@ SAMPLE = 20_000
 #: Documents of one language that are learned from in any case, where there are as many: all of a rare one.
 LEAST = 100
 UNKNOWN = "und"
+#: Stands for a run of non-letters; not 0, so that "a" and " a" have different codes.
+BLANK = 1
 _letters: list[np.ndarray] = []
 
 
@@ -29,19 +31,19 @@ def letters() -> np.ndarray:
 
 
 def gram_codes(text: str) -> np.ndarray:
-    """Codes of all 1-, 2- and 3-grams of the lower-cased text; each run of non-letters is one blank (0).
+    """Codes of all 1-, 2- and 3-grams of the lower-cased text; each run of non-letters is one BLANK.
 
     A code holds the characters themselves, 21 bits each, so it is exact.
     """
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    points = np.where(letters()[points], points, 0).astype(np.int64)
-    if not points.any():
+    points = np.where(letters()[points], points, BLANK).astype(np.int64)
+    if not (points != BLANK).any():
         return np.zeros(0, np.int64)
-    points = np.concatenate([[0], points, [0]])
-    points = points[np.concatenate([[True], (points[1:] != 0) | (points[:-1] != 0)])]
+    points = np.concatenate([[BLANK], points, [BLANK]])
+    points = points[np.concatenate([[True], (points[1:] != BLANK) | (points[:-1] != BLANK)])]
     two = points[:-1] << 21 | points[1:]
     three = two[:-1] << 21 | points[2:]
-    return np.concatenate([points[points != 0], two, three])
+    return np.concatenate([points[points != BLANK], two, three])
 
 
 def ranked(text: str, top: int = TOP) -> np.ndarray:
@@ -151,6 +153,11 @@ def predict_language(docs: DataFrame, ranks: dict[str, list[int]], top: int = TO
 
 
 def op6_language(docs: DataFrame) -> DataFrame:
-    """The language of each document; null texts and texts without a letter are `und` with score 0."""
+    """The language of each document, from its whole text whatever its length.
+
+    Null texts, empty ones and those without a letter are `und` with score 0. Repeated rows get a row each, and alike. n-grams
+    that are equally frequent rank by their code, languages equally near by name. An empty table gives an empty
+    table; where no row can be learned from, all are `und`.
+    """
     rows = predict_language(docs, learn_profiles(docs))
     return rows.select("doc_id", hold_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -324,6 +324,17 @@ def test_language(spark):
     assert language.op6_language(rows.limit(0)).count() == 0
 
 
+def test_language_against_plain_out_of_place(spark):
+    """overlapping alphabets, ties, repeated rows, a long text, texts without letters"""
+    r = random.Random(8)
+    kinds = {"aa": "abcdefg", "bb": "defghij", "cc": "äöüabé", "dd": "жзиабd"}
+    made = lambda lang, n: " ".join("".join(r.choices(kinds[lang], k=r.randint(1, 6))) for _ in range(n))
+    docs = [(k, made(lang, r.randint(0, 12)), lang) for k, lang in enumerate(r.choices(list(kinds), k=120))]
+    docs += docs[:7] + [(500, made("aa", 9000), "bb"), (501, "d", None), (502, "Ab, aB", None), (503, None, "aa"), (504, "12 !", "cc"), (505, "", "dd")]
+    found = language.op6_language(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()
+    assert sorted((x.doc_id, x.lang_pred, round(x.score, 9)) for x in found) == sorted((i, lang, round(score, 9)) for i, lang, score in brute.nearest_languages(docs))
+
+
 def test_language_learns_rare_languages(spark):
     r = random.Random(3)
     made = lambda letters: " ".join("".join(r.choices(letters, k=4)) for _ in range(20))
