@@ -114,7 +114,7 @@ def test_portuguese_stems(word, stem):
     assert stemming.stem(word, "portuguese") == stem
 
 
-#: Pairs of the published sample vocabularies, fixed values.
+#: Pairs of the published sample vocabularies as remembered (not compared with a copy), fixed values.
 PUBLISHED = {
     "german": "aufeinander aufeinand aufeinanderbiss aufeinanderbiss aufeinanderfolgende aufeinanderfolg aufeinanderschlügen aufeinanderschlug kategorie kategori kategorischen kategor kater kat katers kat katze katz kätzchen katzch kauen kau",
     "spanish": "chicas chic chicharrones chicharron chico chic chicuelo chicuel chilena chilen tórax torax torcer torc toreado tor toreándolo tor torear tor torearlo tor torero torer tormentas torment tornados torn tornen torn torneos torne",
