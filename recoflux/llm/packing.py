@@ -33,12 +33,13 @@ class Encoder:
         library = Tokenizer.from_file(path)
         self.model = library.model
         self.ends = {m: library.token_to_id(m).to_bytes(4, "little") for m in self.rules.marks}
+        self.bytes = [k.to_bytes(4, "little") for k in range(max(library.get_vocab().values()) + 1)]
         self.letters = dict(enumerate(self.rules.letters))
         self.words = Recent(self.word)
 
     def word(self, word: str) -> bytes:
         letters = word.encode().decode("latin-1").translate(self.letters)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
+        return b"".join([self.bytes[t.id] for t in self.model.tokenize(letters)])
 
     def plain(self, text: str) -> bytes:
         return b"".join(self.words.of(self.rules.pieces_of(text)))

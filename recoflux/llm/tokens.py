@@ -82,6 +82,16 @@ def merge_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
     return merges
 
 
+def spelled(pattern: str) -> str:
+    """pattern with the classes in its brackets as ranges of the first plane's characters, which re looks up in bitmaps."""
+    plane = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+
+    def ranges(name: re.Match) -> str:
+        return "".join([f"\\u{ord(run[0]):04x}-\\u{ord(run[-1]):04x}" for run in regex.findall(f"{name[0]}+", plane)])
+
+    return re.sub(r"\[[^]]*\]", lambda b: re.sub(r"\\p\{\w+\}|\\s", ranges, b[0]), pattern)
+
+
 class WordCounter:
     """Counts the tokens of a text for a word-end BPE vocabulary file.
 
@@ -99,6 +109,8 @@ class WordCounter:
             raise ValueError("only word-end BPE files with NFC and lower case are handled")
         split = next(s for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"]).findall
+        near = spelled(split["pattern"]["Regex"])
+        self.near = self.pieces if re.search(r"\\[^u]|\(\?", near) else re.compile(near).findall  # what else is in it may differ between re and regex
         self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(spec["model"]["merges"])}
         self.end = spec["model"]["end_of_word_suffix"] or ""
         self.letters = byte_letters()
@@ -117,9 +129,11 @@ class WordCounter:
     def pieces_of(self, text: str) -> list[str]:
         """The words that merging works on, in order, of a text without special strings."""
         if text.isascii():
-            return self.pieces(text.lower())
+            return self.near(text.lower())
         text = unicodedata.normalize("NFC", text)
-        return self.pieces("".join([c.lower() for c in text]) if "\u03a3" in text else text.lower())  # a final capital sigma is no special case here
+        text = "".join([c.lower() for c in text]) if "\u03a3" in text else text.lower()  # a final capital sigma is no special case here
+        beyond = len(text.encode("utf-16-le", "surrogatepass")) > 2 * len(text)  # characters outside the first plane
+        return self.pieces(text) if beyond else self.near(text)
 
     def plain(self, text: str) -> int:
         return sum(self.words.of(self.pieces_of(text)))

@@ -359,6 +359,24 @@ def test_token_counts(spark, corpus):
         assert (out[doc].n_bytes, out[doc].n_tokens, out[doc].over_limit) == (len((text or "").encode()), n, n > 2048)
 
 
+def test_words_are_cut_as_the_file_says(monkeypatch):
+    """by bitmaps, with the words of the file's own pattern, which only texts beyond the first plane still need"""
+    from tokenizers import Tokenizer
+
+    path = tokens.vocabulary(None)
+    rules, library = tokens.counter(path), Tokenizer.from_file(path)
+    signs = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    text = "".join([f"a{c}'ll{c}{c}9'{c}s x{c}" for c in signs])
+    expected, slow = rules.pieces(text.lower()), []
+    monkeypatch.setattr(rules, "pieces", lambda t, cut=rules.pieces: slow.append(t) or cut(t))
+    assert rules.pieces_of("it's 12 of them.") == ["it", "'s", "1", "2", "of", "them", "."] and not slow
+    assert rules.near(text.lower()) == expected
+    for odd in ("x\x1cy\x85z\u3000w\ufeffv", "ΑΣ'LL İ½Ⅳ e\u0301", "한국 12 '''ve\u2028'd", "😀ab𝐀b 𝟘9'S \U0001d15e"):
+        ids = library.encode(odd, add_special_tokens=False).ids
+        assert packing.encoder(path).ids(odd) == b"".join([k.to_bytes(4, "little") for k in ids])
+        assert bool(slow) == (max(odd) > "\uffff")
+
+
 def test_topk(spark, monkeypatch):
     r = random.Random(4)
     rows = [(k, [r.choice([0.0, 0.1, -0.3, 0.5]) for _ in range(8)]) for k in range(400)]
