@@ -71,10 +71,35 @@ def give_back() -> None:
         pass
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow; batches go out in parts of about OUT_BYTES, and a worker gives its memory back now and then and when its task is done."""
+#: What this worker process keeps from one task to the next, by what made it.
+_kept: dict[tuple[Callable, str], object] = {}
+
+
+def keep(make: Callable, path: str):
+    """make(path), made once by a worker process and kept until it gets a task that doesn't keep such things."""
+    if (make, path) not in _kept:
+        _kept[make, path] = make(path)
+    return _kept[make, path]
+
+
+def let_go(but: tuple[Callable, ...] = ()) -> None:
+    """What this process keeps goes, but for what is made by one of `but`."""
+    gone = [k for k in _kept if k[0] not in but]
+    for key in gone:
+        del _kept[key]
+    if gone:
+        gc.collect()  # a cache and what fills it refer to each other
+        give_back()
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keeps: tuple[Callable, ...] = ()) -> DataFrame:
+    """mapInArrow; batches go out in parts of about OUT_BYTES, and a worker gives its memory back now and then and when its task is done.
+
+    keeps: of what keep() made for other tasks, only things of these makers stay.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(keeps)
         sent = 0
         try:
             for batch in fn(batches):
@@ -86,12 +111,13 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
                     give_back()
                     sent = 0
         finally:
+            forget_powers()
             give_back()
 
     return df.mapInArrow(run, schema)
 
 
-def map_texts(docs: DataFrame, per_batch: Callable[[list, list], dict], schema: str) -> DataFrame:
+def map_texts(docs: DataFrame, per_batch: Callable[[list, list], dict], schema: str, keeps: tuple[Callable, ...] = ()) -> DataFrame:
     """per_batch(ids, texts) for each Arrow batch of (doc_id, text); it returns columns by name.
 
     Null texts come as None.
@@ -102,7 +128,7 @@ def map_texts(docs: DataFrame, per_batch: Callable[[list, list], dict], schema:
             out = per_batch(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             yield pa.RecordBatch.from_pydict(out)
 
-    return map_arrow(docs, run, schema)
+    return map_arrow(docs, run, schema, keeps)
 
 
 def byte_slabs(batch: pa.RecordBatch, limit: int = SLAB) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -155,6 +181,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def forget_powers() -> None:
+    """They are soon made again; a pass of 1 MB leaves 16 MB of them."""
+    _powers[:] = [x[:1].copy() for x in _powers]
+
+
 class Rolling:
     """Hashes of any runs of a sequence of 64-bit symbols, from prefix sums."""
 

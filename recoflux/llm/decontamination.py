@@ -111,7 +111,7 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, blo
     Hash sets of the items' windows are broadcast and every document is scanned
     where it is read: no shuffle, and one pass over the documents. A hash set is of at most
     block_bytes of items' text; where items are more, there are more hash sets, of which a worker
-    holds one at a time. Null or empty texts have no words; an item of none has no window; an item without id hits
+    holds one at a time, and texts are cut into words again for each. Null or empty texts have no words; an item of none has no window; an item without id hits
     words like any other, but has no id to be counted or listed; repeated rows each get their result, repeated items are
     one; long texts are scanned whole; an empty benchmark hits nothing. With clean, hit words are also taken out of the text.
     """
@@ -125,14 +125,13 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, blo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            words = [words_of(t) for t in texts]
-            masks = [np.zeros(len(w), bool) for w in words]
-            items: list[set] = [set() for _ in words]
+            masks: list = [None if blocks else np.zeros(len(words_of(t)), bool) for t in texts]
+            items: list[set] = [set() for _ in texts]
             for block in blocks:
                 grams = block.value
-                for k, w in enumerate(words):
-                    mask, found = grams.hits(w)
-                    masks[k] |= mask
+                for k, text in enumerate(texts):
+                    mask, found = grams.hits(words_of(text))  # the words of one text are held at a time
+                    masks[k] = mask if masks[k] is None else masks[k] | mask
                     items[k] |= found
                 if len(blocks) > 1:
                     del grams, block._value  # the next hash set takes its place; the broadcast stays on disk
@@ -141,7 +140,7 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, blo
             if clean:
                 columns[at] = pa.array([without_hits(t, e) if e else t for t, e in zip(texts, edges)], columns[at].type)
             ids = [sorted({str(x) for x in found if x is not None}) for found in items]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(w) for w in words], pa.int64()), pa.array([int(m.sum()) for m in masks], pa.int64()), pa.array(edges, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.string()))], names=names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(m) for m in masks], pa.int64()), pa.array([int(m.sum()) for m in masks], pa.int64()), pa.array(edges, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.string()))], names=names)
 
     return docs.transform(map_arrow, run, made.schema)
 

@@ -12,8 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recoflux.llm.common import cut, ids_and_texts, map_arrow
-from recoflux.llm.tokens import Recent, counter, vocabulary
+from recoflux.llm.common import cut, ids_and_texts, keep, map_arrow
+from recoflux.llm.tokens import Recent, WordCutter, byte_letters, vocabulary
 
 END = b"\0\0\0\0"
 
@@ -21,7 +21,7 @@ END = b"\0\0\0\0"
 class Encoder:
     """Token ids of a text as little-endian unsigned 32-bit bytes.
 
-    Words are cut as WordCounter does; the library's model then gives a
+    Words are cut by WordCutter; the library's model then gives a
     word's ids, which a bounded cache keeps.
     """
 
@@ -29,12 +29,12 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.rules = counter(path)
+        self.rules = WordCutter(path)
         library = Tokenizer.from_file(path)
         self.model = library.model
         self.ends = {m: library.token_to_id(m).to_bytes(4, "little") for m in self.rules.marks}
         self.bytes = [k.to_bytes(4, "little") for k in range(max(library.get_vocab().values()) + 1)]
-        self.letters = dict(enumerate(self.rules.letters))
+        self.letters = dict(enumerate(byte_letters()))
         self.words = Recent(self.word)
 
     def word(self, word: str) -> bytes:
@@ -51,13 +51,9 @@ class Encoder:
         return b"".join([x for pair in zip(between, [*map(self.ends.get, special), b""]) for x in pair])
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One encoder for each worker process and file."""
+    return keep(Encoder, path)
 
 
 def fullest(counts: Counter, capacity: int) -> tuple[int, ...]:
@@ -149,7 +145,7 @@ def pieces(docs: DataFrame, capacity: int, path: str | None) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "piece", "start", "length", "ids_crc32", "lane", "nth"])
 
-    return ids_and_texts(docs).transform(map_arrow, run, "doc_id long, piece long, start long, length long, ids_crc32 long, lane long, nth long")
+    return ids_and_texts(docs).transform(map_arrow, run, "doc_id long, piece long, start long, length long, ids_crc32 long, lane long, nth long", (Encoder,))
 
 
 def pack(docs: DataFrame, capacity: int = 2048, path: str | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recoflux.llm.common import ids_and_texts, map_texts
+from recoflux.llm.common import ids_and_texts, keep, map_texts
 
 #: Entries of a cache; this bounds a worker's memory.
 CACHE = 200_000
@@ -92,18 +92,18 @@ def spelled(pattern: str) -> str:
     return re.sub(r"\[[^]]*\]", lambda b: re.sub(r"\\p\{\w+\}|\\s", ranges, b[0]), pattern)
 
 
-class WordCounter:
-    """Counts the tokens of a text for a word-end BPE vocabulary file.
+class WordCutter:
+    """Cuts a text into words for a word-end BPE vocabulary file.
 
-    Steps as the file states them: special strings are cut from the raw text and
-    count one each; NFC; white space; lower case of each character by itself;
-    pieces by the file's pattern; bytes; merges with a word end on the last
-    symbol. Counts of words are kept in a bounded cache.
+    Steps as the file states them: special strings are cut from the raw text;
+    NFC; white space; lower case of each character by itself; pieces by the file's pattern.
     """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+            self.read(json.load(f))
+
+    def read(self, spec: dict) -> None:
         steps = spec["normalizer"]["normalizers"]
         if [s["type"] for s in steps] != ["NFC", "Replace", "Lowercase"] or spec["model"]["type"] != "BPE":
             raise ValueError("only word-end BPE files with NFC and lower case are handled")
@@ -111,20 +111,9 @@ class WordCounter:
         self.pieces = regex.compile(split["pattern"]["Regex"]).findall
         near = spelled(split["pattern"]["Regex"])
         self.near = self.pieces if re.search(r"\\[^u]|\(\?", near) else re.compile(near).findall  # what else is in it may differ between re and regex
-        self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(spec["model"]["merges"])}
-        self.end = spec["model"]["end_of_word_suffix"] or ""
-        self.letters = byte_letters()
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.marks = tuple(special)
-        self.words = Recent(self.word)
-
-    def word(self, word: str) -> int:
-        symbols = [self.letters[b] for b in word.encode()]
-        if not symbols:
-            return 0
-        symbols[-1] += self.end
-        return len(symbols) - merge_count(symbols, self.ranks)
 
     def pieces_of(self, text: str) -> list[str]:
         """The words that merging works on, in order, of a text without special strings."""
@@ -135,6 +124,28 @@ class WordCounter:
         beyond = len(text.encode("utf-16-le", "surrogatepass")) > 2 * len(text)  # characters outside the first plane
         return self.pieces(text) if beyond else self.near(text)
 
+
+class WordCounter(WordCutter):
+    """Counts the tokens of a text for a word-end BPE vocabulary file.
+
+    Special strings count one each; words become bytes, which are merged with a word
+    end on the last symbol. Counts of words are kept in a bounded cache.
+    """
+
+    def read(self, spec: dict) -> None:
+        super().read(spec)
+        self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(spec["model"]["merges"])}
+        self.end = spec["model"]["end_of_word_suffix"] or ""
+        self.letters = byte_letters()
+        self.words = Recent(self.word)
+
+    def word(self, word: str) -> int:
+        symbols = [self.letters[b] for b in word.encode()]
+        if not symbols:
+            return 0
+        symbols[-1] += self.end
+        return len(symbols) - merge_count(symbols, self.ranks)
+
     def plain(self, text: str) -> int:
         return sum(self.words.of(self.pieces_of(text)))
 
@@ -144,14 +155,9 @@ class WordCounter:
         return self.plain(text)
 
 
-_counters: dict[str, WordCounter] = {}
-
-
 def counter(path: str) -> WordCounter:
     """One counter for each worker process and file."""
-    if path not in _counters:
-        _counters[path] = WordCounter(path)
-    return _counters[path]
+    return keep(WordCounter, path)
 
 
 def vocabulary(path: str | None) -> str:
@@ -174,7 +180,7 @@ def token_counts(docs: DataFrame, limit: int = 2048, path: str | None = None) ->
         n = [count(t) if t else 0 for t in texts]
         return {"doc_id": ids, "n_bytes": [len(t.encode()) if t else 0 for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
 
-    return map_texts(ids_and_texts(docs), per_batch, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_texts(ids_and_texts(docs), per_batch, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", (WordCounter,))
 
 
 def op7_token_counts(docs: DataFrame) -> DataFrame:

@@ -167,6 +167,45 @@ def test_decontamination_by_items_without_id(spark):
     assert kept == {2: ["x"] * 100, 4: ["clean"]}
 
 
+def test_decontamination_holds_words_of_one_text(spark, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    runs = []
+    monkeypatch.setattr(decontamination, "map_arrow", lambda df, fn, schema: runs.append(fn) or df)
+    bench = spark.createDataFrame([(k, f"{k} of it") for k in range(40)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    texts = [" ".join(f"{j}w{k}" for j in range(200)) for k in range(1000)] + ["so 7 of it", None, ""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1003)), "text": texts})
+    for limit, blocks in ((1 << 20, 1), (100, 5)):
+        decontamination.window_hits(docs, bench, block_bytes=limit)
+        first = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["7 of it"]})
+        assert next(runs[-1](iter([first])))["_n_hit"].to_pylist() == [3], blocks  # hash sets are read
+        tracemalloc.start()
+        out = next(runs[-1](iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert out["_n_words"].to_pylist() == [200] * 1000 + [4, 0, 0]
+        assert out["_n_hit"].to_pylist() == [0] * 1000 + [3, 0, 0] and out["_items"].to_pylist()[1000] == ["7"]
+        assert peak < 4 * batch.nbytes, (blocks, peak, batch.nbytes)
+
+
+def test_workers_keep_nothing_of_another_step(spark, corpus):
+    import pyarrow as pa
+
+    def alive(batches):
+        import gc
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [sum(type(x).__name__ in ("Encoder", "WordCounter") for x in gc.get_objects())]})
+
+    for made in (packing.op4_packing, tokens.op7_token_counts):
+        made(frame(spark, corpus)).collect()
+        left = frame(spark, corpus, 8).select("doc_id").transform(common.map_arrow, alive, "n long")
+        assert {r.n for r in left.collect()} == {0}
+
+
 def test_quality(spark):
     good, bad = prose(5, 120, 40), [t.upper() + "!!" for t in prose(6, 120, 40)]
     docs = list(enumerate(good + bad)) + [(900, None), (901, ""), (None, "x")]
