@@ -394,3 +394,25 @@ def test_engine(spark, tmp_path):
     with pytest.raises(RuntimeError):
         engine.consolidate_user_templates()
     assert {r.term: r["count"] for r in engine.calculate_tf("english", "cook cooking").collect()} == {"cook": 2}
+
+
+def test_user_strengths_in_blocks(spark, monkeypatch):
+    """blocks of a few users give what the join gives, also of what was shown and of some targets; with best, the same templates"""
+    r = random.Random(5)
+    made = lambda n, kinds: [(f"u{r.randrange(40)}", f"p{r.randrange(9)}", r.choice(kinds), h) for h in r.sample(range(1, 700), n)]
+    summary = sinks.materialized(summaries.activity_summary(log(spark, made(250, ["purchase", "signup", "click"])), CONFIG))
+    imps = sinks.materialized(summaries.impression_summary(shown(spark, [(u, p, h) for u, p, _, h in made(200, ["view"])]), log(spark, []), CONFIG))
+    some = spark.createDataFrame([("u1",), ("u2",), ("u33",), ("nobody",)], "user string")
+    roles = strengths.user_roles(CONFIG)
+    for name, value in (("TARGETS", 7), ("TEMPLATES", 6), ("SCORES", 20)):
+        monkeypatch.setattr(strengths, name, value)
+    for impressions, targets in ((None, None), (imps, None), (None, some), (imps, some)):
+        of = lambda best=None: strengths.strengths(summary, roles, CONFIG, impressions, targets, best=best)  # noqa: E731, B023
+        top = lambda rows: sorted(tuple(x) for x in templates.top(rows, "user", 3).collect())
+        blocks, best = sorted(tuple(x) for x in of().collect()), top(of(3))
+        with monkeypatch.context() as m:
+            m.setattr(strengths, "ITEMS", 0)
+            assert strengths.few_items(summary, roles) is None
+            assert blocks == sorted(tuple(x) for x in of().collect()) and blocks
+            assert best == top(of()) and best
+        assert of(3).count() < len(blocks)
