@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recoflux.config import Attribute, EngineConfig
@@ -167,17 +167,20 @@ def content_strengths(tfidf: DataFrame, models: DataFrame, config: EngineConfig,
 def near_identical(ranked: DataFrame, models: DataFrame, config: EngineConfig, key: str = "user") -> DataFrame:
     """(key, product) of ranked (key, rank, product) that share too many stems with a product at most a page above it.
 
-    A higher product counts even if it is itself a near-identical one. The
-    join is on the key and the page; each row meets the page above and its own.
+    A higher product counts even if it is itself a near-identical one. Rows are dealt by the key and blocks of 64 pages, with
+    the last page of the block before, and meet those at most a page above them in a window.
     """
-    stems = models.select(F.col("external_id").alias("product"), F.col(config.near_identical_field).alias("_stems"))
-    rows = ranked.select(key, "rank", "product").join(stems, "product")
+    stems = models.select(F.col("external_id").alias("product"), F.array_distinct(config.near_identical_field).alias("_stems"))
+    rows = ranked.select(key, F.col("rank").cast("long").alias("rank"), "product").join(stems, "product")
     page = config.page_size
-    low = rows.withColumn("_page", F.floor(F.col("rank") / page) if page else F.lit(0))
-    high = low.select(F.col(key), F.col("rank").alias("_rank"), F.col("_stems").alias("_above"), F.explode(F.array("_page", F.col("_page") + 1) if page else F.array("_page")).alias("_page"))
-    near = (F.col("_rank") < F.col("rank")) & ((F.col("rank") - F.col("_rank")) <= page) if page else F.col("_rank") < F.col("rank")
-    pairs = low.join(high, [key, "_page"]).where(near)
-    return pairs.where(text.common_terms(F.col("_stems"), F.col("_above")) > config.near_identical_threshold).select(key, "product").distinct()
+    size = page * 64 if page else None
+    block = F.floor(F.col("rank") / size) if page else F.lit(0).cast("long")
+    ends = F.col("rank") >= (block + 1) * size - page if page else F.lit(False)
+    rows = rows.withColumn("_block", F.explode(F.when(ends, F.array(block, block + 1)).otherwise(F.array(block))))
+    above = Window.partitionBy(key, "_block").orderBy("rank").rangeBetween(-page if page else Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_above", F.collect_list(F.struct("_stems")).over(above)).where(F.col("_block") == block)
+    near = F.exists("_above", lambda x: text.common_terms(F.col("_stems"), x["_stems"]) > config.near_identical_threshold)
+    return rows.where(near).select(key, "product").distinct()
 
 
 def near_identical_pairs(pairs: DataFrame, models: DataFrame, config: EngineConfig, base: str = "base") -> DataFrame:

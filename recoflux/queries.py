@@ -312,7 +312,7 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frequencies_added(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequencies of one half of the products and, signed, of the other: terms that come to 0 go."""
     t = tables(spark, sf_dir)
-    terms = sinks.materialized(t.terms)
+    terms = sinks.materialized(t.counted)
     half = lambda k: models.document_frequencies(terms.where(F.crc32(F.encode("product", "UTF-8")) % 2 == k))
     once = sinks.add_frequencies(half(0), half(1))
     return sinks.add_frequencies(once, half(1).withColumn("df", -F.col("df"))).unionByName(half(1)).groupBy("language", "term").agg(F.sum("df").alias("df"))

@@ -416,3 +416,31 @@ def test_user_strengths_in_blocks(spark, monkeypatch):
             assert blocks == sorted(tuple(x) for x in of().collect()) and blocks
             assert best == top(of()) and best
         assert of(3).count() < len(blocks)
+
+
+def test_counted_terms_of_repeated_products(spark):
+    """rows of one product count together; of its rows of a term one is marked, and frequencies are those of a distinct count"""
+    rows = [("a", "x-en", "b b c", "c d"), ("a", "x-en", "b", None), ("b", "x-en", None, "d d e! e!"), ("c", "x-de", "b", "b")]
+    products = spark.createDataFrame([(p, lang, t or "", c, "k", ["s"], 1.0) for p, lang, t, c in rows], "external_id string, language string, title string, full_content string, category string, source array<string>, price double")
+    products = products.withColumns({"date": F.lit(NOW), "expiration_date": F.lit(NOW), "full_content": F.coalesce("full_content", F.lit(""))})
+    made = models.counted_terms(products, CONFIG, False)
+    plain = models.term_frequencies(products, CONFIG, False)
+    assert sorted(tuple(r) for r in made.drop("first").collect()) == sorted(tuple(r) for r in plain.collect())
+    of = lambda tf: sorted(tuple(r) for r in models.document_frequencies(tf).collect())
+    assert of(made) == of(plain) and ("x-en", "d", 2) in of(made)
+    assert made.where("product = 'a' AND term = 'c'").count() == 2 and made.where("product = 'a' AND term = 'c' AND first").count() == 1
+
+
+def test_random_sends_no_users_to_the_driver(spark):
+    """each user takes many products; the rows made of users are joined by chunk, without a broadcast of them"""
+    names = [f"p{k}" for k in range(30)]
+    t = plans.Tables(CONFIG, log(spark, [("a", "p1", "purchase", 5)]), shown(spark, []), None, stored={
+        "models": spark.createDataFrame([(p, NOW) for p in names], "external_id string, date timestamp"),
+        "live_products": spark.createDataFrame([(p,) for p in names], "external_id string"),
+    })
+    ask = plans.Ask(spark.createDataFrame([("a",), ("b",)], "user string"), t.models.select("external_id"), 500, 30)
+    rows = plans.at_random(t, ask)
+    found = {u: {r["product"] for r in rows.where(F.col("user") == u).collect()} for u in ("a", "b")}
+    assert found == {"a": set(names) - {"p1"}, "b": set(names)}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
